@@ -56,7 +56,7 @@ def as_known(events: DataFrame, history: DataFrame, salts: int = 4) -> DataFrame
     spans = history.where(F.col("entity_id").isNotNull() & F.col("start_us").isNotNull() & (F.col("end_us").isNull() | (F.col("end_us") > F.col("start_us"))))
     spans = spans.select(
         "version_id", "entity_id", "start_us", "end_us", "recorded_us",
-        _day(F.col("start_us")).alias("first_day"), F.coalesce(_day(F.col("end_us") - 1), F.lit(_LAST)).alias("last_day"),
+        _day(F.col("start_us")).alias("first_day"), F.when(F.col("end_us").isNull(), F.lit(_LAST)).otherwise(_day(F.col("end_us") - 1)).alias("last_day"),
     )
     kinds = {f.name: f.dataType.simpleString() for f in spans.schema}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", nodes array<int>"

@@ -136,6 +136,38 @@ def repeated_lines(rows: DataFrame, least_rows: int = 8, least_share: float = 0.
     return lines.join(cases, ["source", "template"]).select("row_id", "line_no")
 
 
+def _masked(depth: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = TemplateTree(depth)
+        for b in batches:
+            rows = []
+            for row, source, names, text in zip(b["row_id"], b["source"], b["names"], b["text"]):
+                own = sorted((s[0] for x in names if x and (s := tree.signature(x))), key=len, reverse=True) if names is not None else []
+                for n, line in enumerate(text.split("\n"), 1):
+                    if not (sig := tree.signature(line)):
+                        continue
+                    letters = "#" if all(w.startswith("#") for w in line.split()) else sig[0]
+                    for name in own:
+                        letters = letters.replace(name, WILD)
+                    rows.append((row, n, source, _print(letters)))
+            yield pd.DataFrame(rows, columns=["row_id", "line_no", "source", "template"])
+
+    return run
+
+
+def shared_lines(rows: DataFrame, least_rows: int = 8, least_sources: int = 4, depth: int = 3) -> DataFrame:
+    """(row_id, line_no) of every line that many sources use, apart from their own names in it; tags alone are one line.
+
+    ``rows``: row_id (unique), source_id, names (array of the source's names), text.
+    """
+    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(F.col("source_id").cast("long"), F.lit(-1)).alias("source"), "names", "text")
+    lines = rows.where(F.col("text").isNotNull()).mapInPandas(_masked(depth), "row_id long, line_no int, source long, template binary")
+    of_source = lines.groupBy("template", "source").agg(F.count(F.lit(1)).alias("rows"))
+    common = of_source.groupBy("template").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("sources"))
+    common = common.where((F.col("rows") >= least_rows) & (F.col("sources") >= least_sources)).select("template")
+    return lines.join(common, "template").select("row_id", "line_no")
+
+
 def without_repeated(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(row_id, text): every text without its found lines; rows without text stay as they are."""
     marked = found.groupBy("row_id").agg(F.collect_set("line_no").alias("drop"))

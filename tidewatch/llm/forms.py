@@ -53,8 +53,9 @@ def visual_form(text: str | None) -> str | None:
     if text is None:
         return None
     if not text.isascii():
-        # Decomposed first, so that a look-alike letter below an accent is mapped too.
-        text = unicodedata.normalize("NFKD", text.translate(_drop())).translate(_shapes())
+        # Mapped before and after decomposing: some look-alikes have another letter as their compatible form, and
+        # some stand below an accent.
+        text = unicodedata.normalize("NFKD", text.translate(_drop()).translate(_shapes())).translate(_shapes())
         text = unicodedata.normalize("NFKC", text)
     return " ".join(text.split())
 
@@ -65,6 +66,19 @@ def normal_form(text: str | None) -> str | None:
     return seen if seen is None else unicodedata.normalize("NFKC", seen.casefold())
 
 
+@cache
+def _cases() -> dict[int, str]:
+    """Lower-case letters whose capitals look alike: Cyrillic v and b, as their capitals are the same shape."""
+    pairs = {x.casefold(): latin.casefold() for latin, xs in LOOK_ALIKES.items() for x in xs}
+    return {ord(a): b for a, b in pairs.items() if len(a) == 1 and a not in "νi"}
+
+
+def comparable_form(text: str | None) -> str | None:
+    """``normal_form`` in which a text and its upper case are equal in every script, for comparing words."""
+    form = normal_form(text)
+    return form if form is None or form.isascii() else form.translate(_cases())
+
+
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         codes, texts = pd.factorize(b["text"])

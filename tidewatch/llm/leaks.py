@@ -21,15 +21,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tidewatch.llm.forms import normal_form
+from tidewatch.llm.forms import comparable_form
 
 _WORD = re.compile(r"[^\W_]+(?:[̀-ًͯ-ٟ]+[^\W_]*)*")
 _FOUND = "doc_id long, item_id int, position int, similarity double, exact boolean"
 
 
 def words_of(text: str | None) -> list[str]:
-    """The runs of letters and digits of the normal form."""
-    return _WORD.findall(normal_form(text) or "")
+    """The runs of letters and digits of the comparable form."""
+    return _WORD.findall(comparable_form(text) or "")
 
 
 def word_codes(text: str | None, known: dict[str, int]) -> np.ndarray:

@@ -4,14 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.boilerplate import repeated_lines, without_repeated
+from tidewatch.llm.batches import describe, duplicates
+from tidewatch.llm.boilerplate import repeated_lines, shared_lines, without_repeated
 from tidewatch.llm.forms import look_alike_pairs, normalise
 from tidewatch.llm.languages import fit_on, label_code, languages_of, mislabelled
 from tidewatch.llm.leaks import find_leaks
 from tidewatch.llm.names import link_names
+from tidewatch.session import cut
 from tidewatch.tables import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """For each article of a later batch the first accepted article with the same report, if there is one.
+
+    Lines that many sources share are left out of the comparison.
+    """
+    articles = table(spark, folder, "articles")
+    names = table(spark, folder, "sources").groupBy("source_id").agg(F.array_union(F.collect_set("name"), F.collect_set("name_native")).alias("names"))
+    rows = articles.select(F.col("article_id").alias("row_id"), "source_id", F.col("excerpt").alias("text")).join(names, "source_id", "left")
+    bare = without_repeated(rows, shared_lines(rows))
+    # A text of nothing but shared lines is compared as it is.
+    texts = bare.select(F.col("row_id").alias("article_id"), F.col("text").alias("bare"))
+    whole = articles.join(texts, "article_id")
+    text = F.when(F.trim("bare") == "", F.col("excerpt")).otherwise(F.col("bare"))
+    records = whole.select(F.col("article_id").alias("id"), F.coalesce("batch_no", F.lit(0)).alias("batch"), "url", "title", text.alias("text"))
+    found = duplicates(cut(describe(records)), known=0)
+    return found.select(F.col("first").alias("kept_id"), F.col("id").alias("article_id")).distinct()
+
+
 LINED = (("raw_items", "item_id", "summary"), ("articles", "article_id", "excerpt"))
 
 
@@ -80,7 +100,7 @@ def p10_normalised(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p4_found": p4_found, "p4_languages": p4_languages,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p4_found": p4_found, "p4_languages": p4_languages,
     "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_normalised": p10_normalised,
 }
 ORACLES: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import problems
+from tidewatch.plans import catalog, metrics, problems  # noqa: F401
 
-QUERIES = {**problems.QUERIES}
-ORACLES = {**problems.ORACLES}
+QUERIES = {**problems.QUERIES, **catalog.QUERIES}
+ORACLES = {**problems.ORACLES, **catalog.ORACLES}

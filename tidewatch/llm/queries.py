@@ -9,6 +9,7 @@ from tidewatch.llm.boilerplate import repeated_lines, shared_lines, without_repe
 from tidewatch.llm.forms import look_alike_pairs, normalise
 from tidewatch.llm.languages import fit_on, label_code, languages_of, mislabelled
 from tidewatch.llm.leaks import find_leaks
+from tidewatch.llm.mixing import mix, reached_shares
 from tidewatch.llm.names import link_names
 from tidewatch.session import cut
 from tidewatch.tables import table
@@ -89,6 +90,16 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("exact").select("doc_id", "item_id").distinct()
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is used so that the sources reach their target shares of all tokens."""
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that this selection reaches."""
+    return reached_shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose texts look the same but differ in characters."""
     return look_alike_pairs(table(spark, folder, "documents"))
@@ -101,6 +112,20 @@ def p10_normalised(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p4_found": p4_found, "p4_languages": p4_languages,
-    "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found, "p10_normalised": p10_normalised,
+    "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_normalised": p10_normalised,
 }
-ORACLES: dict[str, str] = {}
+
+_LINES = "select '{0}' as table_name, cast({1} as bigint) as row_id, coalesce(source_id, -1) as source_id, {2} as body from {0}"
+ORACLES: dict[str, str] = {
+    "p3_found": r"""
+with r as (RAW union all ARTICLES),
+size as (select table_name, source_id, count(*) as n from r group by 1, 2),
+split as (select table_name, row_id, source_id, string_split(body, chr(10)) as ls from r where body is not null and body <> ''),
+l as (select table_name, row_id, source_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as line_no from split),
+k as (select table_name, row_id, source_id, cast(line_no as int) as line_no,
+        regexp_replace(lower(upper(replace(replace(replace(line, 'ß', 'ss'), 'İ', 'i'), 'ı', 'i'))), '[\s\p{Z}\p{Cf}\p{Nd}]+', '', 'g') as key from l),
+o as (select table_name, source_id, key, count(distinct row_id) as m from k where key <> '' group by 1, 2, 3)
+select k.table_name, k.row_id, k.line_no from k join o using (table_name, source_id, key) join size using (table_name, source_id)
+where m >= 8 and m >= 0.05 * n""".replace("RAW", _LINES.format("raw_items", "item_id", "summary")).replace("ARTICLES", _LINES.format("articles", "article_id", "excerpt")),
+}

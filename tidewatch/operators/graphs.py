@@ -63,7 +63,7 @@ def exact_duplicates(items: DataFrame, hours: int = 48) -> DataFrame:
 
 def story_statistics(items: DataFrame, roots: DataFrame) -> DataFrame:
     """Per story: items, independent sources (copies aside), first and last time."""
-    return items.join(roots, items["item_id"] == roots["node"]).groupBy("root").agg(
+    return items.join(roots.select(F.col("node").alias("item_id"), "root"), "item_id").groupBy("root").agg(
         F.count(F.lit(1)).alias("items"), F.countDistinct(F.when(~F.col("copy"), F.col("source_id"))).alias("independent_sources"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen")
     )
 

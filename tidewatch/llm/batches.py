@@ -6,6 +6,9 @@ batch becomes a sorted run of its own and is merged into the others' key ranges;
 new one are compared with it.  Only keys and fingerprints of the history are read, texts only of records that meet.
 Runs are compacted into one when there are more than ``most_runs``.
 
+A key row carries a sketch of the record's text (64 minimal hashes of its word triples), its page and its headline, so
+neighbours that can't be the same report are told apart in the window, and only the rest are compared by their texts.
+
 A key is followed by the record's text fingerprint, so equal reports are neighbours even where thousands of records
 share a headline, and key ranges split anywhere: the records at both ends of every range are compared once more.
 
@@ -34,7 +37,6 @@ from tidewatch.session import cut, scratch_path
 _WORD = re.compile(r"[^\W_]+")
 # Parameters of an address that only say where a reader came from.
 TRACKING = re.compile(r"^(?:utm_.*|fbclid|gclid|ref|igshid|mc_cid|mc_eid|yclid|spm)$")
-_SEEDS = (0x5BD1, 0x27D4, 0x1656)
 
 
 def page_of(url: str | None) -> str:
@@ -70,20 +72,28 @@ def text_words(text: str | None) -> list[str]:
     return _WORD.findall(seen)
 
 
-def _smallest(words: list[str], seed: int) -> str:
+SKETCH = 64
+_ODD = (np.random.default_rng(11).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1))[:, None]
+
+
+def sketch_of(words: list[str]) -> np.ndarray:
+    """The smallest hash of the word triples under each of 64 hash functions."""
     if not words:
-        return ""
-    return f"{min(xxhash.xxh64_intdigest(' '.join(words[i : i + 3]), seed=seed) for i in range(max(1, len(words) - 2))):016x}"
+        return np.zeros(0, dtype=np.uint64)
+    base = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        mixed = base[None, :] * _ODD
+    return (mixed ^ (mixed >> np.uint64(29))).min(axis=1)
 
 
-def keys_of(page: str, headline: list[str], body: list[str]) -> list[str]:
+def keys_of(page: str, headline: list[str], sketch: np.ndarray) -> list[str]:
     """The sort keys, each with its kind in front."""
-    mins = [_smallest(body, s) for s in _SEEDS]
-    print_ = mins[0] or "-"
+    mins = [f"{v:016x}" for v in sketch[:3]]
+    print_ = mins[0] if mins else "-"
     out = [f"a{page}"] if page else []
     if len(headline) >= 3:
         out += [f"b{' '.join(headline)}|{print_}", f"c{' '.join(reversed(headline))}|{print_}"]
-    if len(body) >= 3:
+    if mins:
         out += [f"{'def'[i]}{m}|{mins[(i + 1) % 3]}" for i, m in enumerate(mins)]
     return [k[:400] for k in out]
 
@@ -150,7 +160,7 @@ def same_report(a: dict, b: dict) -> bool:
     return bool(body) and len(a["body"]) >= 8
 
 
-_RECORD = "id long, batch int, page string, headline array<string>, whole array<string>, body array<string>, keys array<string>"
+_RECORD = "id long, batch int, page string, headline array<string>, whole array<string>, body array<string>, keys array<string>, sketch binary, page_code long, head_code long"
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,8 +168,11 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, batch, url, title, text in zip(b["id"], b["batch"], b["url"], b["title"], b["text"]):
             page, (head, whole), body = page_of(url), headline_words(title), text_words(text)
-            rows.append((i, batch, page, head, whole, body, keys_of(page, head, body)))
-        yield pd.DataFrame(rows, columns=["id", "batch", "page", "headline", "whole", "body", "keys"])
+            sketch = sketch_of(body)
+            told = len(head) >= 5 and any(c.isdigit() for w in head for c in w)  # a headline that tells reports apart
+            codes = [xxhash.xxh64_intdigest(x) >> 1 if x else 0 for x in (page, " ".join(head) if told else "")]
+            rows.append((i, batch, page, head, whole, body, keys_of(page, head, sketch), (sketch & np.uint64(0xFFFF)).astype("<u2").tobytes(), *codes))
+        yield pd.DataFrame(rows, columns=["id", "batch", "page", "headline", "whole", "body", "keys", "sketch", "page_code", "head_code"])
 
 
 def describe(records: DataFrame) -> DataFrame:
@@ -168,7 +181,19 @@ def describe(records: DataFrame) -> DataFrame:
 
 
 _LISTS = ("headline", "whole", "body")
-_PAIR = "id long, other long, batch int, key string, edge int"
+_CODES = ("sketch", "page_code", "head_code")
+_PAIR = "id long, other long, batch int, key string, edge int, sketch binary, page_code long, head_code long"
+
+
+def may_be_same(a: tuple, b: tuple, least: float = 0.25) -> bool:
+    """Whether two records (sketch, page, headline) can be the same report: one page, one telling headline, or texts
+    of which the sketches share at least ``least``; true where one has no text.
+    """
+    if (a[1] and a[1] == b[1]) or (a[2] and a[2] == b[2]):
+        return True
+    if not len(a[0]) or not len(b[0]):
+        return True
+    return np.count_nonzero(a[0] == b[0]) >= least * SKETCH
 
 
 def _windows(window: int, known: int):
@@ -176,37 +201,41 @@ def _windows(window: int, known: int):
     records before and after it that were accepted no later.  Records of batches up to ``known`` are not asked for.
     """
 
+    columns = ["id", "other", "batch", "key", "edge", *_CODES]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before: dict[int, deque] = {}  # by batch, the last records
-        waiting: dict[int, deque] = {}  # by batch, records that still look ahead: [id, left]
+        waiting: dict[int, deque] = {}  # by batch, records that still look ahead: [id, left, codes]
         kind, head, tail, n = None, [], deque(maxlen=window), 0
         for b in batches:
             out = []
-            for key, batch, i in zip(b["key"], b["batch"], b["id"]):
+            for key, batch, i, raw, page, line in zip(b["key"], b["batch"], b["id"], b["sketch"], b["page_code"], b["head_code"]):
+                codes = (np.frombuffer(raw, dtype="<u2"), page, line)
+                edge = (i, -1, batch, key, 1, raw, page, line)
                 if n < window:
-                    head.append((i, -1, batch, key, 1))
-                tail.append((i, -1, batch, key, 1))
+                    head.append(edge)
+                tail.append(edge)
                 n += 1
                 if key[0] != kind:
                     kind, before, waiting = key[0], {}, {}
                 for asked, queue in waiting.items():
                     if asked >= batch:
                         for w in queue:
-                            if (asked, w[0]) > (batch, i):
-                                out.append((w[0], i, asked, "", 0))
+                            if (asked, w[0]) > (batch, i) and may_be_same(w[2], codes):
+                                out.append((w[0], i, asked, "", 0, None, 0, 0))
                             w[1] -= 1
                         while queue and queue[0][1] <= 0:
                             queue.popleft()
                 if batch > known:
-                    near = sorted((x for past, q in before.items() if past <= batch for x in q), reverse=True)[:window]
-                    out += [(i, other, batch, "", 0) for _, past, other in near if (past, other) < (batch, i)]
-                    waiting.setdefault(batch, deque()).append([i, window])
-                before.setdefault(batch, deque(maxlen=window)).append((n, batch, i))
+                    near = sorted((x for past, q in before.items() if past <= batch for x in q), key=lambda x: -x[0])[:window]
+                    out += [(i, other, batch, "", 0, None, 0, 0) for _, past, other, theirs in near if (past, other) < (batch, i) and may_be_same(theirs, codes)]
+                    waiting.setdefault(batch, deque()).append([i, window, codes])
+                before.setdefault(batch, deque(maxlen=window)).append((n, batch, i, codes))
             if out:
-                yield pd.DataFrame(out, columns=["id", "other", "batch", "key", "edge"])
-        edge = list(dict.fromkeys([*head, *tail]))
-        if edge:
-            yield pd.DataFrame(edge, columns=["id", "other", "batch", "key", "edge"])
+                yield pd.DataFrame(out, columns=columns)
+        ends = list(dict.fromkeys([*head, *tail]))
+        if ends:
+            yield pd.DataFrame(ends, columns=columns)
 
     return run
 
@@ -216,7 +245,7 @@ def neighbours(keys: DataFrame, window: int, known: int) -> DataFrame:
     ordered = keys.repartitionByRange(keys.sparkSession.sparkContext.defaultParallelism * 2, "key", "batch", "id").sortWithinPartitions("key", "batch", "id")
     near = cut(ordered.mapInPandas(_windows(window, known), _PAIR))
     # The ends of all ranges, a few records each, in one order: pairs across the borders.
-    ends = near.where("edge = 1").select("key", "batch", "id").repartition(1).sortWithinPartitions("key", "batch", "id")
+    ends = near.where("edge = 1").select("key", "batch", "id", *_CODES).repartition(1).sortWithinPartitions("key", "batch", "id")
     across = ends.mapInPandas(_windows(window, known), _PAIR).where("edge = 0")
     return near.where("edge = 0").unionByName(across).select("id", "other").where("id <> other").distinct()
 
@@ -248,7 +277,7 @@ def link_to_first(pairs: DataFrame, order: DataFrame) -> DataFrame:
 
 def duplicates(described: DataFrame, known: int, window: int = 10) -> DataFrame:
     """(id, first): for records of batches after ``known``, the first accepted record with the same report."""
-    keys = described.select("id", "batch", F.explode("keys").alias("key"))
+    keys = described.select("id", "batch", F.explode("keys").alias("key"), *_CODES)
     near = neighbours(keys, window, known)
     light = described.select("id", "page", *_LISTS)
     met = near.join(light, "id").join(light.select(F.col("id").alias("other"), *[F.col(c).alias(c + "2") for c in ("page", *_LISTS)]), "other")

@@ -29,7 +29,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     whole = articles.join(texts, "article_id")
     text = F.when(F.trim("bare") == "", F.col("excerpt")).otherwise(F.col("bare"))
     records = whole.select(F.col("article_id").alias("id"), F.coalesce("batch_no", F.lit(0)).alias("batch"), "url", "title", text.alias("text"))
-    found = duplicates(cut(describe(records)), known=0)
+    # The history is searched as well: the first article with a report may itself have copies in batch 0.
+    found = duplicates(cut(describe(records)), known=-1).join(records.where("batch >= 1").select("id"), "id", "left_semi")
     return found.select(F.col("first").alias("kept_id"), F.col("id").alias("article_id")).distinct()
 
 

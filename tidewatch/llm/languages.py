@@ -113,33 +113,42 @@ def fit(sample: list[tuple[str, str]], rounds: int = 3) -> NgramModel:
 
 
 def mixture(scores: np.ndarray, penalty: float, steps: int = 20) -> tuple[list[int], np.ndarray]:
-    """Languages of a text, and the posterior of each of its sentences, from the sentences' log-likelihoods."""
+    """Languages of a text, and the posterior of each of its sentences, from the sentences' log-likelihoods.
+
+    The languages that may enter are those that are best for some sentence.  No mixture is likelier than every sentence
+    in its best language, so where that gains no more than ``penalty`` nothing is iterated.
+    """
     chosen = [int(scores.sum(axis=0).argmax())]
     best = float(scores[:, chosen[0]].sum())
-    while len(chosen) < scores.shape[1]:
-        options = []
-        for k in range(scores.shape[1]):
-            if k not in chosen:
-                value, post = _em(scores[:, [*chosen, k]], steps)
-                options.append((value, -k, post))
-        value, k, _ = max(options, key=lambda o: o[:2])
+    most = float(scores.max(axis=1).sum())
+    able = sorted(set(scores.argmax(axis=1).tolist()))
+    post = np.ones((len(scores), 1))
+    while most - best > penalty:
+        options = [(*_em(scores[:, [*chosen, k]], steps), k) for k in able if k not in chosen]
+        if not options:
+            break
+        value, now, k = max(options, key=lambda o: (o[0], -o[2]))
         if value - best <= penalty:
             break
-        chosen.append(-k)
-        best = value
-    return chosen, _em(scores[:, chosen], steps)[1]
+        chosen.append(k)
+        best, post = value, now
+    return chosen, post
 
 
 def _em(scores: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
-    share = np.full(scores.shape[1], 1.0 / scores.shape[1])
-    top = scores.max(axis=1, keepdims=True)
-    like = np.exp(scores - top)
+    n, k = scores.shape
+    share = np.full(k, 1.0 / k)
+    top = scores.max(axis=1)
+    like = np.exp(scores - top[:, None])
     for _ in range(steps):
         joint = like * share
-        whole = joint.sum(axis=1, keepdims=True)
-        post = joint / whole
-        share = np.maximum(post.mean(axis=0), 1e-9)
-    return float((np.log(whole) + top).sum()), post
+        whole = joint.sum(axis=1)
+        post = joint / whole[:, None]
+        new = np.maximum(post.sum(axis=0) / n, 1e-9)
+        if abs(new[0] - share[0]) < 1e-6 and k == 2:
+            break
+        share = new
+    return float(np.log(whole).sum() + top.sum()), post
 
 
 def _detect(shared, penalty: float, least_words: int, temper: float):

@@ -195,7 +195,6 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows = [_row(error=f"{type(e).__name__}: {e}"[:300])]
             out += [{"feed_id": feed} | r for r in rows]
         frame = pd.DataFrame(out, columns=["feed_id", *FIELDS])
-        frame["extra"] = [list(x.items()) if isinstance(x, dict) else None for x in frame["extra"]]
         yield frame
 
 

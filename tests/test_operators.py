@@ -176,3 +176,19 @@ def test_streams_equal_batches(spark, tmp_path):
     once = daily.run_into(daily.once_per_key(stream(), "url", "fetched_at", "30 days"), str(tmp_path / "once"), str(tmp_path / "c3"))
     once.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "once")).count() == 40
+
+
+def test_near_duplicates_and_links(spark):
+    from tidewatch.operators import similar
+
+    t0, title, body = datetime(2025, 1, 1), "road to kisan closed for three days", "the road was closed by the council " * 3
+    data = [(1, 1, t0, "en", title, body), (2, 1, t0 + timedelta(hours=20), "en", title, body), (3, 2, t0 + timedelta(hours=30), "en", title + " now", body), (4, 3, t0 + timedelta(hours=100), "en", title, body), (5, 3, t0 + timedelta(hours=1), "en", "a quite different headline here", ""), (6, 4, t0 + timedelta(hours=31), "en", title, "another text of the same story " * 4), (7, 5, None, "en", title, None)]
+    got = rows(similar.near_duplicates(spark.createDataFrame(data, "item_id int, source_id int, at timestamp, language string, title string, text string")), "item_id", "other_id", "kind")
+    assert got == [(2, 1, "duplicate"), (3, 1, "syndicated_from"), (3, 2, "same_story"), (6, 1, "same_story"), (6, 2, "same_story"), (6, 3, "same_story")]
+    v = spark.createDataFrame([(1, 1, t0, [1.0, 0.0]), (2, 2, t0, [1.0, 0.0]), (3, 2, t0 + timedelta(days=2), [0.9, 0.2]), (4, 3, t0 + timedelta(days=9), [1.0, 0.0])], "item_id int, source_id int, at timestamp, vector array<double>")
+    assert rows(similar.semantic_links(v, 0.99, 0.9), "item_id", "other_id", "kind") == [(2, 1, "same_story"), (3, 1, "similar"), (3, 2, "similar")]
+    m = spark.createDataFrame([(1, "sentiment", "positive", "lexicon", 0.4, 1)], "item_id int, measure string, value string, method string, confidence double, version int")
+    c = spark.createDataFrame([(1, "sentiment", "negative", "2025-01-01"), (2, "other", "x", "2025-01-01")], "item_id int, measure string, value string, decided_at string")
+    assert rows(similar.apply_corrections(m, c), "value", "is_current") == [("negative", True), ("positive", False)]
+    fresh = similar.model_stage(spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "content_hash string, text string"), spark.createDataFrame([("b",)], "content_hash string"), lambda p: p.assign(label=p["text"] * 2)[["content_hash", "label"]], "content_hash string, label string")
+    assert rows(fresh, "content_hash", "label") == [("a", "xx")]

@@ -120,7 +120,7 @@ def fetch_classes(spark, folder):
     return e.groupBy("event_type", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ingest_gate", """with n as (select max(fetched_at) as now from raw_items), g as (select item_id, fetched_at, case when fetched_at > now - interval 20 day then now - interval 1 day else fetched_at end as dated, now from raw_items cross join n)
+@query("ingest_gate", """with n as (select max(fetched_at) as now from raw_items), g as (select item_id, published_at, case when fetched_at > now - interval 20 day then now - interval 1 day else fetched_at end as dated, now from raw_items cross join n)
     select item_id, (dated >= now - interval 90 day) as kept, published_at is null as estimated from g""")
 def ingest_gate(spark, folder):
     """Items too old for the look-back, and items without date."""

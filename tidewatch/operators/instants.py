@@ -142,16 +142,14 @@ def _back(a: float, b: float) -> float:
 def _reduce_stretches(switch_cost: float):
     """Each stretch of a source within a partition to its cost matrix; each record with its pick for every entry and exit."""
 
-    def solve(part: int, source: int, rows: pd.DataFrame) -> pd.DataFrame:
-        n = len(rows)
-        d, m = rows["us_d"].to_numpy("float64"), rows["us_m"].to_numpy("float64")
-        fetched = rows["fetched_us"].to_numpy("float64")
+    def solve(part: int, source: int, keys: list, d: np.ndarray, m: np.ndarray, fetched: np.ndarray, half: np.ndarray) -> list[tuple]:
+        n = len(keys)
         have_d, have_m = ~np.isnan(d), ~np.isnan(m)
         at = np.stack([d, m], axis=1)
         far = np.abs(at - fetched[:, None]) / _DAY
         own = np.where(np.isnan(far), 0.0, 0.1 * np.log1p(np.nan_to_num(far)))
         own += np.where(np.isnan(at), switch_cost, 0.0)  # that order does not read this value
-        own[:, 0] += np.where(rows["half_day"].to_numpy(bool) & have_d & have_m & (d != m), 1e-3, 0.0)
+        own[:, 0] += np.where(half & have_d & have_m & (d != m), 1e-3, 0.0)
         at = np.where(np.isnan(at), np.where(have_d, d, m)[:, None], at)
         # Where both orders give the same instant the pick does not matter, and away from other records such a record
         # adds the same to every path: only the rest and their neighbours enter the recursion.
@@ -182,32 +180,48 @@ def _reduce_stretches(switch_cost: float):
                     path.append(now)
                     now = back[2 * entry + now]
                 picks[kept] |= np.array(path[::-1], dtype=np.int32) << (2 * entry + leave)
-        out = pd.DataFrame({"row_key": rows["row_key"], "us_d": rows["us_d"].astype("Int64"), "us_m": rows["us_m"].astype("Int64"), "picks": picks})
-        out["part"], out["source"] = part, source
-        for name, v in zip(("first_d", "first_m", "last_d", "last_m", "c00", "c01", "c10", "c11"), (*at[0], *at[-1], *cost.ravel())):
-            out[name] = np.nan
-            out.loc[out.index[-1], name] = v if np.isfinite(v) else 1e300
+        whole = lambda xs: [None if np.isnan(x) else int(x) for x in xs]
+        out = [(k, x, y, int(p), part, source, *[None] * 8) for k, x, y, p in zip(keys, whole(d), whole(m), picks)]
+        ends = [float(v) if np.isfinite(v) else 1e300 for v in (*at[0], *at[-1], *cost.ravel())]
+        out[-1] = (*out[-1][:6], *ends)
         return out
 
+    names = [c.split()[0] for c in _STRETCH.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[tuple] = []  # pieces of the stretch that is still open
         stretch, rows, now = 0, 0, None
 
-        def flush() -> pd.DataFrame:
+        def flush() -> list[tuple]:
             nonlocal stretch
             stretch += 1
-            return solve(int(held[0]["part"].iloc[0]) * 1_000_000 + stretch, now, pd.concat(held, ignore_index=True))
-
-        for batch in batches:
-            for source, piece in batch.groupby("source", sort=False):
-                if held and (source != now or rows > 200_000):
-                    yield flush()
+            keys = [k for piece in held for k in piece[1]]
+            return solve(held[0][0] * 1_000_000 + stretch, now, keys, *(np.concatenate([piece[i] for piece in held]) for i in (2, 3, 4, 5)))
+
+        def frame(out: list[tuple]) -> pd.DataFrame:
+            f = pd.DataFrame(out, columns=names)
+            return f.astype({"us_d": "Int64", "us_m": "Int64"})
+
+        for b in batches:
+            if not len(b):
+                continue
+            out: list[tuple] = []
+            source = b["source"].to_numpy()
+            cuts = [0, *(np.flatnonzero(source[1:] != source[:-1]) + 1), len(source)]
+            keys, part = b["row_key"].tolist(), int(b["part"].iloc[0])
+            d, m = (b[c].astype("Float64").to_numpy("float64", na_value=np.nan) for c in ("us_d", "us_m"))
+            fetched, half = b["fetched_us"].to_numpy("float64"), b["half_day"].to_numpy(bool)
+            for i, j in zip(cuts, cuts[1:]):
+                if held and (source[i] != now or rows > 200_000):
+                    out += flush()
                     held, rows = [], 0
-                now = source
-                held.append(piece)
-                rows += len(piece)
+                now = int(source[i])
+                held.append((part, keys[i:j], d[i:j], m[i:j], fetched[i:j], half[i:j]))
+                rows += j - i
+            if out:
+                yield frame(out)
         if held:
-            yield flush()
+            yield frame(flush())
 
     return run
 
@@ -215,24 +229,36 @@ def _reduce_stretches(switch_cost: float):
 def _chain(switch_cost: float):
     """Per source: the stretches' matrices multiplied in order, then each stretch's entry and exit order."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part").reset_index(drop=True)
-        cost, links = np.zeros(2), []
-        for i, r in enumerate(pdf.itertuples()):
-            first, inner = (r.first_d, r.first_m), np.array([[r.c00, r.c01], [r.c10, r.c11]])
+    def chain(rows: list[tuple]) -> list[tuple]:
+        cost, links, last = np.zeros(2), [], (0.0, 0.0)
+        for i, (_, _, f0, f1, l0, l1, c00, c01, c10, c11) in enumerate(rows):
+            first, inner = (f0, f1), np.array([[c00, c01], [c10, c11]])
             if i:
                 jump = np.array([[_back(last[a], first[b]) + switch_cost * (a != b) for b in (0, 1)] for a in (0, 1)])
             else:
                 jump = np.array([[0.0, np.inf], [np.inf, 0.0]])
             total = cost[:, None, None] + jump[:, :, None] + inner[None]  # [order before, entry, exit]
             links.append(total)
-            cost, last = total.min(axis=(0, 1)), (r.last_d, r.last_m)
+            cost, last = total.min(axis=(0, 1)), (l0, l1)
         choice, now = [], int(cost.argmin())
         for total in reversed(links):
             before, entry = np.unravel_index(total[:, :, now].argmin(), (2, 2))
             choice.append(2 * int(entry) + now)
             now = int(before)
-        return pd.DataFrame({"part": pdf["part"], "source": pdf["source"], "way": choice[::-1]})
+        return [(r[0], r[1], way) for r, way in zip(rows, reversed(choice))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []  # one source's stretches: as many as there are ranges it lies in
+        for b in batches:
+            out: list[tuple] = []
+            for row in b.itertuples(index=False, name=None):
+                if held and row[0] != held[0][0]:
+                    out += chain(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["source", "part", "way"])
+        if held:
+            yield pd.DataFrame(chain(held), columns=["source", "part", "way"])
 
     return run
 
@@ -247,14 +273,13 @@ def resolve_instants(records: DataFrame, switch_cost: float = 1e6) -> DataFrame:
         F.coalesce(F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(0)).alias("fetched_us"), "published_at", "time_zone",
     )
     rows = asked.mapInPandas(_read, "row_key string, source long, fetched_us long, half_day boolean, us_d long, us_m long")
-    ordered = rows.repartitionByRange("source", "fetched_us", "row_key").sortWithinPartitions("source", "fetched_us", "row_key").withColumn("part", F.spark_partition_id())
+    spark = records.sparkSession
+    # A fixed number of ranges: adaptive execution would join small ones, although each takes Python time.
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ordered = rows.repartitionByRange(ranges, "source", "fetched_us", "row_key").sortWithinPartitions("source", "fetched_us", "row_key").withColumn("part", F.spark_partition_id())
     paths = cut(ordered.mapInPandas(_reduce_stretches(switch_cost), _STRETCH))
-    chained = (
-        paths.where(F.col("c00").isNotNull())
-        .select("part", "source", "first_d", "first_m", "last_d", "last_m", "c00", "c01", "c10", "c11")
-        .groupBy("source")
-        .applyInPandas(_chain(switch_cost), "part long, source long, way int")
-    )
+    ends = paths.where(F.col("c00").isNotNull()).select("source", "part", "first_d", "first_m", "last_d", "last_m", "c00", "c01", "c10", "c11")
+    chained = ends.repartition("source").sortWithinPartitions("source", "part").mapInPandas(_chain(switch_cost), "source long, part long, way int")
     chosen = paths.select("row_key", "us_d", "us_m", "picks", "part", "source").join(chained, ["part", "source"])
     month_first = F.expr("shiftright(picks, way) & 1") == 1
     return chosen.select("row_key", F.when(month_first, F.coalesce("us_m", "us_d")).otherwise(F.coalesce("us_d", "us_m")).alias("instant_us"))

@@ -30,7 +30,11 @@ NOTATIONS = {
     "tr": "tur turkish", "fa": "fas per persian farsi", "ru": "rus russian",
 }
 _WORD = re.compile(r"[^\W\d_]+(?:[‌'’ً-ْ̀-ͯ]+[^\W\d_]+)*")
-_END = re.compile(r"(?<=[.!?؟。…])[\"'”»)\]]*\s+|\n+")
+# Abbreviations whose point ends no sentence.
+ABBREVIATIONS = "assoc auth bd comm dept dev dir dr etc gen mr mrs nr prof synd un vs".split()
+_NO_END = "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS)
+#: Ends of sentences: not after an initial or an abbreviation.
+_END = re.compile(rf"(?<=[.!?؟。…])(?<!\s\w\.){_NO_END}[\"'”»)\]]*[^\S\n]+|\n+", re.IGNORECASE)
 
 
 def label_code(label: Column) -> Column:
@@ -94,8 +98,11 @@ class NgramModel:
         return self.table[rows].sum(axis=0)
 
 
-def fit(sample: list[tuple[str, str]], rounds: int = 3) -> NgramModel:
-    """A model from (text, label code); labels start the fit, then every sentence takes its own best language."""
+def fit(sample: list[tuple[str, str]], rounds: int = 2, clear: float = 1.5) -> NgramModel:
+    """A model from (text, label code); labels start the fit, then every sentence takes its own best language.
+
+    A sentence that contradicts its label by less than ``clear`` per word, such as one with a foreign name, is left out.
+    """
     parts = [(LANGUAGES.index(code), s) for text, code in sample for s in sentences_of(text)]
     model = None
     for _ in range(rounds):
@@ -106,7 +113,11 @@ def fit(sample: list[tuple[str, str]], rounds: int = 3) -> NgramModel:
                 for w in sentence:
                     if w not in known:
                         known[w] = model.score(w)
-                lang = int(sum(known[w] for w in sentence).argmax())
+                score = sum(known[w] for w in sentence)
+                best = int(score.argmax())
+                if best != lang and score[best] - score[lang] < clear * len(sentence):
+                    continue
+                lang = best
             words[lang].update(sentence)
         model = NgramModel(words)
     return model
@@ -212,13 +223,22 @@ def _posterior(total: np.ndarray, lang: int) -> float:
     return float(1.0 / np.exp(total - total[lang]).sum())
 
 
+def bounded_sample(rows: DataFrame, columns: list[str], most: int) -> list[tuple]:
+    """At most ``most`` rows, those with the lowest hash of ``text``; about one and a half times as many leave the tasks."""
+    n = rows.count()
+    share = min(1.0, 1.5 * most / max(n, 1))
+    h = F.xxhash64("text")
+    few = rows.where(F.pmod(h, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) + 1)) if share < 1 else rows
+    return [tuple(r) for r in few.orderBy(F.pmod(h, F.lit(1 << 40)), *columns).select(*columns).limit(most).collect()]
+
+
 def fit_on(rows: DataFrame, sample_rows: int = 6000) -> NgramModel:
     """A model from at most ``sample_rows`` labelled rows (text, code), those with the lowest hash of their text."""
     labelled = rows.where(F.col("code").isNotNull() & (F.length("text") > 0)).select("text", "code")
-    return fit([(r[0], r[1]) for r in labelled.orderBy(F.xxhash64("text"), "code").limit(sample_rows).collect()])
+    return fit(bounded_sample(labelled, ["text", "code"], sample_rows))
 
 
-def languages_of(rows: DataFrame, model: NgramModel, penalty: float = 8.0, least_words: int = 3, temper: float = 0.5) -> DataFrame:
+def languages_of(rows: DataFrame, model: NgramModel, penalty: float = 8.0, least_words: int = 4, temper: float = 0.5) -> DataFrame:
     """(table_name, row_id, label, language, confidence, main, sentences, several): one row per language of each text.
 
     ``rows``: table_name, row_id, label, text.  ``temper`` flattens the likelihoods, as neighbouring n-grams depend on

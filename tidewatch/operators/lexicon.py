@@ -22,7 +22,12 @@ def hits(text: Column, terms: list[str]) -> Column:
 
 def sentiment(text: Column, positive: list[str], negative: list[str]) -> Column:
     """Struct of label, shares and confidence."""
-    p, n = hits(text, positive).cast("double"), hits(text, negative).cast("double")
+    counts = F.struct(hits(text, positive).cast("double").alias("p"), hits(text, negative).cast("double").alias("n"))
+    # Counted once, although the formula uses the counts many times.
+    return F.transform(F.array(counts), lambda c: _sentiment(c["p"], c["n"]))[0]
+
+
+def _sentiment(p: Column, n: Column) -> Column:
     total = p + n
     strength = F.least(F.lit(1.0), total / 4)
     up, down = (p + 0.5) / (total + 1) * strength, (n + 0.5) / (total + 1) * strength

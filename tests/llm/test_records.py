@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import rows
-from tidewatch.llm.batches import AcceptedHistory, describe, duplicates, headline_words, keys_of, page_of, same_but_for_slips, sketch_of
+from tidewatch.llm.batches import AcceptedHistory, alike, blocks_of, describe, duplicates, headline_words, keys_of, page_of, same_but_for_slips, sketch_of
 from tidewatch.llm.mixing import TOKENIZER, DomainClassifier, fit_rates, mix, reached_shares
 from tidewatch.llm.names import link_names, match_cost, typing_errors, words_of_name
 
@@ -77,6 +77,21 @@ def test_a_large_group_of_copies(spark):
     assert set(got) == set(range(1, 300)) and set(got.values()) == {0}
 
 
+def test_a_copy_far_from_its_original_in_every_key(spark):
+    """Reports that differ in numbers share their headline and minimal hashes; the copy's original is not near it."""
+    told = lambda n: BODY.replace("325", str(1000 + n))
+    slipped = told(0).replace("promised", "promisde")
+    data = [(i, 0, f"https://s{i}.example/{i}", "Drivers in Kisan wait for 325 tickets", told(i), None, None) for i in range(60)]
+    data += [(100, 1, "https://t.example/1", "Drivers in Kisan wait for 325 tickets", slipped, None, None), (101, 1, "https://t.example/2", "Driver in Kisan wait for 325 tickets now", slipped, None, None)]
+    data += [(102, 1, "https://t.example/3", None, told(30), None, None), (103, 2, "https://t.example/4", "Divers in Kisan wait for 325 tickets", None, None, None), (104, 2, None, None, None, None, None)]
+    records = describe(spark.createDataFrame(data, RECORD))
+    got = dict(rows(duplicates(records, 0, window=3), "id", "first"))
+    assert got == {100: 0, 101: 0, 102: 30, 103: 0}
+    whole, parts = ({tuple(r) for r in alike(records, 0, most=n).collect()} for n in (2000, 5))
+    assert whole == parts and {(100, 0), (101, 0), (101, 100), (102, 30), (103, 0), (103, 59)} <= whole
+    assert blocks_of("5 of 12 roads".split(), "kisan 5 of 12 roads".split()) == ["5 12"] and blocks_of([], ["x"]) == []
+
+
 def test_keys_are_bounded():
     assert all(len(k) <= 400 for k in keys_of("p" * 5000, ["w" * 999] * 9, sketch_of(["a"] * 9))) and keys_of("", [], sketch_of([])) == []
 

@@ -9,8 +9,12 @@ Runs are compacted into one when there are more than ``most_runs``.
 A key row carries a sketch of the record's text (64 minimal hashes of its word triples), its page and its headline, so
 neighbours that can't be the same report are told apart in the window, and only the rest are compared by their texts.
 
-A key is followed by the record's text fingerprint, so equal reports are neighbours even where thousands of records
-share a headline, and key ranges split anywhere: the records at both ends of every range are compared once more.
+A key of a headline or a text is followed by a hash of the whole text, so equal texts are neighbours even where
+thousands of records share a headline, and key ranges split anywhere: the records at both ends of every range are
+compared once more.  Records of one page stand in the order of acceptance, so each is next to the one before it.
+
+What stands outside the window is met exactly (``alike``): headlines of one report have the same words with digits in the
+same order, as neither slips nor loose ends may hold any.  All pairs of such a block are compared by their sketches.
 
 Defined results: records without page, headline and text are no duplicates of anything; without text, a headline with
 a number and five words is enough, without headline a text of eight words is; a record repeated under the same batch
@@ -72,7 +76,7 @@ def text_words(text: str | None) -> list[str]:
     return _WORD.findall(seen)
 
 
-SKETCH = 64
+SKETCH, LEAST = 64, 0.25  # places; the share of them in which texts of one report agree
 _ODD = (np.random.default_rng(11).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1))[:, None]
 
 
@@ -86,18 +90,23 @@ def sketch_of(words: list[str]) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))).min(axis=1)
 
 
-def keys_of(page: str, headline: list[str], sketch: np.ndarray) -> list[str]:
-    """The sort keys, each with its kind in front."""
+def keys_of(page: str, headline: list[str], sketch: np.ndarray, text: str = "") -> list[str]:
+    """The sort keys, each with its kind in front; ``text``: a hash of the whole text."""
     mins = [f"{v:016x}" for v in sketch[:3]]
-    print_ = mins[0] if mins else "-"
+    print_ = f"{mins[0]}|{text}" if mins else "-"
     out = [f"a{page}"] if page else []
     if len(headline) >= 3:
         out += [f"b{' '.join(headline)}|{print_}", f"c{' '.join(reversed(headline))}|{print_}"]
     if mins:
-        out += [f"{'def'[i]}{m}|{mins[(i + 1) % 3]}" for i, m in enumerate(mins)]
+        out += [f"{'def'[i]}{m}|{mins[(i + 1) % 3]}|{text}" for i, m in enumerate(mins)]
     return [k[:400] for k in out]
 
 
+def blocks_of(headline: list[str], whole: list[str]) -> list[str]:
+    """The words with digits of a headline and of all its words, in their order: equal for one of each in one report."""
+    return list(dict.fromkeys(" ".join(w for w in x if any(c.isdigit() for c in w)) for x in (headline, whole))) if headline else []
+
+
 def _slip(a: str, b: str) -> bool:
     """Whether b is a with one typing error in it."""
     return not (any(c.isdigit() for c in a + b)) and min(len(a), len(b)) >= 2 and max(len(a), len(b)) >= 3 and typing_errors(a, b, 1) <= 1
@@ -160,7 +169,7 @@ def same_report(a: dict, b: dict) -> bool:
     return bool(body) and len(a["body"]) >= 8
 
 
-_RECORD = "id long, batch int, page string, headline array<string>, whole array<string>, body array<string>, keys array<string>, sketch binary, page_code long, head_code long"
+_RECORD = "id long, batch int, page string, headline array<string>, whole array<string>, body array<string>, keys array<string>, sketch binary, page_code long, head_code long, copy string, blocks array<string>"
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,8 +180,9 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sketch = sketch_of(body)
             told = len(head) >= 5 and any(c.isdigit() for w in head for c in w)  # a headline that tells reports apart
             codes = [xxhash.xxh64_intdigest(x) >> 1 if x else 0 for x in (page, " ".join(head) if told else "")]
-            rows.append((i, batch, page, head, whole, body, keys_of(page, head, sketch), (sketch & np.uint64(0xFFFF)).astype("<u2").tobytes(), *codes))
-        yield pd.DataFrame(rows, columns=["id", "batch", "page", "headline", "whole", "body", "keys", "sketch", "page_code", "head_code"])
+            copy = xxhash.xxh3_128_hexdigest("\n".join(" ".join(x) for x in (head, whole, body))) if whole or body else None
+            rows.append((i, batch, page, head, whole, body, keys_of(page, head, sketch, xxhash.xxh64_hexdigest(" ".join(body))), (sketch & np.uint64(0xFFFF)).astype("<u2").tobytes(), *codes, copy, blocks_of(head, whole)))
+        yield pd.DataFrame(rows, columns=["id", "batch", "page", "headline", "whole", "body", "keys", "sketch", "page_code", "head_code", "copy", "blocks"])
 
 
 def describe(records: DataFrame) -> DataFrame:
@@ -185,7 +195,7 @@ _CODES = ("sketch", "page_code", "head_code")
 _PAIR = "id long, other long, batch int, key string, edge int, sketch binary, page_code long, head_code long"
 
 
-def may_be_same(a: tuple, b: tuple, least: float = 0.25) -> bool:
+def may_be_same(a: tuple, b: tuple, least: float = LEAST) -> bool:
     """Whether two records (sketch, page, headline) can be the same report: one page, one telling headline, or texts
     of which the sketches share at least ``least``; true where one has no text.
     """
@@ -250,6 +260,84 @@ def neighbours(keys: DataFrame, window: int, known: int) -> DataFrame:
     return near.where("edge = 0").unionByName(across).select("id", "other").where("id <> other").distinct()
 
 
+def _all_pairs(known: int):
+    """All pairs within a key that may be the same report; rows come sorted by key."""
+
+    def within(rows: list[tuple]) -> list[tuple]:
+        if len(rows) < 2:
+            return []
+        rows = sorted(rows, key=lambda r: (r[0], r[1]))
+        has = np.array([len(r[2]) > 0 for r in rows])
+        sketches = np.stack([np.frombuffer(r[2] or bytes(2 * SKETCH), dtype="<u2") for r in rows])
+        page, line = (np.array([r[n] for r in rows]) for n in (3, 4))
+        out = []
+        for n, (batch, i, *_) in enumerate(rows):
+            if n and batch > known:
+                near = np.full(n, True)
+                if has[n]:
+                    near = ((sketches[:n] == sketches[n]).sum(axis=1) >= LEAST * SKETCH) | ~has[:n] | ((line[:n] == line[n]) & (line[n] != 0)) | ((page[:n] == page[n]) & (page[n] != 0))
+                out += [(i, rows[k][1]) for k in np.flatnonzero(near)]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for b in batches:
+            out = []
+            for k, *row in zip(b["key"], b["batch"], b["id"], b["sketch"], b["page_code"], b["head_code"]):
+                if k != key:
+                    out += within(held)
+                    key, held = k, []
+                held.append(tuple(row))
+            if out:
+                yield pd.DataFrame(out, columns=["id", "other"])
+        if last := within(held):
+            yield pd.DataFrame(last, columns=["id", "other"])
+
+    return run
+
+
+def _places(n: int):
+    """The first ``n`` places of a sketch, each with what stands there."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.concat(p.cast("string"), F.lit(":"), F.hex(F.substring("sketch", p * 2 + 1, F.lit(2)))))
+
+
+def alike(described: DataFrame, known: int, most: int = 2000) -> DataFrame:
+    """(id, other): all pairs of a new record and one accepted before it that ``may_be_same`` by text or headline.
+
+    Copies to the letter meet their first only, which stands for them.  The firsts meet in the blocks of their headlines.
+    In a block of more than ``most``, those meet that share one of 49 places of the sketch or the telling headline: of two
+    sketches that share 16 of 64 places, no more than 48 differ.  Texts without headline meet by counted places.
+    """
+    rows = described.where("copy is not null")
+    first = cut(rows.groupBy("copy").agg(F.min(F.struct("batch", "id", *_CODES, "blocks", (F.size("headline") == 0).alias("bare"))).alias("f")).select("copy", "f.*"))
+    copies = rows.where(F.col("batch") > known).select("id", "copy").join(first.select("copy", F.col("id").alias("other")), "copy").select("id", "other")
+    blocked = first.select("batch", "id", *_CODES, F.explode("blocks").alias("block"))
+    blocked = blocked.join(blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "block")
+    columns = ["key", "batch", "id", *_CODES]
+    large = blocked.where(F.col("n") > most)
+    line = F.when(F.col("head_code") != 0, F.array(F.concat(F.lit("h"), F.col("head_code").cast("string")))).otherwise(F.array().cast("array<string>"))
+    place = F.when(F.length("sketch") > 0, _places(SKETCH - int(LEAST * SKETCH) + 1)).otherwise(F.array().cast("array<string>"))
+    parts = large.withColumn("part", F.explode(F.concat(place, line))).withColumn("key", F.concat_ws("\n", "block", "part"))
+    keyed = blocked.where(F.col("n") <= most).withColumn("key", F.col("block")).select(columns).unionByName(parts.select(columns))
+    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_all_pairs(known), "id long, other long")
+
+    def ordered(met: DataFrame) -> DataFrame:
+        """From pairs x, y in any order: the later one and the earlier one."""
+        late = F.struct("x.batch", "x.id") > F.struct("y.batch", "y.id")
+        return met.where(F.greatest("x.batch", "y.batch") > known).select(F.when(late, F.col("x.id")).otherwise(F.col("y.id")).alias("id"), F.when(late, F.col("y.id")).otherwise(F.col("x.id")).alias("other"))
+
+    # A record without text is the same report only by a headline with a number.
+    textless = large.where((F.length("sketch") == 0) & (F.col("block") != "")).alias("x")
+    pairs = pairs.unionByName(copies).unionByName(ordered(textless.join(large.alias("y"), F.col("x.block") == F.col("y.block"))))
+    placed = first.where(F.length("sketch") > 0)
+    if not placed.where("bare").isEmpty():
+        placed = placed.select("batch", "id", "bare", F.explode(_places(SKETCH)).alias("place"))
+        met = placed.where("bare").alias("x").join(placed.alias("y"), F.expr("x.place = y.place and x.id <> y.id"))
+        met = met.groupBy(F.struct("x.batch", "x.id").alias("x"), F.struct("y.batch", "y.id").alias("y")).count().where(F.col("count") >= LEAST * SKETCH)
+        pairs = pairs.unionByName(ordered(met))
+    return pairs.where("id <> other").distinct()
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = []
@@ -278,7 +366,7 @@ def link_to_first(pairs: DataFrame, order: DataFrame) -> DataFrame:
 def duplicates(described: DataFrame, known: int, window: int = 10) -> DataFrame:
     """(id, first): for records of batches after ``known``, the first accepted record with the same report."""
     keys = described.select("id", "batch", F.explode("keys").alias("key"), *_CODES)
-    near = neighbours(keys, window, known)
+    near = neighbours(keys, window, known).unionByName(alike(described, known)).distinct()
     light = described.select("id", "page", *_LISTS)
     met = near.join(light, "id").join(light.select(F.col("id").alias("other"), *[F.col(c).alias(c + "2") for c in ("page", *_LISTS)]), "other")
     same = met.mapInPandas(_verify, "id long, other long")

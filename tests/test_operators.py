@@ -192,3 +192,23 @@ def test_near_duplicates_and_links(spark):
     assert rows(similar.apply_corrections(m, c), "value", "is_current") == [("negative", True), ("positive", False)]
     fresh = similar.model_stage(spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "content_hash string, text string"), spark.createDataFrame([("b",)], "content_hash string"), lambda p: p.assign(label=p["text"] * 2)[["content_hash", "label"]], "content_hash string, label string")
     assert rows(fresh, "content_hash", "label") == [("a", "xx")]
+
+
+def test_near_duplicates_miss_no_pair(spark):
+    """Against brute force: headlines contained in longer ones, reworded, and without a word in common."""
+    from tidewatch.functions.text import token_set_ratio
+    from tidewatch.operators import similar
+
+    t0, heads = datetime(2025, 1, 1), [f"{a} {b} {c} {d}" for a in ("roads", "bridges") for b in ("closed", "opened") for c in ("near", "beyond") for d in ("kisan", "hutas", "muril")]
+    data = []
+    for n, head in enumerate(heads):
+        longer = f"{head} as the council of the whole province decides about lorries and ferries for season {n}"
+        slips = " ".join(w + "s" for w in head.split())
+        reworded = f"{head} after {n} days of talks in town"
+        data += [(10 * n + k, k, t0 + timedelta(hours=(7 * n + 5 * k) % 90), "en", x, "") for k, x in enumerate((head, longer, slips, reworded, reworded.replace("talks", "long talk"), " ".join(reversed(longer.split()))))]
+    s = lambda r: (r[2], r[0])
+    want = {(a[0], b[0]) for a in data for b in data if s(b) < s(a) and a[2] - b[2] <= timedelta(hours=48) and token_set_ratio(a[4], b[4]) >= 88}
+    assert any(not set(data[i // 10 * 6 + i % 10][4].split()) & set(data[j // 10 * 6 + j % 10][4].split()) for i, j in want)
+    items = spark.createDataFrame(data, "item_id int, source_id int, at timestamp, language string, title string, text string")
+    for most in (4000, 5):
+        assert {tuple(r) for r in similar.near_duplicates(items, links=1000, most=most).select("item_id", "other_id").collect()} == want

@@ -2,43 +2,92 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewatch.functions.text import indel_similarity, shingles, token_set_similarity
+from tidewatch.functions.text import indel_similarity, token_set_similarity
 from tidewatch.functions.vectors import cosine
 from tidewatch.session import cut
 
 HORIZON, REPOST = 48 * 3600, 12 * 3600
 
 
-def _banding(bands: int, rows_per_band: int, seed: int = 7):
-    """Keys of the bands of a MinHash of word shingles."""
-    odd = (np.random.default_rng(seed).integers(1, 2**63, bands * rows_per_band, dtype=np.uint64) | np.uint64(1))[:, None]
+PLACES = 1024
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(items: pd.Series) -> pd.Series:
-        def one(words) -> list[int]:
-            base = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-            with np.errstate(over="ignore"):
-                mixed = base[None, :] * odd
-            least = (mixed ^ (mixed >> np.uint64(29))).min(axis=1).reshape(bands, rows_per_band)
-            return [xxhash.xxh64_intdigest(row.tobytes(), seed=b) - 2**63 for b, row in enumerate(least)]
 
-        return items.map(one)
-
-    return keys
+def _pieces(title: str) -> tuple[np.ndarray, np.ndarray, int, frozenset, frozenset]:
+    """Counts of the letter pairs of a title's different words, roots of the words' lengths, the joined words' length, and
+    the numbered letter pairs and letters themselves.
 
+    The first two go by hash: where two fall on one place, the product of two such rows is larger, never smaller.
+    """
+    pairs, words = np.zeros(PLACES, np.float32), np.zeros(PLACES, np.float32)
+    seen: Counter = Counter()
+    length = -1
+    for w in set(title.split()):
+        length += len(w) + 1
+        words[xxhash.xxh32_intdigest(w) % PLACES] += (len(w) + 1) ** 0.5
+        seen.update(map("".join, zip(f" {w}", f"{w} ")))
+    for piece, n in seen.items():
+        for k in range(n):
+            pairs[xxhash.xxh32_intdigest(piece, seed=k) % PLACES] += 1
+    letters = Counter(" ".join(set(title.split())))
+    return pairs, words, length, *(frozenset((x, k) for x, n in c.items() for k in range(n)) for c in (seen, letters))
+
+
+def _may_agree(least: float, chunk: int = 512):
+    """(item_id, other_id): the pairs of a key that can reach ``least`` by their words or letters; rows come sorted by key.
+
+    A token set similarity of ``least`` comes from the common words alone, which then make up least / (200 - least) of one
+    title's words, or from a common subsequence of least / 200 of both titles' letters; every letter outside it destroys
+    at most two letter pairs of its own title or one of the other, so (3 least / 200 - 1) of both lengths are in common.
+    """
 
-def near_duplicates(items: DataFrame, bands: int = 21, rows_per_band: int = 3, least_title: float = 88.0, links: int = 3) -> DataFrame:
+    def within(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        new, old = ([r[1:] for r in rows if r[0] == flag] for flag in (True, False))
+        if not new or not old:
+            return
+        (*of_new, two_n, one_n), (*of_old, two_o, one_o) = (zip(*(_pieces(r[2]) for r in x)) for x in (new, old))
+        (pn, wn, ln), (po, wo, lo) = map(np.array, of_new), map(np.array, of_old)
+        (i, s), (j, so) = (map(np.array, zip(*(r[:2] for r in x))) for x in (new, old))
+        for k in range(0, len(new), chunk):
+            at = slice(k, k + chunk)
+            gap = s[at, None] - so[None, :]
+            ok = (gap >= 0) & (gap <= HORIZON) & ((gap > 0) | (j[None, :] < i[at, None]))
+            short = np.minimum(ln[at, None], lo[None, :])
+            by_words = wn[at] @ wo.T - 1 >= least / (200 - least) * short - 0.01
+            both = ln[at, None] + lo[None, :]
+            by_letters = pn[at] @ po.T - 1 >= (3 * least / 200 - 1) * both - 0.01
+            x, y = np.nonzero(ok & by_letters & ~by_words)
+            kept = [len(two_n[k + a] & two_o[b]) - 1 >= (3 * least / 200 - 1) * both[a, b] - 0.01 and len(one_n[k + a] & one_o[b]) >= least / 200 * both[a, b] - 0.01 for a, b in zip(x, y)]
+            x, y = (np.concatenate(z) for z in zip(np.nonzero(ok & by_words), (x[np.array(kept, dtype=bool)], y[np.array(kept, dtype=bool)])))
+            if len(x):
+                yield pd.DataFrame({"item_id": i[at][x], "other_id": j[y]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for b in batches:
+            for bucket, part, *row in zip(*(b[c] for c in ("bucket", "part", "newer", "item_id", "s", "title"))):
+                if (bucket, part) != key:
+                    yield from within(held)
+                    key, held = (bucket, part), []
+                held.append(tuple(row))
+        yield from within(held)
+
+    return run
+
+
+def near_duplicates(items: DataFrame, least_title: float = 88.0, links: int = 3, most: int = 4000) -> DataFrame:
     """(item_id, other_id, kind, score): what each item repeats of the 48 hours before it.
 
-    ``items``: item_id, source_id, at, language, title, text (matching forms).  Headlines of four words or more meet in
-    a band of their MinHash; a link goes to an older item only.  Of one source: duplicate if the texts agree to 95 or
+    ``items``: item_id, source_id, at, language, title, text (matching forms).  All headlines of four words or more
+    within 48 hours are held against bounds of their similarity (in parts of ``most`` newer ones), and what can reach
+    ``least_title`` is compared; a link goes to an older item only.  Of one source: duplicate if the texts agree to 95 or
     within 12 hours.  Of another: syndicated if the texts agree to 90, or without text if the headlines agree to 97 in
     one language; the earliest copy counts.  Then up to ``links`` of the same story by score.  Ties go to the lower id.
     """
@@ -46,10 +95,15 @@ def near_duplicates(items: DataFrame, bands: int = 21, rows_per_band: int = 3, l
         "item_id", "source_id", "language", "title", F.coalesce("text", F.lit("")).alias("text"), F.unix_timestamp("at").alias("s")
     )
     rows = cut(rows)  # the forms come from Python and are read three times
-    sketched = rows.withColumn("bands", _banding(bands, rows_per_band)(shingles(F.col("title"))))
-    keyed = sketched.select("item_id", "s", F.explode("bands").alias("band")).withColumn("bucket", F.floor(F.col("s") / HORIZON))
-    older = keyed.select(F.col("item_id").alias("other_id"), F.col("s").alias("so"), "band", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    met = keyed.join(older, ["band", "bucket"]).where("(so < s or (so = s and other_id < item_id)) and s - so <= 172800").select("item_id", "other_id").distinct()
+    here = rows.select("item_id", "s", "title", F.floor(F.col("s") / HORIZON).alias("bucket"))
+    sizes = here.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    newer = here.join(sizes, "bucket").select("bucket", F.pmod(F.xxhash64("item_id"), "parts").cast("int").alias("part"), F.lit(True).alias("newer"), "item_id", "s", "title")
+    older = here.select(F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"), "item_id", "s", "title").join(sizes, "bucket")
+    older = older.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("newer"), "item_id", "s", "title")
+    kind = rows.schema["item_id"].dataType.simpleString()
+    # A task a bucket and part, even where the tables are small.
+    spread = newer.unionByName(older).repartition(rows.sparkSession.sparkContext.defaultParallelism * 4, "bucket", "part").sortWithinPartitions("bucket", "part")
+    met = spread.mapInPandas(_may_agree(least_title), f"item_id {kind}, other_id {kind}")
     o = rows.select(F.col("item_id").alias("other_id"), F.col("source_id").alias("source_o"), F.col("language").alias("language_o"), F.col("title").alias("title_o"), F.col("text").alias("text_o"), F.col("s").alias("so"))
     pairs = met.join(rows, "item_id").join(o, "other_id").withColumn("t", token_set_similarity("title", "title_o")).where(F.col("t") >= least_title)
     pairs = pairs.withColumn("b", F.when((F.col("text") != "") & (F.col("text_o") != ""), indel_similarity("text", "text_o")))

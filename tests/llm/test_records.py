@@ -96,6 +96,14 @@ def test_keys_are_bounded():
     assert all(len(k) <= 400 for k in keys_of("p" * 5000, ["w" * 999] * 9, sketch_of(["a"] * 9))) and keys_of("", [], sketch_of([])) == []
 
 
+def test_long_keys_stay_apart():
+    """Beyond 400 characters pages differ still, and a headline is followed by the hash of its text."""
+    sketch, long = sketch_of(["a"] * 9), ["w" * 99] * 9
+    (a, b, c, *_), (a2, b2, c2, *_) = (keys_of("p" * 500 + end, long, sketch, end) for end in "xy")
+    assert len({a, a2, b, b2, c, c2}) == 6 and all(len(k) <= 400 for k in (a, b, c)) and b[:300] == b2[:300] and b.endswith("|x")
+    assert keys_of("p" * 500, long, sketch)[0] != keys_of("p" * 501, long, sketch)[0]
+
+
 NAMES = [(1, False, "Abdulrahman Mafabus"), (1, False, "عبدالرحمن مافابوس"), (1, False, "Mafabus"), (2, False, "Dawud Ligajas"), (3, False, "Hassan Ligajas"), (4, True, "Kizujam Election Commission"), (4, True, "KEC"), (5, True, "Mujiran Fishermen Association"), (6, True, "Gulunam Water Board"), (7, True, "Gulunam Development Fund"), (8, False, "Robert al-Baradin")]
 
 

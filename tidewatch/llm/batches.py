@@ -90,16 +90,23 @@ def sketch_of(words: list[str]) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))).min(axis=1)
 
 
+def _bounded(stem: str, tail: str = "", most: int = 400) -> str:
+    """A key of at most ``most`` characters: a longer stem keeps its beginning and a hash of the whole before the tail."""
+    if len(stem) + len(tail) > most:
+        stem = f"{stem[: most - len(tail) - 17]}#{xxhash.xxh64_hexdigest(stem.encode('utf-8', 'surrogatepass'))}"
+    return stem + tail
+
+
 def keys_of(page: str, headline: list[str], sketch: np.ndarray, text: str = "") -> list[str]:
     """The sort keys, each with its kind in front; ``text``: a hash of the whole text."""
     mins = [f"{v:016x}" for v in sketch[:3]]
     print_ = f"{mins[0]}|{text}" if mins else "-"
-    out = [f"a{page}"] if page else []
+    out = [_bounded(f"a{page}")] if page else []
     if len(headline) >= 3:
-        out += [f"b{' '.join(headline)}|{print_}", f"c{' '.join(reversed(headline))}|{print_}"]
+        out += [_bounded(f"b{' '.join(headline)}", f"|{print_}"), _bounded(f"c{' '.join(reversed(headline))}", f"|{print_}")]
     if mins:
         out += [f"{'def'[i]}{m}|{mins[(i + 1) % 3]}|{text}" for i, m in enumerate(mins)]
-    return [k[:400] for k in out]
+    return out
 
 
 def blocks_of(headline: list[str], whole: list[str]) -> list[str]:

@@ -130,3 +130,17 @@ def test_history_of_one_entity_over_ranges(spark):
         want += payload is not None and payload != now
         now = payload
     assert build_history(_deliveries(spark, data).repartition(8)).count() == want
+
+
+def test_p1_reads_dates_as_p6_does(spark, tmp_path):
+    """Only the raw items of the source tell that its days come first."""
+    from tidewatch.plans.problems import p1_found, p6_found
+
+    write = lambda name, data, schema: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write("sources", [(1, "UTC")], "source_id int, time_zone string")
+    write("raw_items", [(n, 1, "2025-06-01 00:00:00", f"{12 + n}/03/2025 10:00") for n in range(1, 9)], "item_id int, source_id int, fetched_at string, published_at string")
+    write("articles", [(1, 1, "2025-06-01 00:00:00", "04/03/2025 10:00")], "article_id int, source_id int, fetched_at string, published_at string")
+    write("source_orientation", [(7, 1, "2025-01-01", "2025-03-20", "2025-01-01", "2025-03-20"), (8, 1, "2025-03-20", None, "2025-03-20", None)], "orientation_id int, source_id int, valid_from string, valid_to string, created_at string, closed_at string")
+    got = {r["row_id"]: r["instant_us"] for r in p6_found(spark, str(tmp_path)).where("table_name = 'articles'").collect()}
+    assert got == {1: 1741082400000000}  # 4 March
+    assert [tuple(r) for r in p1_found(spark, str(tmp_path)).select("article_id", "orientation_id").collect()] == [(1, 7)]

@@ -16,16 +16,21 @@ def _dated(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
     return rows.where(F.col("published_at").isNotNull() & F.col("row_key").isNotNull()).join(zones, "source_id", "left")
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The instant that each published_at denotes."""
+def _instants(spark: SparkSession, folder: str) -> DataFrame:
+    """The instants of both tables; a source keeps one order of day and month over both."""
     records = _dated(spark, folder, "raw_items", "item_id").unionByName(_dated(spark, folder, "articles", "article_id"))
     split = F.split("row_key", ":")
-    return resolve_instants(records).select(split[0].alias("table_name"), split[1].cast("long").alias("row_id"), "instant_us").distinct()
+    return resolve_instants(records).select(split[0].alias("table_name"), split[1].cast("long").alias("row_id"), "instant_us")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The instant that each published_at denotes."""
+    return _instants(spark, folder).distinct()
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The orientation row of each article's source that held when it was published, as recorded by then."""
-    instants = resolve_instants(_dated(spark, folder, "articles", "article_id")).select(F.split("row_key", ":")[1].cast("long").alias("event_id"), "instant_us")
+    instants = _instants(spark, folder).where("table_name = 'articles'").select(F.col("row_id").alias("event_id"), "instant_us")
     owners = table(spark, folder, "articles").select(F.col("article_id").cast("long").alias("event_id"), F.col("source_id").alias("entity_id"))
     events = instants.join(owners, "event_id").select("event_id", "entity_id", "instant_us")
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))

@@ -1,10 +1,9 @@
 """Problem 2: duplicates of new batches against all accepted history.
 
 Multi-key sorted neighbourhood.  Every record has a few keys: its page, its headline read from either end, and the
-smallest hashes of its text's word triples.  Accepted records are kept as runs, written tables sorted by key.  A new
-batch becomes a sorted run of its own and is merged into the others' key ranges; only the ``window`` records around a
-new one are compared with it.  Only keys and fingerprints of the history are read, texts only of records that meet.
-Runs are compacted into one when there are more than ``most_runs``.
+smallest hashes of its text's word triples.  Only the ``window`` records around a new one in key order are compared with
+it.  Accepted records are kept as written runs sorted by id, compacted into one when there are more than ``most_runs``;
+every new batch reads all runs and sorts the whole history's keys again.
 
 A key row carries a sketch of the record's text (64 minimal hashes of its word triples), its page and its headline, so
 neighbours that can't be the same report are told apart in the window, and only the rest are compared by their texts.

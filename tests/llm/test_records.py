@@ -1,10 +1,12 @@
 """Problems 2, 7 and 9 against plain versions, and with nulls, ties, repeats and empty tables."""
 
+import random
+
 import numpy as np
 import pytest
 
 from tests.conftest import rows
-from tidewatch.llm.batches import AcceptedHistory, alike, blocks_of, describe, duplicates, headline_words, keys_of, page_of, same_but_for_slips, sketch_of
+from tidewatch.llm.batches import RUN, AcceptedHistory, blocks_of, duplicates, gram_codes, headline_words, mark_keys, order_keys, page_of, same_but_for_slips, winnow
 from tidewatch.llm.mixing import TOKENIZER, DomainClassifier, fit_rates, mix, reached_shares
 from tidewatch.llm.names import link_names, match_cost, typing_errors, words_of_name
 
@@ -52,56 +54,94 @@ def _records():
 WANT = {10: 1, 11: 1, 15: 12, 17: 1}
 
 
-def test_duplicates(spark):
-    df = spark.createDataFrame([(*r, "k", 5) for r in _records()], RECORD)
-    assert dict(rows(duplicates(describe(df), 0), "id", "first")) == WANT
-    assert duplicates(describe(df.limit(0)), 0).count() == 0
+def _frame(spark, data):
+    return spark.createDataFrame([(*r[:5], "k", 5) for r in data], RECORD)
 
 
-def test_batches_one_by_one_give_the_same(spark, tmp_path):
-    store = AcceptedHistory(spark, str(tmp_path / "history"), most_runs=2)
-    got = {}
-    for batch in range(3):
-        part = [r for r in _records() if r[1] == batch]
-        df = spark.createDataFrame([(*r, "k", 5) for r in part], RECORD).drop("batch")
-        got |= dict(rows(store.accept(df, batch), "id", "first"))
-    got |= dict(rows(store.accept(spark.createDataFrame([(*_records()[4], "k", 5)], RECORD).selectExpr("id + 100 as id", "url", "title", "text"), 3), "id", "first"))
-    assert {k: v for k, v in got.items() if v} == WANT | {110: 1} and len(store.runs) <= 2
+def test_duplicates(spark):
+    df = _frame(spark, _records())
+    assert dict(rows(duplicates(df), "id", "first")) == WANT
+    assert dict(rows(duplicates(df.unionByName(df), window=1, range_rows=20), "id", "first")) == WANT
+    assert duplicates(df.limit(0)).count() == 0
+
+
+def test_another_session_goes_on_with_the_folder(spark, tmp_path):
+    """Each batch in a store of its own; runs are compacted, and what is no more in use is deleted."""
+    folder, got = str(tmp_path / "history"), {}
+    again = [(110, 3, *_records()[4][2:])]
+    for batch in range(4):
+        part = _frame(spark, [r for r in [*_records(), *again] if r[1] == batch]).drop("batch")
+        store = AcceptedHistory(spark, folder, fan=2, range_rows=10)
+        got |= dict(rows(store.accept(part, batch), "id", "first"))
+    assert got == WANT | {110: 1} and len(store.runs) <= 3 and sum(r["rows"] for r in store.runs) == 14
+    assert len(list((tmp_path / "history").iterdir())) == 2 * len(store.runs) + 1
+    with pytest.raises(ValueError, match="after 3"):
+        store.accept(part, 3)
 
 
 def test_a_large_group_of_copies(spark):
-    """More copies than any window, over several ranges of keys."""
-    data = [(i, i // 80, f"https://s{i}.example/{i}", "Drivers in Kisan wait for 325 tickets", BODY, None, None) for i in range(300)]
-    data += [(1000 + i, 1, f"https://t{i}.example/{i}", "Letters to the desk", f"reader {i} wrote {i * 7} lines about {'abcdefghij'[i % 10] * 5} things", None, None) for i in range(100)]
-    got = dict(rows(duplicates(describe(spark.createDataFrame(data, RECORD).repartition(6)), -1, window=5), "id", "first"))
+    """More copies than any window, over several ranges of keys, of which none but the first leaves marks."""
+    data = [(i, i // 80, f"https://s{i}.example/{i}", "Drivers in Kisan wait for 325 tickets", BODY) for i in range(300)]
+    data += [(1000 + i, 1, f"https://t{i}.example/{i}", "Letters to the desk", f"reader {i} wrote {i * 7} lines about {'abcdefghij'[i % 10] * 5} things") for i in range(100)]
+    got = dict(rows(duplicates(_frame(spark, data).repartition(6), window=5, range_rows=100), "id", "first"))
     assert set(got) == set(range(1, 300)) and set(got.values()) == {0}
 
 
-def test_a_copy_far_from_its_original_in_every_key(spark):
-    """Reports that differ in numbers share their headline and minimal hashes; the copy's original is not near it."""
+def test_a_copy_far_from_its_original_in_every_order(spark):
+    """Reports that differ in numbers share their headline; the copy's original is not near it."""
     told = lambda n: BODY.replace("325", str(1000 + n))
     slipped = told(0).replace("promised", "promisde")
-    data = [(i, 0, f"https://s{i}.example/{i}", "Drivers in Kisan wait for 325 tickets", told(i), None, None) for i in range(60)]
-    data += [(100, 1, "https://t.example/1", "Drivers in Kisan wait for 325 tickets", slipped, None, None), (101, 1, "https://t.example/2", "Driver in Kisan wait for 325 tickets now", slipped, None, None)]
-    data += [(102, 1, "https://t.example/3", None, told(30), None, None), (103, 2, "https://t.example/4", "Divers in Kisan wait for 325 tickets", None, None, None), (104, 2, None, None, None, None, None)]
-    records = describe(spark.createDataFrame(data, RECORD))
-    got = dict(rows(duplicates(records, 0, window=3), "id", "first"))
+    data = [(i, 0, f"https://s{i}.example/{i}", "Drivers in Kisan wait for 325 tickets", told(i)) for i in range(60)]
+    data += [(100, 1, "https://t.example/1", "Drivers in Kisan wait for 325 tickets", slipped), (101, 1, "https://t.example/2", "Driver in Kisan wait for 325 tickets now", slipped)]
+    data += [(102, 1, "https://t.example/3", None, told(30)), (103, 2, "https://t.example/4", "Divers in Kisan wait for 325 tickets", None), (104, 2, None, None, None)]
+    got = dict(rows(duplicates(_frame(spark, data), window=3), "id", "first"))
     assert got == {100: 0, 101: 0, 102: 30, 103: 0}
-    whole, parts = ({tuple(r) for r in alike(records, 0, most=n).collect()} for n in (2000, 5))
-    assert whole == parts and {(100, 0), (101, 0), (101, 100), (102, 30), (103, 0), (103, 59)} <= whole
     assert blocks_of("5 of 12 roads".split(), "kisan 5 of 12 roads".split()) == ["5 12"] and blocks_of([], ["x"]) == []
 
 
-def test_keys_are_bounded():
-    assert all(len(k) <= 400 for k in keys_of("p" * 5000, ["w" * 999] * 9, sketch_of(["a"] * 9))) and keys_of("", [], sketch_of([])) == []
-
-
-def test_long_keys_stay_apart():
-    """Beyond 400 characters pages differ still, and a headline is followed by the hash of its text."""
-    sketch, long = sketch_of(["a"] * 9), ["w" * 99] * 9
-    (a, b, c, *_), (a2, b2, c2, *_) = (keys_of("p" * 500 + end, long, sketch, end) for end in "xy")
-    assert len({a, a2, b, b2, c, c2}) == 6 and all(len(k) <= 400 for k in (a, b, c)) and b[:300] == b2[:300] and b.endswith("|x")
-    assert keys_of("p" * 500, long, sketch)[0] != keys_of("p" * 501, long, sketch)[0]
+def test_shortened_reports(spark):
+    """Reports of 150 words, each with a later version of 25 words under the same headline without numbers."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghiklmnoprstu", k=r.randint(3, 9))) for _ in range(2000)]
+    data = []
+    for i in range(200):
+        text, at = r.choices(words, k=150), r.choice([0, 125])
+        data += [(i, 0, None, f"Letters {i % 3} to the desk".replace(f" {i % 3}", ""), " ".join(text)), (1000 + i, 1 + i % 2, None, "Letters to the desk", " ".join(text[at : at + 25]))]
+    got = dict(rows(duplicates(_frame(spark, data)), "id", "first"))
+    assert got == {1000 + i: i for i in range(200)}
+
+
+def test_rows_read_for_a_batch_do_not_grow_with_the_history(spark, tmp_path):
+    """A history four times as large has four times the ranges; the batch touches as many of them as before."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    read = []
+    for n in (400, 1600):
+        store = AcceptedHistory(spark, str(tmp_path / str(n)), range_rows=300)
+        store.accept(_frame(spark, [(i, 0, f"https://a.example/{i}", f"Headline number {i} of the day", text(i)) for i in range(n)]).drop("batch"), 0)
+        asked = []
+        take = store._read
+        store._read = lambda what, runs, touched=None, take=take, asked=asked: asked.append(take(what, runs, touched)) or asked[-1]  # noqa: B023
+        got = store.accept(_frame(spark, [(9999, 1, None, "Headline number 7 of the day", text(7))]).drop("batch"), 1)
+        assert rows(got, "id", "first") == [(9999, 7)]
+        read.append(sum(x.count() for x in asked))
+        assert store.state["ranges"] > 8
+    assert read[1] < 1.5 * read[0]
+
+
+def test_winnowed_marks_are_shared_by_common_runs():
+    r, known = random.Random(3), {}
+    for _ in range(200):
+        common = [f"c{r.random()}" for _ in range(RUN)]
+        a, b = ([f"{x}{r.random()}" for _ in range(r.randint(0, 30))] + common + [f"{x}{r.random()}" for _ in range(r.randint(0, 30))] for x in "ab")
+        assert set(winnow(gram_codes(a, 5, known), 5, RUN)) & set(winnow(gram_codes(b, 5, known), 5, RUN))
+    assert winnow(gram_codes(["a"] * 4, 5, known), 5, RUN) == [] and mark_keys([], [], [], {}) == []
+
+
+def test_long_order_keys_stay_apart():
+    """Beyond 400 characters a headline keeps a hash of the whole, followed by the hash of its text."""
+    a, b = (order_keys(["w" * 99] * 9, text) for text in "xy")
+    c = order_keys(["w" * 99] * 8 + ["v"], "x")
+    assert len({*a, *b, *c}) == 6 and all(len(k) <= 400 for k in (*a, *b, *c)) and order_keys(["a"], "x") == []
 
 
 NAMES = [(1, False, "Abdulrahman Mafabus"), (1, False, "عبدالرحمن مافابوس"), (1, False, "Mafabus"), (2, False, "Dawud Ligajas"), (3, False, "Hassan Ligajas"), (4, True, "Kizujam Election Commission"), (4, True, "KEC"), (5, True, "Mujiran Fishermen Association"), (6, True, "Gulunam Water Board"), (7, True, "Gulunam Development Fund"), (8, False, "Robert al-Baradin")]

@@ -1,29 +1,34 @@
 """Problem 2: duplicates of new batches against all accepted history.
 
-Multi-key sorted neighbourhood.  Every record has a few keys: its page, its headline read from either end, and the
-smallest hashes of its text's word triples.  Only the ``window`` records around a new one in key order are compared with
-it.  Accepted records are kept as written runs sorted by id, compacted into one when there are more than ``most_runs``;
-every new batch reads all runs and sorts the whole history's keys again.
+Multi-key sorted neighbourhood over persisted runs.  A record has keys of two sorts:
 
-A key row carries a sketch of the record's text (64 minimal hashes of its word triples), its page and its headline, so
-neighbours that can't be the same report are told apart in the window, and only the rest are compared by their texts.
+* order keys, its headline read from either end: a new record meets the ``window`` records next to it on both sides;
+* equal keys, for which the neighbourhood is every record of that key: its page, the whole record, and marks.  A mark is
+  a hash of the headline's words with digits and of five words of the text, chosen by winnowing, so that two texts with
+  ``RUN`` words in a row in common share one.  What ``same_report`` accepts shares a page, a mark or the whole record, so
+  the windows cut nothing off.
 
-A key of a headline or a text is followed by a hash of the whole text, so equal texts are neighbours even where
-thousands of records share a headline, and key ranges split anywhere: the records at both ends of every range are
-compared once more.  Records of one page stand in the order of acceptance, so each is next to the one before it.
+Accepted keys lie in runs, cut into key ranges and sorted within them, each range in one bucket of its run.  A batch is
+cut at the same bounds and merged only with the ranges that its keys fall into: the other buckets aren't read and none
+is shuffled.  Texts lie in buckets by id; only the buckets of records that were met are read.  When ``fan`` runs of one
+order of size are there, they become one (each record is rewritten once per order of size); when the ranges have grown to
+twice ``range_rows`` that merge takes all runs and cuts new ones.
 
-What stands outside the window is met exactly (``alike``): headlines of one report have the same words with digits in the
-same order, as neither slips nor loose ends may hold any.  All pairs of such a block are compared by their sketches.
+Copies to the letter and records of one page need their first record only, so those groups never become pairs, and
+copies leave no marks: a group of copies that holds a third of all rows costs a row each.
 
 Defined results: records without page, headline and text are no duplicates of anything; without text, a headline with
-a number and five words is enough, without headline a text of eight words is; a record repeated under the same batch
-and id counts once.
+a number and five words is enough, without headline a text of 32 words in a row, or the same text of eight words; a
+record repeated under the same batch and id counts once.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from collections import Counter, deque
+import uuid
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from urllib.parse import parse_qsl, urlsplit
@@ -31,7 +36,7 @@ from urllib.parse import parse_qsl, urlsplit
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidewatch.llm.forms import comparable_form
 from tidewatch.llm.names import SPELLINGS, typing_errors
@@ -40,8 +45,10 @@ from tidewatch.session import cut, scratch_path
 _WORD = re.compile(r"[^\W_]+")
 # Parameters of an address that only say where a reader came from.
 TRACKING = re.compile(r"^(?:utm_.*|fbclid|gclid|ref|igshid|mc_cid|mc_eid|yclid|spm)$")
-
-
+#: Words in a row that two texts of one report share: with headlines, and where one has none; of headlines without text.
+RUN, RUN_BARE, RUN_LINE = 12, 32, 4
+_GRAM, _GRAM_BARE, _GRAM_LINE = 5, 16, 3
+TEXTLESS, BARE = 1, 2  # flags of a key's record
 def page_of(url: str | None) -> str:
     """The page an address leads to, without scheme, port, mirror hosts, AMP, tracking, order of parameters, fragment."""
     if not url or not url.strip():
@@ -75,82 +82,105 @@ def text_words(text: str | None) -> list[str]:
     return _WORD.findall(seen)
 
 
-SKETCH, LEAST = 64, 0.25  # places; the share of them in which texts of one report agree
-_ODD = (np.random.default_rng(11).integers(1, 2**63, SKETCH, dtype=np.uint64) | np.uint64(1))[:, None]
+def gram_codes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+    """64-bit codes of the runs of ``n`` words; ``known`` remembers words between calls."""
+    if len(known) > 400_000:
+        known.clear()
+    codes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words], dtype=np.uint64)
+    out = np.zeros(max(len(codes) - n + 1, 0), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n if len(out) else 0):
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + len(out)]
+        return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
 
+def winnow(codes: np.ndarray, gram: int, run: int) -> list[int]:
+    """Of runs of ``gram`` words the least of every ``run - gram + 1`` in a row: texts with ``run`` words in common share one."""
+    w = min(run - gram + 1, len(codes))
+    return np.unique(np.lib.stride_tricks.sliding_window_view(codes, w).min(axis=1)).tolist() if w > 0 else []
 
-def sketch_of(words: list[str]) -> np.ndarray:
-    """The smallest hash of the word triples under each of 64 hash functions."""
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    base = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        mixed = base[None, :] * _ODD
-    return (mixed ^ (mixed >> np.uint64(29))).min(axis=1)
+
+def blocks_of(headline: list[str], whole: list[str]) -> list[str]:
+    """The words with digits of a headline and of all its words, in their order: equal for one of each in one report."""
+    return list(dict.fromkeys(" ".join(w for w in x if any(c.isdigit() for c in w)) for x in (headline, whole))) if headline else []
 
 
-def _bounded(stem: str, tail: str = "", most: int = 400) -> str:
-    """A key of at most ``most`` characters: a longer stem keeps its beginning and a hash of the whole before the tail."""
+def _code(text: str) -> str:
+    return f"{xxhash.xxh3_64_intdigest(text):016x}"
+
+
+def _bounded(stem: str, tail: str, most: int = 400) -> str:
+    """An order key of at most ``most`` characters: a longer stem keeps its beginning and a hash of the whole before the tail."""
     if len(stem) + len(tail) > most:
-        stem = f"{stem[: most - len(tail) - 17]}#{xxhash.xxh64_hexdigest(stem.encode('utf-8', 'surrogatepass'))}"
+        stem = f"{stem[: most - len(tail) - 17]}#{_code(stem)}"
     return stem + tail
 
 
-def keys_of(page: str, headline: list[str], sketch: np.ndarray, text: str = "") -> list[str]:
-    """The sort keys, each with its kind in front; ``text``: a hash of the whole text."""
-    mins = [f"{v:016x}" for v in sketch[:3]]
-    print_ = f"{mins[0]}|{text}" if mins else "-"
-    out = [_bounded(f"a{page}")] if page else []
-    if len(headline) >= 3:
-        out += [_bounded(f"b{' '.join(headline)}", f"|{print_}"), _bounded(f"c{' '.join(reversed(headline))}", f"|{print_}")]
-    if mins:
-        out += [f"{'def'[i]}{m}|{mins[(i + 1) % 3]}|{text}" for i, m in enumerate(mins)]
-    return out
+def order_keys(headline: list[str], text: str) -> list[str]:
+    """The headline from both ends, each followed by a hash of the text: equal ones stand together."""
+    tail = f"|{_code(text)}"
+    return [_bounded(f"o{' '.join(headline)}", tail), _bounded(f"p{' '.join(reversed(headline))}", tail)] if len(headline) >= 3 else []
 
 
-def blocks_of(headline: list[str], whole: list[str]) -> list[str]:
-    """The words with digits of a headline and of all its words, in their order: equal for one of each in one report."""
-    return list(dict.fromkeys(" ".join(w for w in x if any(c.isdigit() for c in w)) for x in (headline, whole))) if headline else []
+def tells(headline: list[str]) -> bool:
+    """Whether a headline tells reports apart without text."""
+    return len(headline) >= 5 and any(c.isdigit() for w in headline for c in w)
 
 
+def mark_keys(headline: list[str], whole: list[str], body: list[str], known: dict[str, int]) -> list[str]:
+    """Marks, each with its kind in front: m headline's numbers and text, n text alone, l headline alone."""
+    out = []
+    blocks = blocks_of(headline, whole)
+    if body:
+        text = winnow(gram_codes(body, _GRAM, known), _GRAM, RUN) if len(body) >= RUN else [_code(" ".join(body))]
+        out += [f"m{_code(f'{b}|{x}')}" for b in blocks for x in text]
+        alone = winnow(gram_codes(body, _GRAM_BARE, known), _GRAM_BARE, RUN_BARE) if len(body) >= RUN_BARE else [_code(" ".join(body))]
+        out += [f"n{_code(str(x))}" for x in alone] if len(body) >= 8 else []
+    if tells(headline):
+        lines = [(b, x) for b in blocks for h in (headline, whole) for x in winnow(gram_codes(h, _GRAM_LINE, known), _GRAM_LINE, RUN_LINE)]
+        out += [f"l{_code(f'{b}|{x}')}" for b, x in lines]
+    return list(dict.fromkeys(out))
 def _slip(a: str, b: str) -> bool:
     """Whether b is a with one typing error in it."""
     return not (any(c.isdigit() for c in a + b)) and min(len(a), len(b)) >= 2 and max(len(a), len(b)) >= 3 and typing_errors(a, b, 1) <= 1
 
 
-def same_but_for_slips(a: list[str], b: list[str], loose_ends: int = 0, shortened: bool = False) -> bool:
+def same_but_for_slips(a: list[str], b: list[str], loose_ends: int = 0, shortened: bool = False, run: int = 0) -> bool:
     """Whether two texts are the same but for typing errors and what one of them has more at an end.
 
     That is up to ``loose_ends`` words without numbers, or, where texts may be ``shortened``, all that follows or
-    precedes a common part of 20 words or three fifths of the shorter text.
+    precedes a common part of 20 words or three fifths of the shorter text.  Texts that differ have ``run`` words in a
+    row in common.
     """
     if a == b:
         return True
     if not a or not b:
         return False
     slips: Counter = Counter()
-    common = added = 0
+    common = added = longest = 0
     blocks = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
     for n, (op, i, j, k, m) in enumerate(blocks):
         if op == "equal":
             common += j - i
+            longest = max(longest, j - i)
             continue
         mine, theirs = list(a[i:j]), list(b[k:m])
+        digits = any(c.isdigit() for w in mine + theirs for c in w)
         if len(mine) == len(theirs) and all(_slip(x, y) for x, y in zip(mine, theirs)):
             slips.update(zip(mine, theirs))
             common += len(mine)
-        elif mine and theirs and typing_errors("".join(mine), "".join(theirs), 1) <= 1 and not any(c.isdigit() for w in mine + theirs for c in w):
+        elif mine and theirs and not digits and typing_errors("".join(mine), "".join(theirs), 1) <= 1:
             slips[" ".join(mine), " ".join(theirs)] += 1
             common += len(mine)
-        elif n in (0, len(blocks) - 1) and max(len(mine), len(theirs)) <= loose_ends and not (mine and theirs) and not any(c.isdigit() for w in mine + theirs for c in w):
+        elif n in (0, len(blocks) - 1) and max(len(mine), len(theirs)) <= loose_ends and not (mine and theirs) and not digits:
             continue
-        elif shortened and not (mine and theirs) and len(mine) + len(theirs) <= 3 and not any(c.isdigit() for w in [*mine, *theirs] for c in w):
+        elif shortened and not (mine and theirs) and len(mine) + len(theirs) <= 3 and not digits:
             added += 1  # a crosshead
         elif shortened and n in (0, len(blocks) - 1) and not (mine and theirs):
             continue
         else:
             return False
-    if shortened and common < min(20, 0.6 * min(len(a), len(b))):
+    if longest < run or shortened and common < min(20, 0.6 * min(len(a), len(b))):
         return False
     # The same change twice is a change of content, such as another place.
     return added <= 3 and all(n == 1 for n in slips.values()) and sum(slips.values()) <= max(2, len(a) // 5)
@@ -161,252 +191,282 @@ def same_report(a: dict, b: dict) -> bool:
     if a["page"] and a["page"] == b["page"]:
         return True
     head = None
+    text = bool(a["body"] and b["body"])
     if a["headline"] and b["headline"]:
-        head = any(same_but_for_slips(x, y, 4) for x, y in dict.fromkeys(((tuple(a[p]), tuple(b[q])) for p in ("headline", "whole") for q in ("headline", "whole"))))
+        forms = dict.fromkeys((tuple(a[p]), tuple(b[q])) for p in ("headline", "whole") for q in ("headline", "whole"))
+        head = any(same_but_for_slips(x, y, 4, run=0 if text else RUN_LINE) for x, y in forms)
     if head is False:
         return False
-    body = same_but_for_slips(a["body"], b["body"], 8, shortened=True) if a["body"] and b["body"] else None
-    if body is False:
-        return False
-    if head and body:
-        return True
-    if head:
-        return len(a["headline"]) >= 5 and any(c.isdigit() for w in a["headline"] for c in w)
-    return bool(body) and len(a["body"]) >= 8
-
-
-_RECORD = "id long, batch int, page string, headline array<string>, whole array<string>, body array<string>, keys array<string>, sketch binary, page_code long, head_code long, copy string, blocks array<string>"
-
-
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for i, batch, url, title, text in zip(b["id"], b["batch"], b["url"], b["title"], b["text"]):
-            page, (head, whole), body = page_of(url), headline_words(title), text_words(text)
-            sketch = sketch_of(body)
-            told = len(head) >= 5 and any(c.isdigit() for w in head for c in w)  # a headline that tells reports apart
-            codes = [xxhash.xxh64_intdigest(x) >> 1 if x else 0 for x in (page, " ".join(head) if told else "")]
-            copy = xxhash.xxh3_128_hexdigest("\n".join(" ".join(x) for x in (head, whole, body))) if whole or body else None
-            rows.append((i, batch, page, head, whole, body, keys_of(page, head, sketch, xxhash.xxh64_hexdigest(" ".join(body))), (sketch & np.uint64(0xFFFF)).astype("<u2").tobytes(), *codes, copy, blocks_of(head, whole)))
-        yield pd.DataFrame(rows, columns=["id", "batch", "page", "headline", "whole", "body", "keys", "sketch", "page_code", "head_code", "copy", "blocks"])
-
-
-def describe(records: DataFrame) -> DataFrame:
-    """Records (id, batch, url, title, text) with what they are compared by."""
-    return records.select(F.col("id").cast("long").alias("id"), F.col("batch").cast("int").alias("batch"), "url", "title", "text").mapInPandas(_describe, _RECORD)
+    if text:
+        same = same_but_for_slips(a["body"], b["body"], 8, shortened=True, run=RUN if head else RUN_BARE)
+        return same and (bool(head) or len(a["body"]) >= 8)
+    return bool(head) and tells(a["headline"]) and tells(b["headline"])
 
 
-_LISTS = ("headline", "whole", "body")
-_CODES = ("sketch", "page_code", "head_code")
-_PAIR = "id long, other long, batch int, key string, edge int, sketch binary, page_code long, head_code long"
+_FORMS = ("page", "headline", "whole", "body")
+_KEYS = "array<struct<range:int,key:string>>"
+_RECORD = f"id long, batch int, page string, headline array<string>, whole array<string>, body array<string>, sure {_KEYS}, marks {_KEYS}, ordered {_KEYS}, flag int, codes array<string>"
 
 
-def may_be_same(a: tuple, b: tuple, least: float = LEAST) -> bool:
-    """Whether two records (sketch, page, headline) can be the same report: one page, one telling headline, or texts
-    of which the sketches share at least ``least``; true where one has no text.
-    """
-    if (a[1] and a[1] == b[1]) or (a[2] and a[2] == b[2]):
-        return True
-    if not len(a[0]) or not len(b[0]):
-        return True
-    return np.count_nonzero(a[0] == b[0]) >= least * SKETCH
-
-
-def _windows(window: int, known: int):
-    """Pairs of neighbours in key order, as they were when each batch came: a record meets the ``window`` nearest
-    records before and after it that were accepted no later.  Records of batches up to ``known`` are not asked for.
-    """
-
-    columns = ["id", "other", "batch", "key", "edge", *_CODES]
+def _describe(bounds: list[str]):
+    placed = lambda keys: [{"range": bisect_right(bounds, k), "key": k} for k in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before: dict[int, deque] = {}  # by batch, the last records
-        waiting: dict[int, deque] = {}  # by batch, records that still look ahead: [id, left, codes]
-        kind, head, tail, n = None, [], deque(maxlen=window), 0
+        known: dict[str, int] = {}
         for b in batches:
-            out = []
-            for key, batch, i, raw, page, line in zip(b["key"], b["batch"], b["id"], b["sketch"], b["page_code"], b["head_code"]):
-                codes = (np.frombuffer(raw, dtype="<u2"), page, line)
-                edge = (i, -1, batch, key, 1, raw, page, line)
-                if n < window:
-                    head.append(edge)
-                tail.append(edge)
-                n += 1
-                if key[0] != kind:
-                    kind, before, waiting = key[0], {}, {}
-                for asked, queue in waiting.items():
-                    if asked >= batch:
-                        for w in queue:
-                            if (asked, w[0]) > (batch, i) and may_be_same(w[2], codes):
-                                out.append((w[0], i, asked, "", 0, None, 0, 0))
-                            w[1] -= 1
-                        while queue and queue[0][1] <= 0:
-                            queue.popleft()
-                if batch > known:
-                    near = sorted((x for past, q in before.items() if past <= batch for x in q), key=lambda x: -x[0])[:window]
-                    out += [(i, other, batch, "", 0, None, 0, 0) for _, past, other, theirs in near if (past, other) < (batch, i) and may_be_same(theirs, codes)]
-                    waiting.setdefault(batch, deque()).append([i, window, codes])
-                before.setdefault(batch, deque(maxlen=window)).append((n, batch, i, codes))
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-        ends = list(dict.fromkeys([*head, *tail]))
-        if ends:
-            yield pd.DataFrame(ends, columns=columns)
+            rows = []
+            for i, batch, url, title, text in zip(b["id"], b["batch"], b["url"], b["title"], b["text"]):
+                page, (head, whole), body = page_of(url), headline_words(title), text_words(text)
+                sure = [f"a{_code(page)}"] if page else []
+                if len(body) >= 8 or head and body or tells(head):
+                    sure.append(f"k{xxhash.xxh3_128_hexdigest(chr(10).join(' '.join(x) for x in (head, whole, body)))}")
+                marks, ordered = mark_keys(head, whole, body, known), order_keys(head, " ".join(body))
+                codes, flag = [_code(x) for x in blocks_of(head, whole)], TEXTLESS * (not body) + BARE * (not head)
+                rows.append((i, batch, page, head, whole, body, placed(sure), placed(marks), placed(ordered), flag, codes))
+            yield pd.DataFrame(rows, columns=["id", "batch", *_FORMS, "sure", "marks", "ordered", "flag", "codes"])
 
     return run
 
 
-def neighbours(keys: DataFrame, window: int, known: int) -> DataFrame:
-    """(id, other): pairs of a new record and one accepted before it that are near in some key's order."""
-    ordered = keys.repartitionByRange(keys.sparkSession.sparkContext.defaultParallelism * 2, "key", "batch", "id").sortWithinPartitions("key", "batch", "id")
-    near = cut(ordered.mapInPandas(_windows(window, known), _PAIR))
-    # The ends of all ranges, a few records each, in one order: pairs across the borders.
-    ends = near.where("edge = 1").select("key", "batch", "id", *_CODES).repartition(1).sortWithinPartitions("key", "batch", "id")
-    across = ends.mapInPandas(_windows(window, known), _PAIR).where("edge = 0")
-    return near.where("edge = 0").unionByName(across).select("id", "other").where("id <> other").distinct()
-
-
-def _all_pairs(known: int):
-    """All pairs within a key that may be the same report; rows come sorted by key."""
-
-    def within(rows: list[tuple]) -> list[tuple]:
-        if len(rows) < 2:
-            return []
-        rows = sorted(rows, key=lambda r: (r[0], r[1]))
-        has = np.array([len(r[2]) > 0 for r in rows])
-        sketches = np.stack([np.frombuffer(r[2] or bytes(2 * SKETCH), dtype="<u2") for r in rows])
-        page, line = (np.array([r[n] for r in rows]) for n in (3, 4))
-        out = []
-        for n, (batch, i, *_) in enumerate(rows):
-            if n and batch > known:
-                near = np.full(n, True)
-                if has[n]:
-                    near = ((sketches[:n] == sketches[n]).sum(axis=1) >= LEAST * SKETCH) | ~has[:n] | ((line[:n] == line[n]) & (line[n] != 0)) | ((page[:n] == page[n]) & (page[n] != 0))
-                out += [(i, rows[k][1]) for k in np.flatnonzero(near)]
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-        for b in batches:
-            out = []
-            for k, *row in zip(b["key"], b["batch"], b["id"], b["sketch"], b["page_code"], b["head_code"]):
-                if k != key:
-                    out += within(held)
-                    key, held = k, []
-                held.append(tuple(row))
-            if out:
-                yield pd.DataFrame(out, columns=["id", "other"])
-        if last := within(held):
-            yield pd.DataFrame(last, columns=["id", "other"])
-
-    return run
-
-
-def _places(n: int):
-    """The first ``n`` places of a sketch, each with what stands there."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.concat(p.cast("string"), F.lit(":"), F.hex(F.substring("sketch", p * 2 + 1, F.lit(2)))))
-
-
-def alike(described: DataFrame, known: int, most: int = 2000) -> DataFrame:
-    """(id, other): all pairs of a new record and one accepted before it that ``may_be_same`` by text or headline.
-
-    Copies to the letter meet their first only, which stands for them.  The firsts meet in the blocks of their headlines.
-    In a block of more than ``most``, those meet that share one of 49 places of the sketch or the telling headline: of two
-    sketches that share 16 of 64 places, no more than 48 differ.  Texts without headline meet by counted places.
-    """
-    rows = described.where("copy is not null")
-    first = cut(rows.groupBy("copy").agg(F.min(F.struct("batch", "id", *_CODES, "blocks", (F.size("headline") == 0).alias("bare"))).alias("f")).select("copy", "f.*"))
-    copies = rows.where(F.col("batch") > known).select("id", "copy").join(first.select("copy", F.col("id").alias("other")), "copy").select("id", "other")
-    blocked = first.select("batch", "id", *_CODES, F.explode("blocks").alias("block"))
-    blocked = blocked.join(blocked.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "block")
-    columns = ["key", "batch", "id", *_CODES]
-    large = blocked.where(F.col("n") > most)
-    line = F.when(F.col("head_code") != 0, F.array(F.concat(F.lit("h"), F.col("head_code").cast("string")))).otherwise(F.array().cast("array<string>"))
-    place = F.when(F.length("sketch") > 0, _places(SKETCH - int(LEAST * SKETCH) + 1)).otherwise(F.array().cast("array<string>"))
-    parts = large.withColumn("part", F.explode(F.concat(place, line))).withColumn("key", F.concat_ws("\n", "block", "part"))
-    keyed = blocked.where(F.col("n") <= most).withColumn("key", F.col("block")).select(columns).unionByName(parts.select(columns))
-    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_all_pairs(known), "id long, other long")
-
-    def ordered(met: DataFrame) -> DataFrame:
-        """From pairs x, y in any order: the later one and the earlier one."""
-        late = F.struct("x.batch", "x.id") > F.struct("y.batch", "y.id")
-        return met.where(F.greatest("x.batch", "y.batch") > known).select(F.when(late, F.col("x.id")).otherwise(F.col("y.id")).alias("id"), F.when(late, F.col("y.id")).otherwise(F.col("x.id")).alias("other"))
-
-    # A record without text is the same report only by a headline with a number.
-    textless = large.where((F.length("sketch") == 0) & (F.col("block") != "")).alias("x")
-    pairs = pairs.unionByName(copies).unionByName(ordered(textless.join(large.alias("y"), F.col("x.block") == F.col("y.block"))))
-    placed = first.where(F.length("sketch") > 0)
-    if not placed.where("bare").isEmpty():
-        placed = placed.select("batch", "id", "bare", F.explode(_places(SKETCH)).alias("place"))
-        met = placed.where("bare").alias("x").join(placed.alias("y"), F.expr("x.place = y.place and x.id <> y.id"))
-        met = met.groupBy(F.struct("x.batch", "x.id").alias("x"), F.struct("y.batch", "y.id").alias("y")).count().where(F.col("count") >= LEAST * SKETCH)
-        pairs = pairs.unionByName(ordered(met))
-    return pairs.where("id <> other").distinct()
+def describe(records: DataFrame, bounds: list[str] | None = None) -> DataFrame:
+    """Records (id, batch, url, title, text) with what they are compared by; keys with the range that ``bounds`` put them in."""
+    return records.select(F.col("id").cast("long").alias("id"), F.col("batch").cast("int").alias("batch"), "url", "title", "text").mapInPandas(_describe(bounds or []), _RECORD)
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = []
-        for one, two in zip(*(zip(*(b[c + end] for c in ("page", *_LISTS))) for end in ("", "2"))):
-            new, old = ({"page": x[0]} | {c: list(v) for c, v in zip(_LISTS, x[1:])} for x in (one, two))
+        for one, two in zip(*(zip(*(b[c + end] for c in _FORMS)) for end in ("", "2"))):
+            new, old = ({"page": x[0]} | {c: list(v) for c, v in zip(_FORMS[1:], x[1:])} for x in (one, two))
             keep.append(same_report(old, new))
-        yield b.loc[np.array(keep, dtype=bool), ["id", "other"]]
+        yield b.loc[np.array(keep, dtype=bool), ["id", "other", "target", "open"]]
 
 
-def link_to_first(pairs: DataFrame, order: DataFrame) -> DataFrame:
-    """(id, first): from pairs (id, earlier other) to the first record of each group, by pointer doubling.
+def link_to_first(pairs: DataFrame) -> DataFrame:
+    """(id, first, first_batch): from (id, target, open) to the first record of each chain.
 
-    ``order``: id, rank (the order of acceptance, unique).  Each round doubles the length of the followed chains.
+    ``target``: struct of batch and id of an earlier record; ``open`` where that is one of this batch, which may repeat
+    another one itself.  Each round doubles the length of the followed chains.
     """
-    rank = order.select(F.col("id").alias("other"), F.col("rank").alias("other_rank"))
-    step = pairs.join(rank, "other").groupBy("id").agg(F.min_by("other", "other_rank").alias("first"))
-    step = cut(step)
-    while True:
-        onward = step.select(F.col("id").alias("first"), F.col("first").alias("next"))
-        doubled = cut(step.join(onward, "first", "left").select("id", F.coalesce("next", "first").alias("first"), F.col("next").isNotNull().alias("moved")))
-        if doubled.where("moved").isEmpty():
-            return doubled.select("id", "first")
-        step = doubled.select("id", "first")
-
-
-def duplicates(described: DataFrame, known: int, window: int = 10) -> DataFrame:
-    """(id, first): for records of batches after ``known``, the first accepted record with the same report."""
-    keys = described.select("id", "batch", F.explode("keys").alias("key"), *_CODES)
-    near = neighbours(keys, window, known).unionByName(alike(described, known)).distinct()
-    light = described.select("id", "page", *_LISTS)
-    met = near.join(light, "id").join(light.select(F.col("id").alias("other"), *[F.col(c).alias(c + "2") for c in ("page", *_LISTS)]), "other")
-    same = met.mapInPandas(_verify, "id long, other long")
-    return link_to_first(same, described.select("id", F.struct("batch", "id").alias("rank")))
+    step = cut(pairs.groupBy("id").agg(F.min(F.struct("target", "open")).alias("x")).select("id", "x.target", "x.open"))
+    while not step.where("open").isEmpty():
+        onward = step.select(F.col("id").alias("at"), F.col("target").alias("next"), F.col("open").alias("again"))
+        joined = step.join(onward, F.col("open") & (F.col("target.id") == F.col("at")), "left")
+        step = cut(joined.select("id", F.coalesce("next", "target").alias("target"), F.coalesce("again", F.lit(False)).alias("open")))
+    return step.select("id", F.col("target.id").alias("first"), F.col("target.batch").alias("first_batch"))
 
 
 class AcceptedHistory:
-    """Accepted records as persisted runs; ``accept`` adds a batch and tells its duplicates."""
+    """Accepted records as persisted runs of sorted keys and of texts; ``accept`` adds a batch and tells its duplicates.
+
+    The state lies in ``folder``: the runs, and a manifest per accepted batch that names those that count.  Runs of an
+    interrupted batch are in no manifest, so it is simply accepted again; another session goes on with the same folder.
+    ``range_rows``: keys of a range; ``sample_rows``: records from which the first bounds are taken, which steer the layout
+    only; ``most_ids``: ids of met records up to which they are broadcast to the texts.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 10, most_runs: int = 4):
-        self.spark, self.window, self.most_runs = spark, window, most_runs
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 10, fan: int = 4, range_rows: int = 250_000, sample_rows: int = 400, most_ids: int = 200_000):
+        self.spark, self.window, self.fan, self.range_rows = spark, window, fan, range_rows
+        self.sample_rows, self.most_ids = sample_rows, most_ids
         self.folder = folder or scratch_path(spark, "history")
-        self.runs: list[str] = []
-        self.last = -1
-
-    def _write(self, described: DataFrame) -> None:
-        path = f"{self.folder}/run-{self.last}-{len(self.runs)}"
-        described.sortWithinPartitions("id").write.mode("overwrite").parquet(path)
-        self.runs.append(path)
-        if len(self.runs) > self.most_runs:  # compaction: all runs to one
-            whole = f"{self.folder}/whole-{self.last}"
-            self.spark.read.parquet(*self.runs).repartition("id").sortWithinPartitions("id").write.mode("overwrite").parquet(whole)
-            self.runs = [whole]
+        self.state = {"runs": [], "bounds": [], "ranges": 1, "last": -1, "accepted": 0}
+        self._resume()
+
+    @property
+    def runs(self) -> list[dict]:
+        return self.state["runs"]
+
+    # The folder
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _resume(self) -> None:
+        """The state of the last manifest, if there is one."""
+        fs, path = self._path("manifest")
+        if not fs.exists(path):
+            return
+        number = max(int(f.getPath().getName()) for f in fs.listStatus(path))
+        self.state = json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/manifest/{number:06d}").collect()))
+        for run in self.runs:
+            for name, by in ((run["keys"], "range"), (run["records"], "slot")):
+                columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(f"{self.folder}/{name}").schema)
+                self.spark.sql(f"create table if not exists {name} ({columns}) using parquet clustered by ({by}) into {self.state['ranges']} buckets location '{self.folder}/{name}'")
+
+    def _remember(self, runs: list[dict], batch: int) -> None:
+        gone = [r for r in self.runs if r not in runs]
+        self.state |= {"runs": runs, "last": batch, "accepted": self.state["accepted"] + 1}
+        fs, path = self._path(f"manifest/{self.state['accepted']:06d}")
+        out = fs.create(path, True)
+        out.write(bytearray(json.dumps(self.state).encode()))
+        out.close()
+        for name in (r[what] for r in gone for what in ("keys", "records")):
+            self._delete(name)
+
+    def _delete(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        fs, path = self._path(name)
+        fs.delete(path, True)
+
+    def _write(self, df: DataFrame, by: str, sort: list[str]) -> str:
+        """A bucketed, sorted table of the folder; its name."""
+        name, n = f"{by}_{uuid.uuid4().hex}", self.state["ranges"]
+        df.repartition(n, by).write.format("parquet").bucketBy(n, by).sortBy(by, *sort).option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _read(self, what: str, runs: list[dict], touched: list[int] | None = None) -> DataFrame:
+        """Rows of the runs; of the touched buckets only, if those are given."""
+        by = {"keys": "range", "records": "slot"}[what]
+        parts = [self.spark.table(r[what]) if touched is None else self.spark.table(r[what]).where(F.col(by).isin(touched)) for r in runs]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    # Ranges
+
+    def _cut_ranges(self, sample: list[str], rows: int) -> None:
+        ranges = max(self.spark.sparkContext.defaultParallelism, rows // self.range_rows + 1)
+        sample = sorted(sample)
+        self.state |= {"ranges": ranges, "bounds": sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []}
+
+    def _first_ranges(self, records: DataFrame) -> None:
+        """Ranges from the keys of a bounded number of the first batch's records."""
+        n = records.count()
+        share = int(min(1.0, 2 * self.sample_rows / max(n, 1)) * (1 << 40))
+        some = records.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) <= share).limit(self.sample_rows)
+        keys = [r[0] for r in describe(some).select(F.explode(F.concat("sure", "marks", "ordered")["key"])).collect()]
+        self._cut_ranges(keys, len(keys) * n // max(min(n, self.sample_rows), 1))
+
+    def _slot(self, c: str) -> Column:
+        return F.pmod(F.hash(c), F.lit(self.state["ranges"]))
+
+    # Search
+
+    def _first_of_key(self, rows: DataFrame, batch: int) -> DataFrame:
+        """(key, id, other): the first record of each new record's key, where that is another one."""
+        first = F.min(F.struct("batch", "id")).over(Window.partitionBy("range", "key"))
+        return rows.withColumn("first", first).where((F.col("batch") == batch) & (F.col("first.id") != F.col("id"))).select("key", "id", F.col("first.id").alias("other"))
+
+    def _of_equal_key(self, rows: DataFrame, batch: int) -> DataFrame:
+        """(id, other): new records with all that were accepted before them under the same mark.
+
+        What shares no mark with a new record leaves within its range; the rest meets in a join, which adaptive
+        execution splits where a mark is hot.
+        """
+        w = Window.partitionBy("range", "key")
+        met = rows.withColumn("new", F.max(F.when(F.col("batch") == batch, 1).otherwise(0)).over(w)).withColumn("n", F.count(F.lit(1)).over(w)).where("new = 1 and n > 1")
+        met = cut(met.select("key", "batch", "id", "flag"))
+        old = met.select("key", F.col("batch").alias("batch_o"), F.col("id").alias("other"), F.col("flag").alias("flag_o"))
+        needs = F.when(F.col("key") < "m", F.lit(TEXTLESS)).when(F.col("key") < "n", F.lit(0)).otherwise(F.lit(BARE))
+        fits = (needs == 0) | (F.col("flag").bitwiseOR(F.col("flag_o")).bitwiseAND(needs) != 0)
+        pairs = met.where(F.col("batch") == batch).join(old, "key").where(fits & (F.struct("batch_o", "other") < F.struct("batch", "id")))
+        return pairs.select("id", "other")
+
+    def _near(self, rows: DataFrame, batch: int) -> DataFrame:
+        """(id, other): new records with the ``window`` next ones of their order keys that have the same numbers.
+
+        The ends of neighbouring ranges are put together once more, each border for itself.
+        """
+        seen = F.struct("batch", "id", "codes")
+
+        def windows(df: DataFrame, by: str) -> DataFrame:
+            w = Window.partitionBy(by, F.substring("key", 1, 1)).orderBy("key", "batch", "id").rowsBetween(-self.window, self.window)
+            around = df.withColumn("around", F.collect_list(seen).over(w)).where(F.col("batch") == batch)
+            pairs = around.select("batch", "id", "codes", F.explode("around").alias("o"))
+            return pairs.where((F.struct("o.batch", "o.id") < F.struct("batch", "id")) & F.arrays_overlap("codes", "o.codes")).select("id", F.col("o.id").alias("other"))
+
+        order = Window.partitionBy("range").orderBy("key", "batch", "id")
+        back = Window.partitionBy("range").orderBy(F.desc("key"), F.desc("batch"), F.desc("id"))
+        ends = rows.withColumn("low", F.row_number().over(order) <= self.window).withColumn("high", F.row_number().over(back) <= self.window).where("low or high")
+        border = F.array_compact(F.array(F.when(F.col("low"), F.col("range") - 1), F.when(F.col("high"), F.col("range"))))
+        return windows(rows, "range").unionByName(windows(ends.withColumn("border", F.explode(border)), "border"))
+
+    def _known(self, met: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The records that were met, with what they repeat themselves; texts are read from the touched buckets only.
+
+        ``target``: batch and id of the record, or of the accepted one that it repeats; ``open`` if it is of this batch.
+        """
+        light = fresh.select("id", *_FORMS, F.struct("batch", "id").alias("target"), F.lit(True).alias("open"))
+        if not self.runs:
+            return light
+        ids = met.select(F.col("other").alias("id")).distinct()
+        asked = ids.agg(F.count(F.lit(1)), F.collect_set(self._slot("id"))).first()
+        past = self._read("records", self.runs, sorted(asked[1])).join(F.broadcast(ids) if asked[0] <= self.most_ids else ids, "id", "left_semi")
+        target = F.struct(F.coalesce("first_batch", "batch").alias("batch"), F.coalesce("first", "id").alias("id"))
+        return light.unionByName(past.select("id", *_FORMS, target.alias("target"), F.lit(False).alias("open")))
+
+    def _same(self, met: DataFrame, fresh: DataFrame) -> DataFrame:
+        """(id, other, target, open): the met pairs (id, other, sure) that carry the same report."""
+        known = self._known(met, fresh)
+        there = known.select(F.col("id").alias("other"), "target", "open", *[F.col(c).alias(f"{c}2") for c in _FORMS])
+        pairs = met.join(there, "other").join(fresh.select("id", *_FORMS), "id")
+        asked = pairs.where("not sure").repartition(max(self.spark.sparkContext.defaultParallelism, 8), "id", "other")
+        columns = ["id", "other", "target", "open"]
+        return pairs.where("sure").select(columns).unionByName(asked.mapInPandas(_verify, "id long, other long, target struct<batch:int,id:bigint>, open boolean"))
 
     def accept(self, records: DataFrame, batch: int) -> DataFrame:
-        """(id, first) of the batch's records that repeat an accepted one or an earlier one of the batch."""
-        fresh = cut(describe(records.withColumn("batch", F.lit(batch))))
-        before = self.spark.read.parquet(*self.runs) if self.runs else fresh.limit(0)
-        found = cut(duplicates(before.unionByName(fresh), batch - 1, self.window))
-        if self.runs:  # what an accepted record repeats itself is known
-            earlier = self.spark.read.schema("id long, first long").parquet(f"{self.folder}/first")
-            found = found.join(earlier.select(F.col("id").alias("first"), F.col("first").alias("known")), "first", "left").select("id", F.coalesce("known", "first").alias("first"))
-            found = cut(found)
-        self.last = batch
-        self._write(fresh)
-        found.write.mode("append").parquet(f"{self.folder}/first")
-        return found
+        """(id, first) of the batch's records that repeat an accepted one or an earlier one of the batch.
+
+        ``records``: id, url, title, text; batch numbers rise.
+        """
+        if batch <= self.state["last"]:
+            raise ValueError(f"batch {batch} comes after {self.state['last']}")
+        # Spread by id, as texts take Python time however few bytes they are.
+        asked = records.select("id", F.lit(batch).alias("batch"), "url", "title", "text").repartition(max(self.spark.sparkContext.defaultParallelism, 8), "id").dropDuplicates(["id"])
+        if not self.runs:
+            self._first_ranges(asked)
+        fresh = cut(describe(asked, self.state["bounds"]))
+        ranges = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
+        size = lambda c: F.sum(F.size(c))
+        facts = fresh.select(*[F.col(c)["range"].alias(c) for c in ("sure", "marks", "ordered")]).agg(F.count(F.lit(1)).alias("rows"), (size("sure") + size("marks") + size("ordered")).alias("keys"), *map(ranges, ("sure", "marks", "ordered"))).first()
+        of = lambda c, rows=fresh: rows.select(F.explode(c).alias("k"), "batch", "id", "flag", "codes").select("k.range", "k.key", "batch", "id", "flag", "codes")
+        # Pages and whole records, whose keys stand below the marks.
+        sure = of("sure")
+        known = sure if not self.runs else sure.repartition(self.state["ranges"], "range").unionByName(self._read("keys", self.runs, facts["sure"]).where("key < 'l'"))
+        first = cut(self._first_of_key(known, batch))
+        others = fresh.join(first.where("key >= 'k'").select("id"), "id", "left_anti")
+        run = {"keys": self._write(sure.unionByName(of(F.concat("marks", "ordered"), others)), "range", ["key", "batch", "id"]), "rows": facts["rows"], "key_rows": facts["keys"] or 0}
+        all_runs = [*self.runs, run]
+        marked = self._of_equal_key(self._read("keys", all_runs, facts["marks"]).where("key >= 'l' and key < 'o'"), batch)
+        beside = sorted({r + d for r in facts["ordered"] for d in (-1, 0, 1)})
+        near = self._near(self._read("keys", all_runs, beside).where("key >= 'o'"), batch)
+        met = marked.unionByName(near).select("id", "other", F.lit(False).alias("sure")).unionByName(first.select("id", "other", F.lit(True).alias("sure")))
+        met = cut(met.groupBy("id", "other").agg(F.max("sure").alias("sure")))
+        found = link_to_first(self._same(met, fresh))
+        texts = fresh.select("id", "batch", *_FORMS).join(found, "id", "left").withColumn("slot", self._slot("id"))
+        run["records"] = self._write(texts, "slot", ["id"])
+        self._remember(self._compact(all_runs), batch)
+        return found.select("id", "first")
+
+    def _compact(self, runs: list[dict]) -> list[dict]:
+        """Runs of one order of size merged into one, from the smallest; all of them, cut anew, when ranges have grown."""
+        level = lambda r: int(np.log(max(r["rows"], 1)) / np.log(self.fan))
+        while full := sorted(k for k, n in Counter(map(level, runs)).items() if n >= self.fan):
+            keys = sum(r["key_rows"] for r in runs)
+            anew = keys > 2 * self.range_rows * self.state["ranges"]
+            merged = [r for r in runs if anew or level(r) == full[0]]
+            rows, texts = self._read("keys", merged), self._read("records", merged)
+            if anew:
+                h = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
+                most = 250 * self.sample_rows
+                some = rows.select("key").where(h <= int(min(1.0, most / keys) * (1 << 40))).limit(2 * most)
+                self._cut_ranges([r[0] for r in some.collect()], keys)
+                bounds = self.state["bounds"]
+                range_of = F.pandas_udf(lambda ks: pd.Series([bisect_right(bounds, k) for k in ks], dtype="int32"), T.IntegerType())
+                rows, texts = rows.withColumn("range", range_of("key")), texts.withColumn("slot", self._slot("id"))
+            one = {"keys": self._write(rows, "range", ["key", "batch", "id"]), "rows": sum(r["rows"] for r in merged), "key_rows": sum(r["key_rows"] for r in merged), "records": self._write(texts, "slot", ["id"])}
+            runs = [r for r in runs if r not in merged] + [one]
+        return runs
+
+
+def duplicates(records: DataFrame, window: int = 10, folder: str | None = None, **layout: int) -> DataFrame:
+    """(id, first) over all records (id, batch, url, title, text), accepted batch by batch in the order of their numbers."""
+    spark = records.sparkSession
+    store = AcceptedHistory(spark, folder, window, **layout)
+    found = None
+    for batch in sorted(r[0] for r in records.select("batch").distinct().collect()):  # numbers of batches only
+        now = store.accept(records.where(F.col("batch") == batch).drop("batch"), batch)
+        found = now if found is None else found.unionByName(now)
+    return found if found is not None else spark.createDataFrame([], "id long, first long")

@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tidewatch.session import cut
+
 _INVISIBLE = "­͏؜᠎​-‏‪-‮⁠-⁯﻿"
 _SPACE = re.compile(rf"[{_INVISIBLE}]+")
 _SLOT = re.compile(r"\d+")
@@ -155,17 +158,38 @@ def _masked(depth: int):
     return run
 
 
-def shared_lines(rows: DataFrame, least_rows: int = 8, least_sources: int = 4, depth: int = 3) -> DataFrame:
-    """(row_id, line_no) of every line that many sources use, apart from their own names in it; tags alone are one line.
+def _named(rows: DataFrame, depth: int) -> DataFrame:
+    """The lines' templates apart from the source's own names."""
+    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(F.col("source_id").cast("long"), F.lit(-1)).alias("source"), "names", "text")
+    return rows.where(F.col("text").isNotNull()).mapInPandas(_masked(depth), "row_id long, line_no int, source long, template binary")
+
+
+class SharedLines:
+    """Lines that many sources use, apart from their own names in them, known from batch to batch; tags alone are one line.
 
-    ``rows``: row_id (unique), source_id, names (array of the source's names), text.
+    Counts of (template, source) are added per batch and merged when there are more than ``fan`` of them; a batch looks
+    up its own templates only.
     """
-    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(F.col("source_id").cast("long"), F.lit(-1)).alias("source"), "names", "text")
-    lines = rows.where(F.col("text").isNotNull()).mapInPandas(_masked(depth), "row_id long, line_no int, source long, template binary")
-    of_source = lines.groupBy("template", "source").agg(F.count(F.lit(1)).alias("rows"))
-    common = of_source.groupBy("template").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("sources"))
-    common = common.where((F.col("rows") >= least_rows) & (F.col("sources") >= least_sources)).select("template")
-    return lines.join(common, "template").select("row_id", "line_no")
+
+    def __init__(self, least_rows: int = 8, least_sources: int = 4, depth: int = 3, fan: int = 4):
+        self.least_rows, self.least_sources, self.depth, self.fan = least_rows, least_sources, depth, fan
+        self.counts: list[DataFrame] = []
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """(row_id, line_no) of the batch's lines that are shared by what has come so far, this batch included.
+
+        ``rows``: row_id (unique), source_id, names (array of the source's names), text.
+        """
+        lines = cut(_named(rows, self.depth))
+        self.counts.append(cut(lines.groupBy("template", "source").agg(F.count(F.lit(1)).alias("rows"))))
+        here = self.counts[-1].select("template").distinct()
+        seen = reduce(DataFrame.unionByName, self.counts)
+        if len(self.counts) > self.fan:
+            self.counts = [cut(seen.groupBy("template", "source").agg(F.sum("rows").alias("rows")))]
+            seen = self.counts[0]
+        known = seen.join(here, "template", "left_semi").groupBy("template").agg(F.sum("rows").alias("rows"), F.countDistinct("source").alias("sources"))
+        common = known.where((F.col("rows") >= self.least_rows) & (F.col("sources") >= self.least_sources))
+        return lines.join(common.select("template"), "template").select("row_id", "line_no")
 
 
 def without_repeated(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -270,6 +270,7 @@ class AcceptedHistory:
         self.sample_rows, self.most_ids = sample_rows, most_ids
         self.folder = folder or scratch_path(spark, "history")
         self.state = {"runs": [], "bounds": [], "ranges": 1, "last": -1, "accepted": 0}
+        self.made: set[str] = set()
         self._resume()
 
     @property
@@ -295,14 +296,16 @@ class AcceptedHistory:
                 self.spark.sql(f"create table if not exists {name} ({columns}) using parquet clustered by ({by}) into {self.state['ranges']} buckets location '{self.folder}/{name}'")
 
     def _remember(self, runs: list[dict], batch: int) -> None:
-        gone = [r for r in self.runs if r not in runs]
+        used = {r[what] for r in runs for what in ("keys", "records")}
+        gone = ({r[what] for r in self.runs for what in ("keys", "records")} | self.made) - used
         self.state |= {"runs": runs, "last": batch, "accepted": self.state["accepted"] + 1}
         fs, path = self._path(f"manifest/{self.state['accepted']:06d}")
         out = fs.create(path, True)
         out.write(bytearray(json.dumps(self.state).encode()))
         out.close()
-        for name in (r[what] for r in gone for what in ("keys", "records")):
+        for name in gone:
             self._delete(name)
+        self.made = set()
 
     def _delete(self, name: str) -> None:
         self.spark.sql(f"drop table if exists {name}")
@@ -312,6 +315,7 @@ class AcceptedHistory:
     def _write(self, df: DataFrame, by: str, sort: list[str]) -> str:
         """A bucketed, sorted table of the folder; its name."""
         name, n = f"{by}_{uuid.uuid4().hex}", self.state["ranges"]
+        self.made.add(name)
         df.repartition(n, by).write.format("parquet").bucketBy(n, by).sortBy(by, *sort).option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 

@@ -9,7 +9,7 @@ from tests.conftest import rows
 from tidewatch.llm.boilerplate import SharedLines, TemplateTree, repeated_lines, without_repeated
 from tidewatch.llm.forms import comparable_form, look_alike_pairs, normal_form, normalise, visual_form
 from tidewatch.llm.languages import fit, label_code, languages_of, mislabelled, mixture
-from tidewatch.llm.leaks import block_masks, find_leaks, weighted_similarity, window_prints, word_codes, words_of
+from tidewatch.llm.leaks import block_masks, find_leaks, item_places, weighted_similarity, window_prints, word_codes, words_of
 
 TEXT = "doc_id long, text string, normal string, source string"
 
@@ -19,6 +19,7 @@ TEXT = "doc_id long, text string, normal string, source string"
     [
         ("ｆｕｌｌ ｗｉｄｔｈ", "full width", True), ("été", "été", True), ("ofﬁce", "office", True), ("pаge", "page", True), ("ё", "ë", True), ("a​b­c", "abc", True),
         ("a b", "a b", True), ("١٢", "۱۲", True), ("٤", "۴", False), ("Page", "page", False), ("ete", "éte", False), ("ı", "i", False), ("5", "٥", False), ("vaϲϲine", "vaccine", True),
+        ("10²", "102", False), ("10²", "10₂", False), ("①", "1", False), ("½", "1⁄2", False), ("می‌خواهم", "میخواهم", False), ("در‌آن", "درآن", True), ("ﻣﯽ‌خواهم", "می‌خواهم", True), ("a‌b", "ab", True),
     ],
 )
 def test_visual_form(a, b, same):
@@ -28,6 +29,10 @@ def test_visual_form(a, b, same):
         assert normal_form(a) == normal_form(b)
 
 
+def test_comparable_forms_drop_joiners_and_raised_digits():
+    assert normal_form("می‌خواهم") == normal_form("میخواهم") and normal_form("10²") == "102"
+
+
 def test_comparable_form_ignores_case_in_all_scripts():
     for text in ("Спор про рыночные разрешения", "Straße nach Rahifas", "Ρο ϲ"):
         assert comparable_form(text.upper()) == comparable_form(text.lower()) or "ß" in text
@@ -39,6 +44,9 @@ def test_look_alike_pairs(spark):
     df = spark.createDataFrame([(i, t, "n", "s") for i, t in enumerate(base)], TEXT)
     assert rows(look_alike_pairs(df), "doc_id_a", "doc_id_b") == [(0, 1), (1, 3), (6, 7)]
     assert look_alike_pairs(df.limit(0)).count() == 0
+    many = spark.range(200_000).selectExpr("id as doc_id", "if(id = 77777, 'pаge', 'page') as text")
+    pairs = look_alike_pairs(many)
+    assert pairs.count() == 199_999 and pairs.where("doc_id_a <> 77777 and doc_id_b <> 77777 or doc_id_a >= doc_id_b").isEmpty()
     assert dict(rows(normalise(df), "doc_id", "form"))[4] is None
 
 
@@ -132,11 +140,32 @@ def test_mixture_never_loses_likelihood():
 
 def test_window_prints_and_blocks():
     codes = word_codes(" ".join(f"w{i % 31}" for i in range(80)), {})
-    prints = window_prints(codes, 12)
-    assert len(prints) == 69 and all(window_prints(codes[i : i + 12], 12)[0] == prints[i] for i in (0, 5, 68))
+    for words in (12, 24, 80):
+        (prints,) = window_prints(codes, words)
+        assert len(prints) == 81 - words and all(window_prints(codes[i : i + words], words)[0][0] == prints[i] for i in (0, (80 - words) // 2, 80 - words))
+    assert [len(x) for x in window_prints(codes[:0], 12, 24)] == [0, 0] and len(window_prints(codes[:1], 1)[0]) == 1
     masks = block_masks(2)
     assert len(masks) == 3 and sum(mask << shift for shift, mask in masks) == (1 << 64) - 1
     assert weighted_similarity(codes[:12], codes[:12]) == 1.0
+    assert item_places(60, 12, (24, 48)) == [(12, k) for k in range(49)] + [(48, 0), (48, 12)] and item_places(11, 12, (24,)) == []
+
+
+def test_near_passages(spark):
+    """Recall of passages of 48 words of which some are changed: exact ones by any run of 12 words, others by fingerprints."""
+    r = random.Random(4)
+    vocabulary = [f"word{chr(97 + i % 26)}{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=48))) for i in range(100)]
+    docs, changed = [], {1: 1, 2: 4}
+    for kind, n in changed.items():
+        for i, text in items:
+            words = text.split()
+            for at in (range(47) if n == 0 else [r.randrange(20, 28)] if n == 1 else (8, 19, 30, 41)):
+                words[at] = "other" + str(at)
+            docs.append((1000 * kind + i, " ".join(r.choices(vocabulary, k=30) + words + r.choices(vocabulary, k=30))))
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    got = {kind: [x for x in found.collect() if x["doc_id"] // 1000 == kind and x["doc_id"] % 1000 == x["item_id"]] for kind in changed}
+    assert len(got[1]) == 100 and all(x["exact"] for x in got[1])
+    assert found.where("doc_id % 1000 <> item_id").isEmpty() and not any(x["exact"] for x in got[2])
 
 
 def test_find_leaks(spark):
@@ -152,7 +181,7 @@ def test_find_leaks(spark):
             words[2:2] = [w.upper() if r.random() < 0.3 else w for w in items[d % 40][1].split()[at : at + n]]
         docs.append((d, r.choice([" ", ", ", "\n> "]).join(words), "n", "s"))
     docs += [(1000, None, None, None), (1001, "", None, None), (1002, "a " * 50_000, None, None), (1003, docs[0][1], None, None)]
-    found = find_leaks(spark.createDataFrame(docs, TEXT), spark.createDataFrame(items, "item_id int, text string"), block_windows=100)
+    found = find_leaks(spark.createDataFrame(docs, TEXT), spark.createDataFrame(items, "item_id int, text string"))
     want = set()
     for d, t, *_ in docs:
         w = words_of(t)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import rows
-from tidewatch.llm.boilerplate import SharedLines, TemplateTree, repeated_lines, without_repeated
+from tidewatch.llm.boilerplate import TemplateTree, repeated_lines, shared_lines, without_repeated
 from tidewatch.llm.forms import comparable_form, look_alike_pairs, normal_form, normalise, visual_form
 from tidewatch.llm.languages import fit, label_code, languages_of, mislabelled, mixture
 from tidewatch.llm.leaks import block_masks, find_leaks, item_places, weighted_similarity, window_prints, word_codes, words_of
@@ -75,12 +75,11 @@ def test_repeated_lines(spark):
 
 
 def test_shared_lines_ignore_own_names(spark):
-    data = [(i, i % 5, [f"Name{i % 5}x"], f"Follow NAME{i % 5}X today\nunique words {'abcdefghijklmnopqrst'[i]}\n#tag{i} #news") for i in range(20)]
-    df = spark.createDataFrame(data, "row_id long, source_id int, names array<string>, text string")
-    assert rows(SharedLines().add(df), "row_id", "line_no") == sorted([(i, n) for i in range(20) for n in (1, 3)], key=repr)
-    known = SharedLines(fan=2)
-    parts = [rows(known.add(df.where(f"row_id div 5 = {k}")), "row_id", "line_no") for k in range(4)]
-    assert parts[0] == [] and parts[3] == sorted([(i, n) for i in range(15, 20) for n in (1, 3)], key=repr)
+    data = [(i, i % 5, [f"Name{i % 5}x"], f"Follow NAME{i % 5}X today\nunique words {'abcdefghijklmnopqrst'[i]}\n#tag{i} #news", i // 10) for i in range(20)]
+    df = spark.createDataFrame(data, "row_id long, source_id int, names array<string>, text string, batch int")
+    want = lambda ids: sorted([(i, n) for i in ids for n in (1, 3)], key=repr)
+    assert rows(shared_lines(df), "row_id", "line_no") == want(range(20))
+    assert rows(shared_lines(df, least_rows=12), "row_id", "line_no") == want(range(10, 20))  # known with the second batch
 
 
 SAMPLE = {

@@ -233,12 +233,17 @@ def describe(records: DataFrame, bounds: list[str] | None = None) -> DataFrame:
     return records.select(F.col("id").cast("long").alias("id"), F.col("batch").cast("int").alias("batch"), "url", "title", "text").mapInPandas(_describe(bounds or []), _RECORD)
 
 
+def spread(records: DataFrame) -> DataFrame:
+    """Records once each, spread by id, as texts take Python time however few bytes they are."""
+    return records.repartition(max(records.sparkSession.sparkContext.defaultParallelism, 8), "batch", "id").dropDuplicates(["batch", "id"])
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = []
-        for one, two in zip(*(zip(*(b[c + end] for c in _FORMS)) for end in ("", "2"))):
+        for sure, one, two in zip(b["sure"], *(zip(*(b[c + end] for c in _FORMS)) for end in ("", "2"))):
             new, old = ({"page": x[0]} | {c: list(v) for c, v in zip(_FORMS[1:], x[1:])} for x in (one, two))
-            keep.append(same_report(old, new))
+            keep.append(bool(sure) or same_report(old, new))
         yield b.loc[np.array(keep, dtype=bool), ["id", "other", "target", "open"]]
 
 
@@ -251,7 +256,7 @@ def link_to_first(pairs: DataFrame) -> DataFrame:
     step = cut(pairs.groupBy("id").agg(F.min(F.struct("target", "open")).alias("x")).select("id", "x.target", "x.open"))
     while not step.where("open").isEmpty():
         onward = step.select(F.col("id").alias("at"), F.col("target").alias("next"), F.col("open").alias("again"))
-        joined = step.join(onward, F.col("open") & (F.col("target.id") == F.col("at")), "left")
+        joined = step.join(onward.hint("merge"), F.col("open") & (F.col("target.id") == F.col("at")), "left")
         step = cut(joined.select("id", F.coalesce("next", "target").alias("target"), F.coalesce("again", F.lit(False)).alias("open")))
     return step.select("id", F.col("target.id").alias("first"), F.col("target.batch").alias("first_batch"))
 
@@ -365,7 +370,7 @@ class AcceptedHistory:
         old = met.select("key", F.col("batch").alias("batch_o"), F.col("id").alias("other"), F.col("flag").alias("flag_o"))
         needs = F.when(F.col("key") < "m", F.lit(TEXTLESS)).when(F.col("key") < "n", F.lit(0)).otherwise(F.lit(BARE))
         fits = (needs == 0) | (F.col("flag").bitwiseOR(F.col("flag_o")).bitwiseAND(needs) != 0)
-        pairs = met.where(F.col("batch") == batch).join(old, "key").where(fits & (F.struct("batch_o", "other") < F.struct("batch", "id")))
+        pairs = met.where(F.col("batch") == batch).join(old.hint("merge"), "key").where(fits & (F.struct("batch_o", "other") < F.struct("batch", "id")))
         return pairs.select("id", "other")
 
     def _near(self, rows: DataFrame, batch: int) -> DataFrame:
@@ -395,9 +400,9 @@ class AcceptedHistory:
         light = fresh.select("id", *_FORMS, F.struct("batch", "id").alias("target"), F.lit(True).alias("open"))
         if not self.runs:
             return light
-        ids = met.select(F.col("other").alias("id")).distinct()
+        ids = met.select(F.col("other").alias("id"))
         asked = ids.agg(F.count(F.lit(1)), F.collect_set(self._slot("id"))).first()
-        past = self._read("records", self.runs, sorted(asked[1])).join(F.broadcast(ids) if asked[0] <= self.most_ids else ids, "id", "left_semi")
+        past = self._read("records", self.runs, sorted(asked[1])).join(F.broadcast(ids) if asked[0] <= self.most_ids else ids.hint("merge"), "id", "left_semi")
         target = F.struct(F.coalesce("first_batch", "batch").alias("batch"), F.coalesce("first", "id").alias("id"))
         return light.unionByName(past.select("id", *_FORMS, target.alias("target"), F.lit(False).alias("open")))
 
@@ -405,23 +410,28 @@ class AcceptedHistory:
         """(id, other, target, open): the met pairs (id, other, sure) that carry the same report."""
         known = self._known(met, fresh)
         there = known.select(F.col("id").alias("other"), "target", "open", *[F.col(c).alias(f"{c}2") for c in _FORMS])
-        pairs = met.join(there, "other").join(fresh.select("id", *_FORMS), "id")
-        asked = pairs.where("not sure").repartition(max(self.spark.sparkContext.defaultParallelism, 8), "id", "other")
-        columns = ["id", "other", "target", "open"]
-        return pairs.where("sure").select(columns).unionByName(asked.mapInPandas(_verify, "id long, other long, target struct<batch:int,id:bigint>, open boolean"))
+        pairs = met.join(there.hint("merge"), "other").join(fresh.select("id", *_FORMS).hint("merge"), "id")
+        spread_pairs = pairs.repartition(max(self.spark.sparkContext.defaultParallelism, 8), "id", "other")
+        return spread_pairs.mapInPandas(_verify, "id long, other long, target struct<batch:int,id:bigint>, open boolean")
+
+    def ranges_for(self, records: DataFrame) -> list[str]:
+        """The bounds of the key ranges; the first records that are asked for decide them."""
+        if not self.runs:
+            self._first_ranges(records)
+        return self.state["bounds"]
 
     def accept(self, records: DataFrame, batch: int) -> DataFrame:
         """(id, first) of the batch's records that repeat an accepted one or an earlier one of the batch.
 
         ``records``: id, url, title, text; batch numbers rise.
         """
+        asked = records.select("id", F.lit(batch).alias("batch"), "url", "title", "text")
+        return self.accept_described(cut(describe(spread(asked), self.ranges_for(asked))), batch)
+
+    def accept_described(self, fresh: DataFrame, batch: int) -> DataFrame:
+        """As ``accept``, for one batch's rows of ``describe`` under the bounds of now, read several times."""
         if batch <= self.state["last"]:
             raise ValueError(f"batch {batch} comes after {self.state['last']}")
-        # Spread by id, as texts take Python time however few bytes they are.
-        asked = records.select("id", F.lit(batch).alias("batch"), "url", "title", "text").repartition(max(self.spark.sparkContext.defaultParallelism, 8), "id").dropDuplicates(["id"])
-        if not self.runs:
-            self._first_ranges(asked)
-        fresh = cut(describe(asked, self.state["bounds"]))
         ranges = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
         size = lambda c: F.sum(F.size(c))
         facts = fresh.select(*[F.col(c)["range"].alias(c) for c in ("sure", "marks", "ordered")]).agg(F.count(F.lit(1)).alias("rows"), (size("sure") + size("marks") + size("ordered")).alias("keys"), *map(ranges, ("sure", "marks", "ordered"))).first()
@@ -430,7 +440,7 @@ class AcceptedHistory:
         sure = of("sure")
         known = sure if not self.runs else sure.repartition(self.state["ranges"], "range").unionByName(self._read("keys", self.runs, facts["sure"]).where("key < 'l'"))
         first = cut(self._first_of_key(known, batch))
-        others = fresh.join(first.where("key >= 'k'").select("id"), "id", "left_anti")
+        others = fresh.join(first.where("key >= 'k'").select("id").hint("merge"), "id", "left_anti")
         run = {"keys": self._write(sure.unionByName(of(F.concat("marks", "ordered"), others)), "range", ["key", "batch", "id"]), "rows": facts["rows"], "key_rows": facts["keys"] or 0}
         all_runs = [*self.runs, run]
         marked = self._of_equal_key(self._read("keys", all_runs, facts["marks"]).where("key >= 'l' and key < 'o'"), batch)
@@ -439,9 +449,11 @@ class AcceptedHistory:
         met = marked.unionByName(near).select("id", "other", F.lit(False).alias("sure")).unionByName(first.select("id", "other", F.lit(True).alias("sure")))
         met = cut(met.groupBy("id", "other").agg(F.max("sure").alias("sure")))
         found = link_to_first(self._same(met, fresh))
-        texts = fresh.select("id", "batch", *_FORMS).join(found, "id", "left").withColumn("slot", self._slot("id"))
+        texts = fresh.select("id", "batch", *_FORMS).join(found.hint("merge"), "id", "left").withColumn("slot", self._slot("id"))
         run["records"] = self._write(texts, "slot", ["id"])
         self._remember(self._compact(all_runs), batch)
+        # What the batch shuffled and broadcast is cleaned up when the driver's references to it are collected.
+        self.spark.sparkContext._jvm.System.gc()
         return found.select("id", "first")
 
     def _compact(self, runs: list[dict]) -> list[dict]:
@@ -466,11 +478,18 @@ class AcceptedHistory:
 
 
 def duplicates(records: DataFrame, window: int = 10, folder: str | None = None, **layout: int) -> DataFrame:
-    """(id, first) over all records (id, batch, url, title, text), accepted batch by batch in the order of their numbers."""
+    """(id, first) over all records (id, batch, url, title, text), accepted batch by batch in the order of their numbers.
+
+    Records that are all there already are described at once and kept by batch.
+    """
     spark = records.sparkSession
-    store = AcceptedHistory(spark, folder, window, **layout)
-    found = None
-    for batch in sorted(r[0] for r in records.select("batch").distinct().collect()):  # numbers of batches only
-        now = store.accept(records.where(F.col("batch") == batch).drop("batch"), batch)
+    store, found = AcceptedHistory(spark, folder, window, **layout), None
+    for number in sorted(r[0] for r in records.select("batch").distinct().collect()):  # numbers of batches only
+        if found is None or store.state["bounds"] != bounds:
+            rest = records.where(F.col("batch") >= number)
+            bounds = store.ranges_for(rest.where(F.col("batch") == number))
+            path = scratch_path(spark, "described")
+            describe(spread(rest), bounds).write.partitionBy("batch").parquet(path)
+        now = store.accept_described(spark.read.parquet(path).where(F.col("batch") == number), number)
         found = now if found is None else found.unionByName(now)
     return found if found is not None else spark.createDataFrame([], "id long, first long")

@@ -15,11 +15,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewatch.session import cut
 
@@ -144,7 +143,7 @@ def _masked(depth: int):
         tree = TemplateTree(depth)
         for b in batches:
             rows = []
-            for row, source, names, text in zip(b["row_id"], b["source"], b["names"], b["text"]):
+            for row, source, names, text, batch in zip(b["row_id"], b["source"], b["names"], b["text"], b["batch"]):
                 own = sorted((s[0] for x in names if x and (s := tree.signature(x))), key=len, reverse=True) if names is not None else []
                 for n, line in enumerate(text.split("\n"), 1):
                     if not (sig := tree.signature(line)):
@@ -152,44 +151,27 @@ def _masked(depth: int):
                     letters = "#" if all(w.startswith("#") for w in line.split()) else sig[0]
                     for name in own:
                         letters = letters.replace(name, WILD)
-                    rows.append((row, n, source, _print(letters)))
-            yield pd.DataFrame(rows, columns=["row_id", "line_no", "source", "template"])
+                    rows.append((row, n, source, _print(letters), batch))
+            yield pd.DataFrame(rows, columns=["row_id", "line_no", "source", "template", "batch"])
 
     return run
 
 
-def _named(rows: DataFrame, depth: int) -> DataFrame:
-    """The lines' templates apart from the source's own names."""
-    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(F.col("source_id").cast("long"), F.lit(-1)).alias("source"), "names", "text")
-    return rows.where(F.col("text").isNotNull()).mapInPandas(_masked(depth), "row_id long, line_no int, source long, template binary")
-
+def shared_lines(rows: DataFrame, least_rows: int = 8, least_sources: int = 4, depth: int = 3) -> DataFrame:
+    """(row_id, line_no) of every line that many sources use, apart from their own names in it; tags alone are one line.
 
-class SharedLines:
-    """Lines that many sources use, apart from their own names in them, known from batch to batch; tags alone are one line.
-
-    Counts of (template, source) are added per batch and merged when there are more than ``fan`` of them; a batch looks
-    up its own templates only.
+    ``rows``: row_id (unique), source_id, names (array of the source's names), text, batch.  A line is known as shared from
+    the batch on with which it reaches both bounds: later batches change nothing about earlier ones.
     """
-
-    def __init__(self, least_rows: int = 8, least_sources: int = 4, depth: int = 3, fan: int = 4):
-        self.least_rows, self.least_sources, self.depth, self.fan = least_rows, least_sources, depth, fan
-        self.counts: list[DataFrame] = []
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        """(row_id, line_no) of the batch's lines that are shared by what has come so far, this batch included.
-
-        ``rows``: row_id (unique), source_id, names (array of the source's names), text.
-        """
-        lines = cut(_named(rows, self.depth))
-        self.counts.append(cut(lines.groupBy("template", "source").agg(F.count(F.lit(1)).alias("rows"))))
-        here = self.counts[-1].select("template").distinct()
-        seen = reduce(DataFrame.unionByName, self.counts)
-        if len(self.counts) > self.fan:
-            self.counts = [cut(seen.groupBy("template", "source").agg(F.sum("rows").alias("rows")))]
-            seen = self.counts[0]
-        known = seen.join(here, "template", "left_semi").groupBy("template").agg(F.sum("rows").alias("rows"), F.countDistinct("source").alias("sources"))
-        common = known.where((F.col("rows") >= self.least_rows) & (F.col("sources") >= self.least_sources))
-        return lines.join(common.select("template"), "template").select("row_id", "line_no")
+    asked = rows.select(F.col("row_id").cast("long").alias("row_id"), F.coalesce(F.col("source_id").cast("long"), F.lit(-1)).alias("source"), "names", "text", F.col("batch").cast("int").alias("batch"))
+    lines = cut(asked.where(F.col("text").isNotNull()).mapInPandas(_masked(depth), "row_id long, line_no int, source long, template binary, batch int"))
+    used = lines.groupBy("template", "source", "batch").agg(F.count(F.lit(1)).alias("rows"))
+    first = F.min("batch").over(Window.partitionBy("template", "source"))
+    per_batch = used.withColumn("first", first).groupBy("template", "batch").agg(F.sum("rows").alias("rows"), F.count_if(F.col("first") == F.col("batch")).alias("sources"))
+    so_far = Window.partitionBy("template").orderBy("batch")
+    known = per_batch.select("template", "batch", F.sum("rows").over(so_far).alias("rows"), F.sum("sources").over(so_far).alias("sources"))
+    since = known.where((F.col("rows") >= least_rows) & (F.col("sources") >= least_sources)).groupBy("template").agg(F.min("batch").alias("since"))
+    return lines.join(since, "template").where("batch >= since").select("row_id", "line_no")
 
 
 def without_repeated(rows: DataFrame, found: DataFrame) -> DataFrame:

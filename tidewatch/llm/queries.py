@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.llm.batches import AcceptedHistory
-from tidewatch.llm.boilerplate import SharedLines, repeated_lines, without_repeated
+from tidewatch.llm.batches import duplicates
+from tidewatch.llm.boilerplate import repeated_lines, shared_lines, without_repeated
 from tidewatch.llm.forms import look_alike_pairs, normalise
 from tidewatch.llm.languages import fit_on, label_code, languages_of, mislabelled
 from tidewatch.llm.leaks import find_leaks
@@ -21,21 +21,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     The accepted history comes first and then one batch after the other, each against what was accepted before it.
     Lines that many sources have shared by then are left out of the comparison.
     """
-    articles = table(spark, folder, "articles").withColumn("batch_no", F.coalesce("batch_no", F.lit(0)))
+    articles = table(spark, folder, "articles").withColumn("batch", F.coalesce("batch_no", F.lit(0)).cast("int"))
     names = table(spark, folder, "sources").groupBy("source_id").agg(F.array_union(F.collect_set("name"), F.collect_set("name_native")).alias("names"))
-    lined = lambda rows: rows.select(F.col("article_id").alias("row_id"), "source_id", F.col("excerpt").alias("text")).join(names, "source_id", "left")
-    store, shared, found = AcceptedHistory(spark), SharedLines(), None
-    for batch in sorted(r[0] for r in articles.select("batch_no").distinct().collect()):  # the numbers of batches
-        rows = articles.where(F.col("batch_no") == batch)
-        bare = without_repeated(lined(rows), shared.add(lined(rows))).select(F.col("row_id").alias("article_id"), F.col("text").alias("bare"))
-        # A text of nothing but shared lines is compared as it is.
-        text = F.when(F.trim("bare") == "", F.col("excerpt")).otherwise(F.col("bare"))
-        records = rows.join(bare, "article_id").select(F.col("article_id").alias("id"), "url", "title", text.alias("text"))
-        now = store.accept(records, batch)
-        if batch >= 1:
-            found = now if found is None else found.unionByName(now)
-    found = found if found is not None else spark.createDataFrame([], "id long, first long")
-    return found.select(F.col("first").alias("kept_id"), F.col("id").alias("article_id")).distinct()
+    rows = articles.select(F.col("article_id").alias("row_id"), "source_id", F.col("excerpt").alias("text"), "batch")
+    bare = without_repeated(rows, shared_lines(rows.join(names, "source_id", "left"))).select(F.col("row_id").alias("article_id"), F.col("text").alias("bare"))
+    # A text of nothing but shared lines is compared as it is.
+    text = F.when(F.trim("bare") == "", F.col("excerpt")).otherwise(F.col("bare"))
+    records = articles.join(bare, "article_id").select(F.col("article_id").alias("id"), "batch", "url", "title", text.alias("text"))
+    found = duplicates(records).join(articles.where("batch >= 1").select(F.col("article_id").alias("id")), "id", "left_semi")
+    return found.select(F.col("first").alias("kept_id"), F.col("id").alias("article_id"))
 
 
 LINED = (("raw_items", "item_id", "summary"), ("articles", "article_id", "excerpt"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tidewatch.operators import graphs, lexicon, search, series, topics
+from tidewatch.operators import filters, graphs, lexicon, search, series, topics
 from tidewatch.sources import feeds, sinks
 from tidewatch.streaming import daily
 
@@ -62,8 +62,37 @@ def test_sinks(spark, tmp_path):
     assert rows(scd.where("valid_to is null"), "k", "p") == [(1, "a"), (2, "c"), (3, "n")] and scd.count() == 5
     guarded = spark.createDataFrame([("=1+1",), ("ok",), (None,)], "x string").select(sinks.guard_formula(F.col("x"))).collect()
     assert [r[0] for r in guarded] == ["'=1+1", "ok", None]
-    b = spark.range(1).select(sinks.bibtex(F.lit("k"), F.lit("T {x}"), F.lit(None).cast("string"), F.lit("Post"), F.lit("u"), F.lit("2025-01-02").cast("date")), sinks.markdown_row(F.lit("a|b"), F.lit(1))).first()
-    assert "title = {T x}" in b[0] and "author = {Post}" in b[0] and b[1] == "| a\\|b | 1 |"
+    day = F.lit("2025-01-02").cast("date")
+    row = {"title": F.lit("T {x}"), "source": F.lit("Post-Nord"), "day": day, "url": F.lit("u"), "language": F.lit(None).cast("string"), "is_demo": F.lit(True), "excerpt": F.lit("")}
+    key = sinks.citation_key(row["source"], day, row["title"], F.lit(7))
+    b = spark.range(1).select(sinks.bibtex(key, row, day, "seen"), sinks.ris(row, day), sinks.citation_key(F.lit("P"), day, F.lit("!!"), F.lit(8)), sinks.markdown_row(F.lit("a|b"), F.lit(1))).first()
+    assert b[0] == "@misc{postnord2025T7,\n  title = {T \\{x\\}},\n  howpublished = {Post-Nord},\n  year = {2025},\n  date = {2025-01-02},\n  url = {u},\n  language = {},\n  urldate = {2025-01-02},\n  note = {DEMO DATA (synthetic record)}\n}"
+    assert b[1] == "TY  - NEWS\nTI  - T {x}\nT2  - Post-Nord\nPY  - 2025\nDA  - 2025/01/02\nUR  - u\nLA  - \nY2  - 2025-01-02\nN1  - DEMO DATA (synthetic record)\nER  - "
+    assert b[2] == "p2025item8" and b[3] == "| a\\|b | 1 |"
+
+
+def test_gate(spark):
+    """A future date is now, old and irrelevant items are left out, aggregators are not."""
+    now = datetime(2025, 6, 1)
+    data = [(1, now + timedelta(hours=7), False, 1.0), (2, now + timedelta(hours=5), False, 0.8), (3, now - timedelta(days=31), True, 1.0), (4, None, True, 0.0), (5, now, False, 0.4), (6, now - timedelta(days=30), True, 0.4)]
+    df = spark.createDataFrame([(i, p, now, a, r) for i, p, a, r in data], "id int, published timestamp, now timestamp, aggregator boolean, relevance double")
+    got = {r["id"]: (r["decision"], r["published_at"], r["estimated"], r["relevance"]) for r in filters.gate(df, 30).collect()}
+    assert got == {1: ("kept", now, False, 1.0), 2: ("kept", now + timedelta(hours=5), False, 0.8), 3: ("old", now - timedelta(days=31), False, 1.0), 4: ("kept", now, True, 0.6), 5: ("irrelevant", now, False, 0.4), 6: ("kept", now - timedelta(days=30), False, 0.4)}
+
+
+def test_category_subtree(spark):
+    tree = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", None), ("a", "c")], "category string, parent string")
+    items = spark.createDataFrame([(i, c) for i, c in enumerate(["a", "b", "c", "d", None])], "id int, primary_category string")
+    assert rows(filters.in_subtree(items, tree, "b"), "id") == [(0,), (1,), (2,)] and rows(filters.in_subtree(items, tree, "d"), "id") == [(3,)]
+
+
+def test_sentiment_by_hand(spark):
+    """One positive word: shares .75 and .25, strength a quarter, confidence .45 x .8."""
+    text = spark.createDataFrame([("a fine day",), ("fine, good and lovely",), ("bad",), ("nothing",), (None,)], "t string")
+    s = [r[0] for r in text.select(lexicon.sentiment(F.col("t"), ["fine", "good", "lovely"], ["bad"])).collect()]
+    assert (s[0]["label"], s[0]["positive"], s[0]["negative"], s[0]["neutral"], s[0]["confidence"]) == ("neutral", 0.1875, 0.0625, 0.75, 0.36)
+    assert (s[1]["label"], s[1]["positive"], s[1]["confidence"]) == ("positive", 0.6563, 0.585) and s[2]["negative"] == 0.1875
+    assert all((x["label"], x["neutral"], x["confidence"]) == ("neutral", 0.8, 0.4) for x in s[3:])
 
 
 def test_components(spark):
@@ -99,7 +128,7 @@ def test_lexicon(spark):
     items = spark.createDataFrame([(1, "Road closed", "The road was closed. Complaints about the closed road in Kisan and Omar met traders! Fine day."), (2, None, None), (3, "", "")], "item_id int, title string, text string")
     f = rows(lexicon.frames(items.where("text is not null"), {"conflict": ["closed", "complaint"], "none": ["zzz"]}), "item_id", "frame", "cues", "evidence")
     assert f == [(1, "conflict", 3, "Complaints about the closed road in Kisan and Omar met traders!")]
-    s = items.select("item_id", lexicon.sentiment(F.lower("text"), ["fine"], ["closed", "complaint", "road"]).alias("s")).where("item_id = 1").first()["s"]
+    s = items.select("item_id", lexicon.sentiment(F.col("text"), ["fine"], ["closed", "complaint", "road"]).alias("s")).where("item_id = 1").first()["s"]
     assert s["label"] == "negative" and abs(s["positive"] + s["neutral"] + s["negative"] - 1) < 1e-9
     terms = spark.createDataFrame([("roads", "transport", "road"), ("trade", "economy", "trader")], "category string, parent string, term string")
     scores = lexicon.category_scores(items, terms)
@@ -147,7 +176,7 @@ def test_topics(spark):
     assert k.count() == 40 and k.where("probability <= 0 or probability > 1").count() == 0 and topics.topic_count(40) == 4
     assert topics.needs_refit(None, 1, 1) and topics.needs_refit(8, 1, 1) and not topics.needs_refit(1, 13, 10)
     g = topics.align(spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.5, 0.1])], "topic string, centroid array<double>"), spark.createDataFrame([(1, [0.9, 0.1])], "global_id int, global_centroid array<double>"))
-    assert rows(g, "topic", "global_id") == [("a", 1), ("b", None)]
+    assert rows(g, "topic", "global_id") == [("a", 1), ("b", 2)]
 
 
 def test_series(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tidewatch.functions.text import has_any
+from tidewatch.functions.terms import class_hits
 
 
 def completeness(has_date: Column, author: Column, text: Column, title: Column, confidence: Column) -> Column:
@@ -28,24 +28,35 @@ def fetch_class(status: Column) -> Column:
     )
 
 
+# Points of a source's influence by the level of each indicator.
+INFLUENCE_POINTS = {
+    "frequency": {"daily": 25, "weekly": 15, "monthly": 8, "occasional": 0},
+    "regional_importance": {"high": 15, "medium": 8, "low": 0},
+    "cited_by_other_media": {"high": 10, "medium": 5, "low": 0},
+    "historical_importance": {"high": 10, "medium": 5, "low": 0},
+}
+# What repeats the rank of an institution (tier B) and doesn't count there; fewest indicators of a score.
+NOT_FOR_TIER_B, LEAST_INDICATORS = ("regional_importance", "historical_importance"), 2
+
+
 def audience_points(value: Column) -> Column:
-    """Points for the largest sourced audience: ten per power of ten above a thousand, 0 to 40."""
-    return F.when(value > 0, F.least(F.greatest((F.log10(value) - 3) * 10, F.lit(0.0)), F.lit(40.0)))
+    """Points for the largest sourced audience: ten per power of ten above a thousand, 0 to 40; null without one."""
+    return F.when(value > 0, F.round(F.least(F.greatest((F.log10(value) - 3) * 10, F.lit(0.0)), F.lit(40.0)), 1))
+
 
+def influence(audience: Column, levels: dict[str, Column], tier: Column) -> Column:
+    """Influence of a source, 0 to 100 (C3), from its audience and the levels of ``INFLUENCE_POINTS``.
 
-def influence(audience: Column, frequency: Column, regional: Column, cited: Column, historical: Column, tier: Column) -> Column:
-    """Influence of a source, 0 to 100 (C3); null without audience or with fewer than two other indicators."""
-    graded = lambda c, points: F.coalesce(*[F.when(c == k, float(v)) for k, v in points.items()])
-    wide = F.coalesce(tier, F.lit("")) != "B"
-    parts = [
-        graded(frequency, {"daily": 25, "weekly": 15, "monthly": 8, "rare": 0}),
-        F.when(wide, graded(regional, {"high": 15, "medium": 8, "low": 0})),
-        graded(cited, {"often": 10, "sometimes": 5, "never": 0}),
-        F.when(wide, graded(historical, {"high": 10, "medium": 5, "low": 0})),
-    ]
-    given = sum((F.when(p.isNotNull(), 1).otherwise(0) for p in parts), F.lit(0))
-    total = audience_points(audience) + sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
-    return F.when(audience_points(audience).isNotNull() & (given >= 2), total)
+    Null without an audience, and from the audience alone: it is one of the two indicators that a score takes.
+    """
+    scored = [audience_points(audience)]
+    for name, level in levels.items():
+        table = F.create_map(*[F.lit(x) for k, v in INFLUENCE_POINTS[name].items() for x in (k, float(v))])
+        points = F.try_element_at(table, F.lower(level))
+        scored.append(F.when(~tier.eqNullSafe("B"), points) if name in NOT_FOR_TIER_B else points)
+    given = F.array_compact(F.array(*scored))
+    total = F.aggregate(given, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(scored[0].isNotNull() & (F.size(given) >= LEAST_INDICATORS), F.round(total, 1))
 
 
 def trend_status(growth: Column, recent: Column, previous: Column, sources: Column) -> Column:
@@ -60,8 +71,9 @@ def run_status(failed: Column, done: Column) -> Column:
 
 def relevance(title: Column, summary: Column, strong: list[str], weak: list[str]) -> Column:
     """Relevance by terms (F9): a strong term in the title 1, in the summary .8, a weak one anywhere .4."""
-    t, s = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(summary, F.lit("")))
-    return F.when(has_any(t, strong), 1.0).when(has_any(s, strong), 0.8).when(has_any(F.concat_ws(" ", t, s), weak), 0.4).otherwise(0.0)
+    terms = {"strong": strong, "weak": weak}
+    t, s = class_hits(F.coalesce(title, F.lit("")), terms), class_hits(F.coalesce(summary, F.lit("")), terms)
+    return F.when(t[0] > 0, 1.0).when(s[0] > 0, 0.8).when((t[1] > 0) | (s[1] > 0), 0.4).otherwise(0.0)
 
 
 def record_problems(checks: dict[str, Column]) -> Column:

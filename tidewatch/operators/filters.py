@@ -7,6 +7,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewatch.session import cut
+
 MOST_DAYS, DEFAULT_DAYS = 366, 30
 SOURCE_ATTRIBUTES = ("country", "source_type", "source_group", "operating_base", "category", "tier", "coverage_area", "slug", "domain", "time_zone")
 
@@ -71,6 +73,23 @@ def any_group(conditions: list[Column]) -> Column:
     return out
 
 
+def status_or_demo(column: str, value: str) -> Column:
+    """A registry status, or a demonstration source whatever its status (F8)."""
+    return F.coalesce(F.col(column) == value, F.lit(False)) | F.coalesce("is_demo", F.lit(False))
+
+
+def in_subtree(items: DataFrame, tree: DataFrame, root: str, column: str = "primary_category") -> DataFrame:
+    """Items of a category or of any below it (F4).  ``tree``: category, parent; as deep as it is, cycles included."""
+    edges = tree.where("parent is not null").select("category", "parent").distinct()
+    below = now = tree.sparkSession.createDataFrame([(root,)], "category string")
+    while True:
+        now = edges.join(now.withColumnRenamed("category", "parent"), "parent", "left_semi").select("category").distinct().join(below, "category", "left_anti")
+        now = cut(now)
+        if now.isEmpty():
+            return items.join(below.withColumnRenamed("category", column), column, "left_semi")
+        below = below.unionByName(now)
+
+
 def apply_filter(items: DataFrame, sources: DataFrame, f: ItemFilter, mentions: DataFrame | None = None) -> DataFrame:
     """The items that count: day conditions reach the scan, attributes are semi-joins."""
     out = items
@@ -91,3 +110,19 @@ def apply_filter(items: DataFrame, sources: DataFrame, f: ItemFilter, mentions:
     if f.entities and mentions is not None:
         out = out.join(mentions.where(F.col("entity_id").isin(*f.entities)).select("article_id"), "article_id", "left_semi")
     return out
+
+
+AHEAD, RELEVANT, AGGREGATED = "interval 6 hours", 0.75, 0.6
+
+
+def gate(items: DataFrame, look_back_days: int) -> DataFrame:
+    """``items`` (published, now, aggregator, relevance) with decision, published_at, estimated and relevance.
+
+    A date more than six hours ahead is now, an item older than the look-back is left out; so is one of little relevance,
+    unless it comes from an aggregator, whose queries have chosen it: without any term it counts 0.6.  No date is now.
+    """
+    published = F.when(F.col("published") > F.col("now") + F.expr(AHEAD), F.col("now")).otherwise(F.col("published"))
+    old = published < F.col("now") - F.make_interval(days=F.lit(look_back_days))
+    decision = F.when(old, "old").when(~F.col("aggregator") & (F.col("relevance") < RELEVANT), "irrelevant").otherwise("kept")
+    scored = F.when(F.col("aggregator") & (F.col("relevance") == 0), AGGREGATED).otherwise(F.col("relevance"))
+    return items.withColumns({"decision": decision, "published_at": F.coalesce(published, F.col("now")), "estimated": F.col("published").isNull(), "relevance": scored})

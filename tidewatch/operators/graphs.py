@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,26 +27,33 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = cut(small.where("u <> v").distinct())
-        if now.exceptAll(after).isEmpty() and after.exceptAll(now).isEmpty():
+        # Equal numbers of distinct edges and equal sums of their 64-bit hashes: nothing has changed.
+        if _digest(now) == _digest(after):
             break
         now = after
     return nodes.withColumnRenamed("u", "node").join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _digest(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 _ANCHORED = "item_id long, anchor_id long, kind string"
 
 
 def _anchor(hours: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "item_id"])
-        out, anchor, since, owner = [], None, None, None
-        for i, t, source in zip(pdf["item_id"], pdf["at"], pdf["source_id"]):
-            far = anchor is not None and t - since > pd.Timedelta(hours=hours)
-            if anchor is None or (source != owner and far):
-                anchor, since, owner = i, t, source
-                continue
-            out.append((i, anchor, "duplicate" if source == owner else "syndicated_from"))
-        return pd.DataFrame(out, columns=["item_id", "anchor_id", "kind"])
+    """Rows sorted by hash, time and id, one after the other: only the anchor of the hash at hand is kept."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, anchor, since, owner = None, None, None, None
+        for b in batches:
+            out = []
+            for content, i, at, source in zip(b["hash"], b["item_id"], b["us"], b["source_id"]):
+                if content != now or source != owner and at - since > hours * 3_600_000_000:
+                    now, anchor, since, owner = content, i, at, source
+                else:
+                    out.append((i, anchor, "duplicate" if source == owner else "syndicated_from"))
+            yield pd.DataFrame(out, columns=["item_id", "anchor_id", "kind"])
 
     return run
 
@@ -53,12 +62,12 @@ def exact_duplicates(items: DataFrame, hours: int = 48) -> DataFrame:
     """(item_id, anchor_id, kind) in order of time: copies of the first item with the same content (A-D1).
 
     ``items``: item_id, source_id, at, hash.  Copies of the same source are duplicates; of another source syndicated,
-    or, more than ``hours`` after the anchor, the next anchor.  Hashes that occur once never leave the JVM; the items of
-    one hash follow each other in one task, narrow rows only.
+    or, more than ``hours`` after the anchor, the next anchor.  Hashes that occur once never leave the JVM; the narrow rows
+    of one hash are streamed through one task, as each anchor depends on the one before.
     """
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "source_id", "at", "hash").where("hash is not null and at is not null")
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "source_id", F.unix_micros("at").alias("us"), "hash").where("hash is not null and us is not null")
     again = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    return rows.join(again, "hash", "left_semi").groupBy("hash").applyInPandas(_anchor(hours), _ANCHORED)
+    return rows.join(again, "hash", "left_semi").repartition("hash").sortWithinPartitions("hash", "us", "item_id").mapInPandas(_anchor(hours), _ANCHORED)
 
 
 def story_statistics(items: DataFrame, roots: DataFrame) -> DataFrame:

@@ -56,21 +56,28 @@ def keyword_search(items: DataFrame, query: str, limit: int = 200) -> DataFrame:
     return either.orderBy(F.desc("rank"), "item_id").limit(limit)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def _in_blocks(few: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """``few`` cut by hash into as many parts as keep each at about ``most`` rows, which is what may be broadcast at once."""
+    parts = max(1, -(-few.count() // most))
+    return [few.where(F.pmod(F.xxhash64(key), F.lit(parts)) == n) for n in range(parts)] if parts > 1 else [few]
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 10_000) -> DataFrame:
     """(query_id, id, similarity): the k most similar vectors of each query, exact.
 
-    ``queries`` is a stated set of bounded size (checked), sent to all rows; each partition of the vectors keeps k per
+    ``queries`` is a stated set, sent to all rows in blocks of about ``block``; each partition of the vectors keeps k per
     query before anything is shuffled.
     """
-    some = queries.limit(10_001).count()
-    if some > 10_000:
-        raise ValueError("more than 10,000 queries at once: pass them in blocks")
-    scored = vectors.select("id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q")))).where("id <> query_id").select("query_id", "id", cosine(F.col("vector"), F.col("q")).alias("similarity"))
-    scored = scored.where("similarity is not null").withColumn("part", F.spark_partition_id())
-    local = Window.partitionBy("query_id", "part").orderBy(F.desc("similarity"), "id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    kept = scored.withColumn("n", F.row_number().over(local)).where(F.col("n") <= k)
-    return kept.withColumn("place", F.row_number().over(final)).where(F.col("place") <= k).select("query_id", "id", "similarity", "place")
+    out = None
+    for part in _in_blocks(queries, "query_id", block):
+        scored = vectors.select("id", "vector").crossJoin(F.broadcast(part.select("query_id", F.col("vector").alias("q")))).where("id <> query_id").select("query_id", "id", cosine(F.col("vector"), F.col("q")).alias("similarity"))
+        scored = scored.where("similarity is not null").withColumn("part", F.spark_partition_id())
+        local = Window.partitionBy("query_id", "part").orderBy(F.desc("similarity"), "id")
+        final = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        kept = scored.withColumn("n", F.row_number().over(local)).where(F.col("n") <= k)
+        top = kept.withColumn("place", F.row_number().over(final)).where(F.col("place") <= k).select("query_id", "id", "similarity", "place")
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 def centroids(vectors: DataFrame, by: str) -> DataFrame:
@@ -80,11 +87,12 @@ def centroids(vectors: DataFrame, by: str) -> DataFrame:
     return mean.select(by, unit(F.col("mean")).alias("centroid"))
 
 
-def assign(vectors: DataFrame, centers: DataFrame, by: str, least: float = 0.0) -> DataFrame:
-    """(id, by, similarity): the nearest centroid of each vector at or above ``least`` (J16); centroids are few (checked)."""
-    if centers.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 centroids")
-    scored = vectors.select("id", "vector").crossJoin(F.broadcast(centers)).select("id", by, cosine(F.col("vector"), F.col("centroid")).alias("similarity"))
+def assign(vectors: DataFrame, centers: DataFrame, by: str, least: float = 0.0, block: int = 10_000) -> DataFrame:
+    """(id, by, similarity): the nearest centroid of each vector at or above ``least`` (J16); centroids go out in blocks."""
+    scored = None
+    for part in _in_blocks(centers, by, block):
+        one = vectors.select("id", "vector").crossJoin(F.broadcast(part)).select("id", by, cosine(F.col("vector"), F.col("centroid")).alias("similarity"))
+        scored = one if scored is None else scored.unionByName(one)
     best = scored.groupBy("id").agg(F.max(F.struct("similarity", F.negative(F.col(by)).alias("tie"))).alias("b"))
     return best.select("id", F.negative(F.col("b.tie")).alias(by), F.col("b.similarity").alias("similarity")).where(F.col("similarity") >= least)
 

@@ -11,7 +11,7 @@ def dense_days(counts: DataFrame, key: str, value: str = "n") -> DataFrame:
     """(day, key, value) for every day between the first and the last and every key, 0 where nothing was counted (L3)."""
     span = counts.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null")
     days = span.select(F.explode(F.sequence("a", "b")).alias("day"))
-    grid = days.crossJoin(F.broadcast(counts.select(key).distinct()))  # the calendar of one range times the keys shown
+    grid = counts.select(key).distinct().crossJoin(F.broadcast(days))  # the keys times the calendar of one range
     return grid.join(counts, [key, "day"], "left").select("day", key, F.coalesce(value, F.lit(0)).alias(value))
 
 

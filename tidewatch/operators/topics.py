@@ -37,7 +37,7 @@ def class_tfidf(terms: DataFrame, documents: int, top: int = 10) -> DataFrame:
 def coherence(terms: DataFrame, chosen: DataFrame, documents: int) -> DataFrame:
     """(topic, npmi): mean normalised pointwise mutual information of the pairs of a topic's terms, -1 for pairs that never meet (A-T6)."""
     has = terms.select("item_id", "term").distinct()
-    marked = has.join(F.broadcast(chosen.select("topic", "term")), "term")  # some terms for each topic
+    marked = has.join(chosen.select("topic", "term"), "term")
     single = marked.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
     met = marked.join(marked.select("item_id", "topic", F.col("term").alias("other")), ["item_id", "topic"]).where("term < other").groupBy("topic", "term", "other").agg(F.count(F.lit(1)).cast("double").alias("nij"))
     pairs = chosen.select("topic", "term").join(chosen.select("topic", F.col("term").alias("other")), "topic").where("term < other")
@@ -51,7 +51,7 @@ def topic_count(n: int) -> int:
     return min(max(round(math.sqrt(n / 2)), 3), 40)
 
 
-def kmeans_topics(vectors: DataFrame, seed: int = 42, runs: int = 3) -> DataFrame:
+def kmeans_topics(vectors: DataFrame, seed: int = 42, runs: int = 10) -> DataFrame:
     """(id, topic, probability): k-means on unit vectors, the best of some seeds; probability 1 / (1 + distance) (A-T3)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -67,10 +67,28 @@ def kmeans_topics(vectors: DataFrame, seed: int = 42, runs: int = 3) -> DataFram
 
 
 def align(local: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
-    """(topic, global_id, similarity): each topic's best known topic by centroid, null below ``least`` (A-T9); both few."""
-    scored = local.crossJoin(F.broadcast(known)).select("topic", "global_id", dot(F.col("centroid"), F.col("global_centroid")).alias("similarity"))
+    """(topic, global_id, similarity, new): each topic's best known topic by centroid (A-T9).
+
+    A topic below ``least`` becomes a known one itself, with the ids after the highest one, in the order of topics.
+    """
+    scored = local.crossJoin(known).select("topic", "global_id", dot(F.col("centroid"), F.col("global_centroid")).alias("similarity"))
     best = scored.groupBy("topic").agg(F.max_by(F.struct("global_id", "similarity"), F.struct("similarity", F.negative("global_id"))).alias("b"))
-    return local.select("topic").join(best, "topic", "left").select("topic", F.when(F.col("b.similarity") >= least, F.col("b.global_id")).alias("global_id"), F.col("b.similarity").alias("similarity"))
+    placed = local.select("topic").join(best, "topic", "left").select("topic", F.when(F.col("b.similarity") >= least, F.col("b.global_id")).alias("global_id"), F.col("b.similarity").alias("similarity"))
+    highest = known.agg(F.coalesce(F.max("global_id"), F.lit(0)).alias("highest"))
+    fresh = placed.where("global_id is null").withColumn("n", F.row_number().over(Window.orderBy("topic")))  # topics are few
+    fresh = fresh.crossJoin(F.broadcast(highest)).select("topic", (F.col("highest") + F.col("n")).cast(known.schema["global_id"].dataType).alias("global_id"), "similarity", F.lit(True).alias("new"))
+    return placed.where("global_id is not null").select("topic", "global_id", "similarity", F.lit(False).alias("new")).unionByName(fresh)
+
+
+def fit_metrics(assigned: DataFrame, terms: DataFrame, npmi: DataFrame, outlier: int = -1) -> DataFrame:
+    """One row about a fitted model (A-T7): topics, share of items without one, coherence, diversity of the topics' terms.
+
+    ``assigned``: item_id, topic.  ``terms``: topic, term.  ``npmi``: topic, npmi.
+    """
+    real = F.col("topic") != outlier
+    a = assigned.agg(F.countDistinct(F.when(real, F.col("topic"))).alias("topics"), F.avg(F.when(real, 0.0).otherwise(1.0)).alias("outlier_share"))
+    t = terms.agg(F.try_divide(F.countDistinct("term").cast("double"), F.count(F.lit(1))).alias("diversity"))
+    return a.crossJoin(npmi.agg(F.avg("npmi").alias("coherence"))).crossJoin(t)
 
 
 def needs_refit(age_days: int | None, now: int, then: int) -> bool:

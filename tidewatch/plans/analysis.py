@@ -8,24 +8,44 @@ from tidewatch.functions.scoring import completeness, relevance
 from tidewatch.functions.stats import js_divergence
 from tidewatch.functions.text import content_hash, dominant_script, excerpt, first_line, quoted_in, sentences, shingles, strip_html, word_count
 from tidewatch.functions.urls import canonical_url, domain_of, url_hash
-from tidewatch.operators.lexicon import category_scores, classify, event_candidates, frames, hits, mentions, merge_events, sentiment, shares, targeted_sentiment
+from tidewatch.functions.terms import class_hits
+from tidewatch.operators.lexicon import category_scores, classify, event_candidates, evidence, frames, mentions, merge_events, model_label, sentiment, shares, targeted_sentiment
 from tidewatch.plans.catalog import items, query
 from tidewatch.tables import table
 
-POSITIVE = ["useful", "promise", "open", "reopen", "sign"]
-NEGATIVE = ["complaint", "dispute", "slow", "closed", "prohibited", "withdrawn"]
+# A small vocabulary of our own; vocabularies are inputs of the operators.
+POSITIVE = ["useful", "promise", "open", "reopen", "sign", "agree", "answered", "helpful", "stayed open", "delivery"]
+NEGATIVE = ["complaint", "dispute", "slow", "closed", "prohibited", "withdrawn", "late", "no date", "not yet", "left without", "rose by"]
 EMOTIONS = {"hope": ["promise", "wait"], "anger": ["complaint", "dispute"], "calm": ["quietly", "useful"]}
+TONES = {"factual": ["according to", "percent", "reported"], "critical": ["not yet", "complaint", "declined"], "formal": ["memo", "directorate", "council"]}
 CUES = {"economy": ["price", "market permit", "percent"], "conflict": ["dispute", "closed", "declined"], "services": ["drinking water", "grid repair", "school book"]}
 TERMS = [("water", "services", "drinking water"), ("power", "services", "grid repair"), ("power", "services", "diesel"), ("trade", "economy", "market permit"), ("trade", "economy", "price"), ("transport", "economy", "ferry ticket"), ("transport", "economy", "bridge toll")]
 TRIGGERS = {"statement": ["declined", "quoted"], "agreement": ["signed"], "talks": ["talks", "met"]}
 
+_ENDINGS = "s|es|''s|i|is|n|en|e|ite|ites|ien|iens|ienne|iennes|isch|ische|ischen"
 
-def _pattern(term: str) -> str:
-    return rf"(^|[^\p{{L}}\p{{N}}_]){term}('s|s|es|ed|ing)?([^\p{{L}}\p{{N}}_]|$)"
 
+def form_sql(column: str) -> str:
+    """The matching form of Latin text."""
+    return f"strip_accents(lower(coalesce({column}, '')))"
 
-def _hits_sql(column: str, terms: list[str]) -> str:
-    return "(" + " + ".join(f"cast(regexp_matches({column}, '{_pattern(t).replace(chr(39), chr(39) * 2)}') as int)" for t in terms) + ")"
+
+def hits_sql(column: str, terms: list[str]) -> str:
+    """How many different terms stand in a text, by the rule of whole words with endings."""
+    one = r"cast(regexp_matches({0}, '(^|[^\p{{L}}\p{{N}}_]){1}({2})?([^\p{{L}}\p{{N}}_]|$)') as int)"
+    return "(" + " + ".join(one.format(form_sql(column), t.replace(" ", r"\s+"), _ENDINGS) for t in terms) + ")"
+
+
+def sentiment_sql(p: str, n: str) -> str:
+    """The columns of a sentiment from its hits, as the survey writes the formula."""
+    t, up, down = f"({p} + {n})", f"(({p} + 0.5) / ({p} + {n} + 1))", f"(({n} + 0.5) / ({p} + {n} + 1))"
+    pos, neg = (f"case when {t} = 0 then 0.1 else round({x} * least(1.0, {t} / 4.0), 4) end" for x in (up, down))
+    sure = f"case when {t} = 0 then 0.4 else round(least(0.7, 0.35 + 0.1 * {t}) * (0.6 + 0.4 * abs({up} - {down})), 4) end"
+    return f"{pos} as positive, {neg} as negative, {sure} as confidence"
+
+
+_LABEL = """case when confidence < 0.35 then 'uncertain' when positive >= negative and positive >= neutral then 'positive' when negative >= neutral then 'negative' else 'neutral' end"""
+_NEUTRAL = "case when positive = 0.1 and negative = 0.1 and confidence = 0.4 then 0.8 else round(greatest(1 - positive - negative, 0), 4) end"
 
 
 def _texts(spark, folder):
@@ -34,28 +54,51 @@ def _texts(spark, folder):
 
 @query(
     "lexicon_sentiment",
-    f"""with h as (select article_id as item_id, {_hits_sql("lower(coalesce(excerpt, ''))", POSITIVE)}::double as p, {_hits_sql("lower(coalesce(excerpt, ''))", NEGATIVE)}::double as n from {{items}} a),
-    s as (select item_id, p + n as t, (p + 0.5) / (p + n + 1) * least(1.0, (p + n) / 4) as u, (n + 0.5) / (p + n + 1) * least(1.0, (p + n) / 4) as d from h),
-    v as (select item_id, t, case when t = 0 then 0.1 else u end as pos, case when t = 0 then 0.1 else d end as neg, case when t = 0 then 0.8 else greatest(1 - u - d, 0) end as neu,
-      case when t = 0 then 0.4 else least(0.7, 0.35 + 0.1 * t) * (0.6 + 0.4 * abs(u - d)) end as c from s)
-    select item_id, case when c < 0.35 then 'uncertain' when neu >= pos and neu >= neg then 'neutral' when pos >= neg then 'positive' else 'negative' end as label, round(pos, 5) as positive, round(neg, 5) as negative, round(c, 5) as confidence from v""",
+    f"""with h as (select article_id as item_id, {hits_sql("excerpt", POSITIVE)}::double as p, {hits_sql("excerpt", NEGATIVE)}::double as n from {{items}} a),
+    s as (select item_id, {sentiment_sql("p", "n")} from h), v as (select *, {_NEUTRAL} as neutral from s)
+    select item_id, {_LABEL} as label, positive, negative, confidence from v""",
 )
 def lexicon_sentiment(spark, folder):
     """Sentiment by dictionary."""
-    s = _texts(spark, folder).select("item_id", sentiment(F.lower(F.coalesce("text", F.lit(""))), POSITIVE, NEGATIVE).alias("s"))
-    return s.select("item_id", "s.label", F.round("s.positive", 5).alias("positive"), F.round("s.negative", 5).alias("negative"), F.round("s.confidence", 5).alias("confidence"))
+    s = _texts(spark, folder).select("item_id", sentiment(F.col("text"), POSITIVE, NEGATIVE).alias("s"))
+    return s.select("item_id", "s.label", "s.positive", "s.negative", "s.confidence")
 
 
-@query(
-    "lexicon_emotions",
-    f"""with h as (select article_id as item_id, {', '.join(f"{_hits_sql('lower(coalesce(excerpt, {0}{0}))'.format(chr(39)), ts)}::double as {c}" for c, ts in EMOTIONS.items())} from {{items}} a),
-    t as (select *, hope + anger + calm as t, greatest(hope, anger, calm) as m from h)
-    select item_id, case when t = 0 then 'none' when hope = m then 'hope' when anger = m then 'anger' else 'calm' end as label, round(case when t = 0 then 0.3 else least(0.65, 0.3 + 0.1 * t) * m / t end, 5) as confidence from t""",
-)
+def _leading_sql(classes: dict[str, list[str]]) -> str:
+    columns = ", ".join(f"{hits_sql('excerpt', ts)}::double as {c}" for c, ts in classes.items())
+    names = list(classes)
+    first = " ".join(f"when {c} = m then '{c}'" for c in names)
+    return f"""with h as (select article_id as item_id, {columns} from {{items}} a), t as (select *, {' + '.join(names)} as t, greatest({', '.join(names)}) as m from h)
+    select item_id, case when t = 0 then 'none' {first} end as label, case when t = 0 then 0.3 else round(least(0.65, 0.3 + 0.1 * t) * round(m / t, 4), 4) end as confidence from t"""
+
+
+@query("lexicon_emotions", _leading_sql(EMOTIONS))
 def lexicon_emotions(spark, folder):
     """The leading emotion of each item."""
-    s = _texts(spark, folder).select("item_id", shares(F.lower(F.coalesce("text", F.lit(""))), EMOTIONS).alias("s"))
-    return s.select("item_id", "s.label", F.round("s.confidence", 5).alias("confidence"))
+    s = _texts(spark, folder).select("item_id", shares(F.col("text"), EMOTIONS).alias("s"))
+    return s.select("item_id", "s.label", "s.confidence")
+
+
+@query("lexicon_tones", _leading_sql(TONES))
+def lexicon_tones(spark, folder):
+    """The leading tone of each item."""
+    s = _texts(spark, folder).select("item_id", shares(F.col("text"), TONES).alias("s"))
+    return s.select("item_id", "s.label", "s.confidence")
+
+
+@query(
+    "emotion_evidence",
+    f"""select article_id as item_id, array_to_string(list_filter([{', '.join(f"case when {hits_sql('excerpt', [t])} > 0 then '{t}' end" for ts in EMOTIONS.values() for t in ts)}], lambda x: x is not null), ', ') as words from {{items}} a""",
+)
+def emotion_evidence(spark, folder):
+    """The words that an item's emotion rests on."""
+    return _texts(spark, folder).select("item_id", F.array_join(evidence(F.col("text"), EMOTIONS), ", ").alias("words"))
+
+
+@query("model_labels", "select mention_id, case lower('LABEL_' || (mention_id % 3)) when 'label_0' then 'negative' when 'label_1' then 'neutral' else 'positive' end as label from entity_mentions")
+def model_labels(spark, folder):
+    """Labels of a sentiment model in one notation (N9); ids stand for its answers."""
+    return table(spark, folder, "entity_mentions").select("mention_id", model_label(F.concat(F.lit("LABEL_"), (F.col("mention_id") % 3).cast("string"))).alias("label"))
 
 
 @query("frame_hits")
@@ -66,12 +109,12 @@ def frame_hits(spark, folder):
 
 @query(
     "keyword_presence",
-    f"""select article_id as item_id, {', '.join(f"{_hits_sql('lower(concat_ws({0} {0}, title, excerpt))'.format(chr(39)), ts)}::int as {c}" for c, ts in CUES.items())} from {{items}} a""",
+    f"""select article_id as item_id, {', '.join(f"{hits_sql('concat_ws({0} {0}, title, excerpt)'.format(chr(39)), ts)}::int as {c}" for c, ts in CUES.items())} from {{items}} a""",
 )
 def keyword_presence(spark, folder):
     """How many different cues of each frame an item holds."""
-    text = F.lower(F.concat_ws(" ", "title", "text"))
-    return _texts(spark, folder).select("item_id", *[hits(text, ts).cast("int").alias(c) for c, ts in CUES.items()])
+    counted = _texts(spark, folder).select("item_id", class_hits(F.concat_ws(" ", "title", "text"), CUES).alias("n"))
+    return counted.select("item_id", *[F.col("n")[k].alias(c) for k, c in enumerate(CUES)])
 
 
 @query("keyword_categories")
@@ -92,9 +135,28 @@ def gazetteer_mentions(spark, folder):
     return _found(spark, folder)
 
 
-@query("targeted_sentiment")
+#: Clear sentiments of the sentences of linked mentions, once each, as rows of SQL.
+TARGETED_SQL = f"""(select item_id, entity_id, sentence, {_LABEL} as label, round(positive - negative, 4) as score from
+  (select *, {_NEUTRAL} as neutral from (select item_id, entity_id, sentence, {sentiment_sql("p", "n")} from
+    (select distinct article_id as item_id, entity_id, sentence, {hits_sql("sentence", POSITIVE)}::double as p, {hits_sql("sentence", NEGATIVE)}::double as n from entity_mentions where entity_id is not null and sentence is not null)))
+  where {_LABEL} in ('positive', 'negative') and abs(positive - negative) >= 0.25 and confidence >= 0.45)"""
+
+
+def targeted_rows(spark, folder):
+    """Clear sentiments of the sentences of linked mentions, once each."""
+    m = table(spark, folder, "entity_mentions").where("entity_id is not null").select(F.col("article_id").alias("item_id"), "entity_id", "sentence")
+    return targeted_sentiment(m, POSITIVE, NEGATIVE).withColumn("score", F.round("score", 4))
+
+
+@query("targeted_sentiment", f"select * from {TARGETED_SQL} t")
 def targeted(spark, folder):
     """Clear sentiments of the sentences that name an actor."""
+    return targeted_rows(spark, folder)
+
+
+@query("targeted_of_found")
+def targeted_of_found(spark, folder):
+    """The same of the mentions that the gazetteer finds itself."""
     return targeted_sentiment(_found(spark, folder), POSITIVE, NEGATIVE)
 
 
@@ -120,12 +182,16 @@ def script_and_words(spark, folder):
     return d.select("doc_id", dominant_script(F.col("text")).alias("script"), word_count(F.col("text")).alias("words"))
 
 
+_TRACKED_SQL = "^(fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref|ref_src|cmpid|ocid|at_medium|at_campaign|xtor|smid|_ga|guccounter|output|amp|outputtype|rss|from|source|s_cid|utm_[0-9a-z_]+|at_custom[0-9]+|ns_[0-9a-z_]+)$"
+
+
 @query(
     "canonical_urls",
-    r"""with u as (select article_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) as h, regexp_extract(url, '^[A-Za-z]+://[^/?#:]+:(\d+)', 1) as port, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) as p, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q from articles),
-    v as (select *, regexp_replace(regexp_replace(h, '^www\.', ''), '^m\.', '') as d, regexp_replace(regexp_replace(regexp_replace(p, '//+', '/', 'g'), '/amp/?$', ''), '/+$', '') as path,
-      list_sort(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^[^=]+=.+') and not regexp_matches(lower(string_split(x, '=')[1]), '^(utm_[a-z_]+|fbclid|gclid|ref|igshid|mc_cid|mc_eid|yclid|spm|cmpid)$'))) as ps from u)
-    select article_id, d as domain, 'https://' || d || case when port in ('', '80', '443') then '' else ':' || port end || path || case when len(ps) = 0 then '' else '?' || array_to_string(ps, '&') end as canonical from v where d <> ''""",
+    rf"""with u as (select article_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) as h, regexp_extract(url, '^[A-Za-z]+://[^/?#:]+:(\d+)', 1) as port, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) as p, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) as q from articles),
+    w as (select *, regexp_replace(regexp_replace(regexp_replace(case when p = '' then '/' else p end, '(/amp/?$|\.amp$|\.amp\.html$)', '/', 'gi'), '/amp/', '/', 'gi'), '//+', '/', 'g') as path0 from u),
+    v as (select *, regexp_replace(regexp_replace(h, '^www\.', ''), '^m\.', '') as d, case when length(path0) > 1 then regexp_replace(path0, '/+$', '') else path0 end as path,
+      list_sort(list_filter(list_transform(list_filter(string_split(q, '&'), lambda x: regexp_matches(x, '^[^=]+=.')), lambda x: [url_decode(string_split(x, '=')[1]), url_decode(regexp_replace(x, '^[^=]*=', ''))]), lambda y: not regexp_matches(lower(y[1]), '{_TRACKED_SQL}'))) as ps from w)
+    select article_id, d as domain, 'https://' || d || case when port in ('', '80', '443') then '' else ':' || port end || path || case when len(ps) = 0 then '' else '?' || array_to_string(list_transform(ps, lambda y: replace(url_encode(y[1]), '%20', '+') || '=' || replace(url_encode(y[2]), '%20', '+')), '&') end as canonical from v where d <> ''""",
 )
 def canonical_urls(spark, folder):
     """Addresses in one form."""
@@ -190,7 +256,7 @@ def record_quality(spark, folder):
 @query(
     "relevance_scores",
     f"""with t as (select item_id, lower(coalesce(title, '')) as t, lower(coalesce(summary, '')) as s from raw_items)
-    select item_id, case when {_hits_sql('t', ['ferry', 'bridge toll'])} > 0 then 1.0 when {_hits_sql('s', ['ferry', 'bridge toll'])} > 0 then 0.8 when {_hits_sql("t || ' ' || s", ['council'])} > 0 then 0.4 else 0.0 end::double as relevance from t""",
+    select item_id, case when {hits_sql('t', ['ferry', 'bridge toll'])} > 0 then 1.0 when {hits_sql('s', ['ferry', 'bridge toll'])} > 0 then 0.8 when {hits_sql("t || ' ' || s", ['council'])} > 0 then 0.4 else 0.0 end::double as relevance from t""",
 )
 def relevance_scores(spark, folder):
     """Relevance by strong and weak terms."""

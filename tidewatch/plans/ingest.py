@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions.scoring import fetch_class
+from tidewatch.functions.scoring import fetch_class, relevance
 from tidewatch.functions.urls import domain_of
+from tidewatch.operators.filters import gate
+from tidewatch.plans.analysis import hits_sql
 from tidewatch.plans.catalog import items, query, sources
 from tidewatch.sources.sinks import archive_missing, as_json, bibtex, citation_key, classify_upsert, close_and_open, guard_formula, mark_current, ris
 from tidewatch.tables import table
@@ -84,23 +86,34 @@ def export_rows(spark, folder):
     return a.select("article_id", "source", "base", "day", "language", F.col("primary_category").alias("category"), "sentiment", F.coalesce("actors", F.lit("")).alias("actors"), guard_formula(F.col("title")).alias("title"))
 
 
+def _cited(spark, folder):
+    a = items(spark, folder).join(sources(spark, folder).select("source_id", F.col("slug").alias("source")), "source_id")
+    return a, {c: F.col(c) for c in ("title", "source", "day", "url", "language", "is_demo", "excerpt")}
+
+
+_KEY_SQL = """substring(regexp_replace(lower(s.slug), '[^a-z0-9]', '', 'g'), 1, 15) || strftime(a.day, '%Y')
+    || coalesce(nullif(substring(regexp_replace(string_split_regex(trim(case when coalesce(a.title, '') = '' then 'x' else a.title end), '\\s+')[1], '[^\\p{L}\\p{N}\\p{M}_]+', '', 'g'), 1, 12), ''), 'item') || article_id"""
+
+
 @query(
     "export_citations",
-    """select article_id, regexp_replace(lower(s.slug), '[^a-z0-9]', '', 'g') || strftime(a.day, '%Y') || '-' || article_id as key,
-    'TY  - NEWS' || chr(10) || 'TI  - ' || coalesce(a.title, '') || chr(10) || 'AU  - ' || coalesce(a.author, s.name, '') || chr(10) || 'JO  - ' || coalesce(s.name, '') || chr(10) || 'PY  - ' || strftime(a.day, '%Y') || chr(10) || 'DA  - ' || strftime(a.day, '%Y/%m/%d') || chr(10) || 'UR  - ' || coalesce(a.url, '') || chr(10) || 'ER  - ' as ris
-    from {items} a join sources s using (source_id)""",
+    f"""select article_id, {_KEY_SQL} as key,
+    'TY  - NEWS' || chr(10) || 'TI  - ' || coalesce(a.title, '') || chr(10) || 'T2  - ' || s.slug || chr(10) || 'PY  - ' || strftime(a.day, '%Y') || chr(10) || 'DA  - ' || strftime(a.day, '%Y/%m/%d') || chr(10) || 'UR  - ' || coalesce(a.url, '') || chr(10)
+    || 'LA  - ' || coalesce(a.language, '') || chr(10) || 'Y2  - 2026-12-31' || case when coalesce(a.excerpt, '') <> '' then chr(10) || 'AB  - ' || a.excerpt else '' end || case when a.is_demo then chr(10) || 'N1  - DEMO DATA (synthetic record)' else '' end || chr(10) || 'ER  - ' as ris
+    from {{items}} a join sources s using (source_id)""",
 )
 def export_citations(spark, folder):
     """Citation keys and RIS records (K8)."""
-    a = items(spark, folder).join(sources(spark, folder).select("source_id", "slug", "name"), "source_id")
-    return a.select("article_id", citation_key(F.col("slug"), F.col("day"), F.col("article_id")).alias("key"), ris(F.col("title"), F.col("author"), F.col("name"), F.col("url"), F.col("day")).alias("ris"))
+    a, row = _cited(spark, folder)
+    return a.select("article_id", citation_key(F.col("source"), F.col("day"), F.col("title"), F.col("article_id")).alias("key"), ris(row, F.lit("2026-12-31").cast("date")).alias("ris"))
 
 
 @query("export_bibtex")
 def export_bibtex(spark, folder):
     """BibTeX entries (K8), tested on a fixture."""
-    a = items(spark, folder).join(sources(spark, folder).select("source_id", "slug", "name"), "source_id")
-    return a.select("article_id", bibtex(citation_key(F.col("slug"), F.col("day"), F.col("article_id")), F.col("title"), F.col("author"), F.col("name"), F.col("url"), F.col("day")).alias("entry"))
+    a, row = _cited(spark, folder)
+    key = citation_key(F.col("source"), F.col("day"), F.col("title"), F.col("article_id"))
+    return a.select("article_id", bibtex(key, row, F.lit("2026-12-31").cast("date"), "Retrieved via Tidewatch").alias("entry"))
 
 
 @query("export_json")
@@ -120,12 +133,21 @@ def fetch_classes(spark, folder):
     return e.groupBy("event_type", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ingest_gate", """with n as (select max(fetched_at) as now from raw_items), g as (select item_id, published_at, case when fetched_at > now - interval 20 day then now - interval 1 day else fetched_at end as dated, now from raw_items cross join n)
-    select item_id, (dated >= now - interval 90 day) as kept, published_at is null as estimated from g""")
+_DATED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$"
+
+
+@query(
+    "ingest_gate",
+    f"""with n as (select max(fetched_at) as now from raw_items), r as (select item_id, coalesce(source_type = 'agency', false) as aggregator, now, {hits_sql("r.title", ["ferry", "bridge toll"])} as st, {hits_sql("r.summary", ["ferry", "bridge toll"])} as ss,
+      {hits_sql("concat_ws(' ', r.title, r.summary)", ["council"])} as w, case when regexp_matches(published_at, '{_DATED}') then try_cast(replace(published_at, 'Z', '') as timestamp) end as p from raw_items r left join sources using (source_id) cross join n),
+    c as (select *, case when p > now + interval 6 hour then now else p end as q, case when st > 0 then 1.0 when ss > 0 then 0.8 when w > 0 then 0.4 else 0.0 end as rel from r)
+    select item_id, case when q < now - interval 90 day then 'old' when not aggregator and rel < 0.75 then 'irrelevant' else 'kept' end as decision, epoch_us(coalesce(q, now)) as published_us, p is null as estimated,
+    case when aggregator and rel = 0 then 0.6 else rel end::double as relevance from c""",
+)
 def ingest_gate(spark, folder):
-    """Items too old for the look-back, and items without date."""
-    r = table(spark, folder, "raw_items")
+    """Which delivered items are stored, and with what date and relevance (F10); agencies stand for aggregators."""
+    r = table(spark, folder, "raw_items").join(sources(spark, folder).select("source_id", "source_type"), "source_id", "left")
     now = r.agg(F.max("fetched_at").alias("now"))
-    g = r.select("item_id", "fetched_at", "published_at").crossJoin(F.broadcast(now))
-    at = F.when(F.col("fetched_at") > F.col("now") - F.expr("interval 20 days"), F.col("now") - F.expr("interval 1 day")).otherwise(F.col("fetched_at"))
-    return g.select("item_id", (at >= F.col("now") - F.expr("interval 90 days")).alias("kept"), F.col("published_at").isNull().alias("estimated"))
+    dated = F.when(F.col("published_at").rlike(_DATED), F.try_to_timestamp("published_at"))
+    rows = r.crossJoin(F.broadcast(now)).select("item_id", dated.alias("published"), "now", F.coalesce(F.col("source_type") == "agency", F.lit(False)).alias("aggregator"), relevance(F.col("title"), F.col("summary"), ["ferry", "bridge toll"], ["council"]).alias("relevance"))
+    return gate(rows, 90).select("item_id", "decision", F.unix_micros("published_at").alias("published_us"), "estimated", "relevance")

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tidewatch.functions.stats import distribution, entropy, rate, signed_sentiment
 from tidewatch.operators.series import dense_days, drift, trends
+from tidewatch.plans.analysis import TARGETED_SQL, targeted_rows
 from tidewatch.plans.catalog import items, query, sources
 from tidewatch.tables import table
 
@@ -62,18 +63,40 @@ def overview_kpis(spark, folder):
     f"""with d as (select day, count(*) as articles, count(distinct {STORY_SQL}) as stories, count(distinct source_id) as sources,
     count(distinct coalesce(language, 'unknown')) as languages, round(count(*) filter (where is_syndicated) / count(*), 6) as copy_rate, count(*) filter (where sentiment = 'negative') as negative
     from {{items}} a group by 1),
+    w as (select cast(fetched_at as date) as day, count(*) as n from articles group by 1),
     c as (select day, primary_category as k, cast(count(*) as double) as n from {{items}} a where primary_category is not null group by 1, 2),
     e as (select day, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) as category_entropy from c group by 1)
-    select * from d left join e using (day)""",
+    select d.*, round(1 - articles / w.n, 4) as left_out_rate, category_entropy from d join w using (day) left join e using (day)""",
 )
 def daily_metrics(spark, folder):
+    """Items of each day; ``left_out_rate`` is the share of all delivered that don't count."""
     rows = items(spark, folder)
     d = rows.groupBy("day").agg(
         F.count(F.lit(1)).alias("articles"), F.countDistinct(_story()).alias("stories"), F.countDistinct("source_id").alias("sources"), F.countDistinct(F.coalesce("language", F.lit("unknown"))).alias("languages"),
         F.round(rate(F.coalesce("is_syndicated", F.lit(False))), 6).alias("copy_rate"), F.count_if(F.col("sentiment") == "negative").alias("negative"),
     )
+    w = table(spark, folder, "articles").groupBy(F.to_date("fetched_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     e = entropy(rows.where("primary_category is not null"), ["day"], "primary_category").select("day", F.round("entropy", 6).alias("category_entropy"))
-    return d.join(e, "day", "left")
+    return d.join(w, "day").withColumn("left_out_rate", F.round(1 - F.col("articles") / F.col("n"), 4)).drop("n").join(e, "day", "left")
+
+
+_DISTRIBUTIONS = {"language": "language", "sentiment": "sentiment", "category": "primary_category"}
+
+
+@query(
+    "daily_distributions",
+    " union all ".join(f"select day, '{name}' as dimension, coalesce({column}, 'unknown') as key, count(*) as n from {{items}} a group by 1, 3" for name, column in _DISTRIBUTIONS.items()),
+)
+def daily_distributions(spark, folder):
+    """The distributions of a day over languages, sentiments and categories (M01), in one pass."""
+    parts = F.explode(F.array(*[F.struct(F.lit(name).alias("dimension"), F.coalesce(column, F.lit("unknown")).alias("key")) for name, column in _DISTRIBUTIONS.items()]))
+    return items(spark, folder).select("day", parts.alias("x")).groupBy("day", "x.dimension", "x.key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("source_distributions", "select source_id, day, coalesce(primary_category, 'unknown') as category, count(*) as n from {items} a group by 1, 2, 3")
+def source_distributions(spark, folder):
+    """The categories of each source per day."""
+    return items(spark, folder).groupBy("source_id", "day", F.coalesce("primary_category", F.lit("unknown")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("daily_language_map")
@@ -82,14 +105,25 @@ def daily_language_map(spark, folder):
     return distribution(items(spark, folder).where("language is not null"), ["day"], "language", "languages")
 
 
+# The categories' parents in this data, which has none of its own.
+PARENTS = {"trade": "economy", "transport": "economy", "services": "society", "health": "society", "education": "society"}
+PARENT_SQL = "case primary_category " + " ".join(f"when '{c}' then '{p}'" for c, p in PARENTS.items()) + " end"
+
+
+def parent_of(category):
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in PARENTS.items() for x in pair]), category)
+
+
 @query(
     "topic_metrics",
-    f"""select primary_category as category, day, count(*) as articles, count(distinct {STORY_SQL}) as stories, count(distinct source_id) as sources,
-    count(distinct language) as languages, round(avg({SENTIMENT_SQL}), 6) as mean_sentiment from {{items}} a where primary_category is not null group by 1, 2""",
+    f"""with x as (select article_id, primary_category as category from {{items}} a where primary_category is not null union select article_id, {PARENT_SQL} from {{items}} a where {PARENT_SQL} is not null)
+    select category, day, count(*) as articles, count(distinct {STORY_SQL}) as stories, count(distinct source_id) as sources,
+    count(distinct language) as languages, round(avg({SENTIMENT_SQL}), 6) as mean_sentiment from x join {{items}} a using (article_id) group by 1, 2""",
 )
 def topic_metrics(spark, folder):
-    rows = items(spark, folder).where("primary_category is not null")
-    return rows.groupBy(F.col("primary_category").alias("category"), "day").agg(
+    """Items per category and day, those of children in their parent as well, once each."""
+    rows = items(spark, folder).withColumn("category", F.explode(F.array_distinct(F.array_compact(F.array("primary_category", parent_of(F.col("primary_category")))))))
+    return rows.groupBy("category", "day").agg(
         F.count(F.lit(1)).alias("articles"), F.countDistinct(_story()).alias("stories"), F.countDistinct("source_id").alias("sources"), F.countDistinct("language").alias("languages"),
         F.round(F.avg(signed_sentiment(F.col("sentiment"))), 6).alias("mean_sentiment"),
     )
@@ -110,14 +144,17 @@ def source_metrics(spark, folder):
 
 @query(
     "entity_metrics",
-    f"""select m.entity_id, a.day, count(*) as mentions, count(distinct a.article_id) as articles, count(distinct a.source_id) as sources,
-    round(avg({SENTIMENT_SQL}), 6) as mean_sentiment from entity_mentions m join {{items}} a using (article_id) where m.entity_id is not null group by 1, 2""",
+    f"""with t as (select t.entity_id, a.day, round(avg(t.score), 4) as s from {TARGETED_SQL} t join {{items}} a on a.article_id = t.item_id group by 1, 2),
+    n as (select m.entity_id, a.day, count(*) as mentions, count(distinct a.article_id) as articles, count(distinct a.source_id) as sources from entity_mentions m join {{items}} a using (article_id) where m.entity_id is not null group by 1, 2)
+    select n.*, t.s as mean_targeted_sentiment from n left join t using (entity_id, day)""",
 )
 def entity_metrics(spark, folder):
+    """Mentions of each actor per day, and the mean of what is said about them, each sentence once."""
+    rows = items(spark, folder).select("article_id", "day", "source_id")
     m = table(spark, folder, "entity_mentions").where("entity_id is not null").select("article_id", "entity_id")
-    return m.join(items(spark, folder).select("article_id", "day", "source_id", "sentiment"), "article_id").groupBy("entity_id", "day").agg(
-        F.count(F.lit(1)).alias("mentions"), F.countDistinct("article_id").alias("articles"), F.countDistinct("source_id").alias("sources"), F.round(F.avg(signed_sentiment(F.col("sentiment"))), 6).alias("mean_sentiment")
-    )
+    n = m.join(rows, "article_id").groupBy("entity_id", "day").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("article_id").alias("articles"), F.countDistinct("source_id").alias("sources"))
+    t = targeted_rows(spark, folder).join(rows.select(F.col("article_id").alias("item_id"), "day"), "item_id").groupBy("entity_id", "day").agg(F.round(F.avg("score"), 4).alias("mean_targeted_sentiment"))
+    return n.join(t, ["entity_id", "day"], "left")
 
 
 @query(
@@ -153,16 +190,22 @@ def category_rollup_union(spark, folder):
 
 @query(
     "category_rollup_max",
-    f"""with a as {_ASSIGNED}, direct as (select parent as category, count(distinct item) filter (where child % 5 = 0) as n from a group by 1),
-    children as (select parent, child, count(distinct item) as n from a group by 1, 2), rolled as (select parent as category, max(n) as n from children group by 1)
+    f"""with a as {_ASSIGNED}, own as (select distinct o_orderkey as item, n_regionkey as category from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey),
+    direct as (select 'c' || child as category, count(*) as n from a group by 1 union all select 'p' || category, count(*) from own group by 1),
+    rolled as (select 'p' || parent as category, count(distinct item) as n from a group by 1)
     select category, greatest(coalesce(d.n, 0), coalesce(r.n, 0)) as items from direct d full join rolled r using (category)""",
 )
 def category_rollup_max(spark, folder):
-    """The larger of a category's direct items and its children's (G8), kept beside the union."""
+    """The larger of a category's direct items and those of all its children, each item once.
+
+    Order lines belong to the nation of their supplier, and orders to the region of their customer.
+    """
     a = _assigned(spark, folder)
-    direct = a.groupBy(F.col("parent").alias("category")).agg(F.countDistinct(F.when(F.col("child") % 5 == 0, F.col("item"))).alias("d"))
-    rolled = a.groupBy("parent", "child").agg(F.countDistinct("item").alias("n")).groupBy(F.col("parent").alias("category")).agg(F.max("n").alias("r"))
-    return direct.join(rolled, "category", "full").select("category", F.greatest(F.coalesce("d", F.lit(0)), F.coalesce("r", F.lit(0))).alias("items"))
+    c = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_regionkey").alias("parent"))
+    own = table(spark, folder, "orders").select("o_orderkey", "o_custkey").join(c, "o_custkey")
+    count = lambda rows, mark, key, what: rows.groupBy(F.concat(F.lit(mark), key).alias("category")).agg(F.countDistinct(what).alias("n"))
+    direct = count(a, "c", "child", "item").unionByName(count(own, "p", "parent", "o_orderkey")).withColumnRenamed("n", "d")
+    return direct.join(count(a, "p", "parent", "item").withColumnRenamed("n", "r"), "category", "full").select("category", F.greatest(F.coalesce("d", F.lit(0)), F.coalesce("r", F.lit(0))).alias("items"))
 
 
 _TRENDS = """with last as (select max(day) as last from {items} x), a as (select primary_category as category, source_id, language, date_diff('day', day, last) as age

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from tidewatch.operators.filters import ItemFilter, apply_filter, group_condition
-from tidewatch.plans.catalog import items, query, sources
+from tidewatch.functions.stats import rate
+from tidewatch.operators.filters import ItemFilter, apply_filter, group_condition, in_subtree, status_or_demo
+from tidewatch.plans.analysis import TARGETED_SQL, frame_hits, lexicon_tones, targeted_rows
+from tidewatch.plans.catalog import ORACLES, items, query, sources
+from tidewatch.plans.metrics import PARENT_SQL, PARENTS, parent_of
 from tidewatch.tables import table
 
 
@@ -113,14 +116,20 @@ def source_profile_terms(spark, folder):
     return _top(t.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("n")), "source_id", "term", 40)
 
 
+_MOST_ACTIVE = "(select source_id from (select source_id, count(*) as n from {items} a group by 1 order by n desc, source_id limit 2))"
+
+
 @query(
     "compare_sources_shared",
-    """select story_cluster_id, count(*) as articles from {items} a where source_id in (1, 2, 3) and story_cluster_id is not null group by 1 having count(distinct source_id) >= 2""",
+    f"""select story_cluster_id, count(*) as articles from {{items}} a where source_id in {_MOST_ACTIVE} and story_cluster_id is not null group by 1 having count(distinct source_id) = 2""",
 )
-def compare_sources_shared(spark, folder):
-    """Stories that at least two of the compared sources cover."""
-    a = items(spark, folder).where(F.col("source_id").isin(1, 2, 3) & F.col("story_cluster_id").isNotNull())
-    return a.groupBy("story_cluster_id").agg(F.count(F.lit(1)).alias("articles"), F.countDistinct("source_id").alias("k")).where("k >= 2").drop("k")
+def compare_sources_shared(spark, folder, compared: tuple[int, ...] = ()):
+    """Stories that every compared source covers (Q14, G13); by default the two most active sources are compared."""
+    rows = items(spark, folder)
+    if not compared:
+        compared = tuple(r[0] for r in rows.groupBy("source_id").count().orderBy(F.desc("count"), "source_id").limit(2).collect())
+    a = rows.where(F.col("source_id").isin(*compared) & F.col("story_cluster_id").isNotNull())
+    return a.groupBy("story_cluster_id").agg(F.count(F.lit(1)).alias("articles"), F.countDistinct("source_id").alias("k")).where(F.col("k") == len(compared)).drop("k")
 
 
 @query(
@@ -219,16 +228,44 @@ def landscape_coverage(spark, folder):
     return e.select("source_a", "source_b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
 
 
+_RELATIONS = """(select a.article_id as from_id, f.first as to_id, 'syndicated_from' as kind from articles a
+  join (select story_cluster_id, min_by(article_id, (epoch_us(fetched_at), article_id)) as first from articles where not coalesce(is_syndicated, false) and story_cluster_id is not null group by 1) f using (story_cluster_id)
+  where a.is_syndicated and a.article_id <> f.first)"""
+
+
+def relations(spark, folder):
+    """(from_id, to_id, kind): each copy to the first item of its story that is none."""
+    a = table(spark, folder, "articles").where("story_cluster_id is not null")
+    copied = F.coalesce("is_syndicated", F.lit(False))
+    first = a.where(~copied).groupBy("story_cluster_id").agg(F.min_by("article_id", F.struct("fetched_at", "article_id")).alias("to_id"))
+    return a.where(copied).join(first, "story_cluster_id").where("article_id <> to_id").select(F.col("article_id").alias("from_id"), "to_id", F.lit("syndicated_from").alias("kind"))
+
+
+def edge_counts(rows, edges, kind: str):
+    """(source_from, source_to, n): edges of a kind between items of different sources, from the items that count."""
+    a = rows.select(F.col("article_id").alias("from_id"), F.col("source_id").alias("source_from"))
+    b = rows.select(F.col("article_id").alias("to_id"), F.col("source_id").alias("source_to"))
+    return edges.where(F.col("kind") == kind).join(a, "from_id").join(b, "to_id").where("source_from <> source_to").groupBy("source_from", "source_to").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "landscape_syndication",
-    """with f as (select story_cluster_id as c, min_by(source_id, (epoch_us(fetched_at), article_id)) as origin from articles where story_cluster_id is not null group by 1)
-    select f.origin as source_from, a.source_id as source_to, count(*) as copies from articles a join f on f.c = a.story_cluster_id where a.source_id <> f.origin group by 1, 2""",
+    f"""select a.source_id as source_from, b.source_id as source_to, count(*) as n from {_RELATIONS} r join articles a on a.article_id = r.from_id join articles b on b.article_id = r.to_id
+    where r.kind = 'syndicated_from' and a.source_id <> b.source_id group by 1, 2""",
 )
 def landscape_syndication(spark, folder):
-    """From which source stories spread to which."""
-    a = table(spark, folder, "articles").where("story_cluster_id is not null").select("story_cluster_id", "article_id", "source_id", "fetched_at")
-    f = a.groupBy("story_cluster_id").agg(F.min_by("source_id", F.struct("fetched_at", "article_id")).alias("source_from"))
-    return a.join(f, "story_cluster_id").where("source_id <> source_from").groupBy("source_from", F.col("source_id").alias("source_to")).agg(F.count(F.lit(1)).alias("copies"))
+    """Which sources copy which (Q21, J7): a walk over the items' relations."""
+    return edge_counts(table(spark, folder, "articles").select("article_id", "source_id"), relations(spark, folder), "syndicated_from")
+
+
+@query(
+    "landscape_strong_pairs",
+    """with p as (select distinct source_id, story_cluster_id as c from {items} a where story_cluster_id is not null)
+    select a.source_id as source_a, b.source_id as source_b, count(*) as shared from p a join p b on a.c = b.c and a.source_id < b.source_id group by 1, 2 having count(*) >= 2""",
+)
+def landscape_strong_pairs(spark, folder, min_shared: int = 2):
+    """Pairs of sources with at least ``min_shared`` stories in common (Q21)."""
+    return landscape_coverage(spark, folder).where(F.col("shared") >= min_shared).select("source_a", "source_b", "shared")
 
 
 @query(
@@ -243,6 +280,141 @@ def narratives_share(spark, folder):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("grp")), 6))
 
 
+_BASED = "(select a.*, s.operating_base as grp from {items} a join sources s using (source_id))"
+
+
+def _based(spark, folder):
+    return items(spark, folder).join(sources(spark, folder).select("source_id", F.col("operating_base").alias("grp")), "source_id")
+
+
+@query("narratives_terms", _TOP.format(by="grp", key="term", k=15, **{"from": f"(select grp, unnest(string_split(lower(title), ' ')) as term from {_BASED} where title is not null) t where length(term) > 3"}))
+def narratives_terms(spark, folder):
+    """The 15 most frequent words of each base's headlines (Q22)."""
+    t = _based(spark, folder).where("title is not null").select("grp", F.explode(F.split(F.lower("title"), " ")).alias("term")).where("length(term) > 3")
+    return _top(t.groupBy("grp", "term").agg(F.count(F.lit(1)).alias("n")), "grp", "term", 15)
+
+
+@query("narratives_actors", _TOP.format(by="grp", key="entity_id", k=10, **{"from": f"entity_mentions m join {_BASED} using (article_id) where entity_id is not null"}))
+def narratives_actors(spark, folder):
+    """The 10 actors that each base mentions most (Q22)."""
+    m = table(spark, folder, "entity_mentions").where("entity_id is not null").select("article_id", "entity_id")
+    return _top(m.join(_based(spark, folder).select("article_id", "grp"), "article_id").groupBy("grp", "entity_id").agg(F.count(F.lit(1)).alias("n")), "grp", "entity_id", 10)
+
+
+@query(
+    "narratives_tones",
+    "select grp, label, count(*) as n from (" + ORACLES["lexicon_tones"] + ") t join (select a.article_id as item_id, s.operating_base as grp from articles a join sources s using (source_id)) g using (item_id) group by 1, 2",
+)
+def narratives_tones(spark, folder):
+    """Tones by base (Q22)."""
+    return lexicon_tones(spark, folder).join(_based(spark, folder).select(F.col("article_id").alias("item_id"), "grp"), "item_id").groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("narratives_frames")
+def narratives_frames(spark, folder):
+    """Frames by base (Q22); sentence splitting has no SQL."""
+    return frame_hits(spark, folder).join(_based(spark, folder).select(F.col("article_id").alias("item_id"), "grp"), "item_id").groupBy("grp", "frame").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "source_profile_days",
+    """select source_id, count(*) as articles, count(distinct day) as days, min(day) as first_day, max(day) as last_day, round(avg(word_count), 4) as mean_words, round(count(*) filter (where is_syndicated) / count(*), 4) as copy_rate,
+    round(count(*) filter (where author is not null and author <> '') / count(*), 4) as signed_rate from {items} a group by 1""",
+)
+def source_profile_days(spark, folder):
+    """Activity of each source: items, days, lengths, copies, signed items (Q13)."""
+    r = lambda c, name: F.round(rate(F.coalesce(c, F.lit(False))), 4).alias(name)
+    return items(spark, folder).groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("articles"), F.countDistinct("day").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+        F.round(F.avg("word_count"), 4).alias("mean_words"), r(F.col("is_syndicated"), "copy_rate"), r(F.col("author") != "", "signed_rate"),
+    )
+
+
+@query("source_profile_sentiment", "select source_id, coalesce(sentiment, 'none') as polarity, count(*) as n, round(count(*) / sum(count(*)) over (partition by source_id), 6) as share from {items} a group by 1, 2")
+def source_profile_sentiment(spark, folder):
+    """Polarities of each source with shares (Q13)."""
+    n = items(spark, folder).groupBy("source_id", F.coalesce("sentiment", F.lit("none")).alias("polarity")).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("source_id")), 6))
+
+
+@query("source_profile_languages", "select source_id, coalesce(language, 'unknown') as language, count(*) as n from {items} a group by 1, 2")
+def source_profile_languages(spark, folder):
+    """Languages of each source (Q13)."""
+    return items(spark, folder).groupBy("source_id", F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "source_profile_targets",
+    f"""select a.source_id, t.entity_id, count(*) as n, round(avg(t.score), 4) as mean_score from {TARGETED_SQL} t join {{items}} a on a.article_id = t.item_id group by 1, 2""",
+)
+def source_profile_targets(spark, folder):
+    """What each source says about actors (Q13)."""
+    rows = items(spark, folder).select(F.col("article_id").alias("item_id"), "source_id")
+    return targeted_rows(spark, folder).join(rows, "item_id").groupBy("source_id", "entity_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
+
+
+@query(
+    "category_tree",
+    f"""with c as (select primary_category as category, {PARENT_SQL} as parent, count(*) as n from {{items}} a where primary_category is not null group by 1, 2),
+    p as (select parent as category, sum(n)::bigint as rolled from c where parent is not null group by 1),
+    roots as (select category, n as direct from c where parent is null union all select category, 0 from p where category not in (select category from c where parent is null)),
+    kids as (select parent as category, string_agg(category || ' ' || n, ', ' order by n desc, category) as children from c where parent is not null group by 1)
+    select category, greatest(max(direct), coalesce(max(rolled), 0)) as items, coalesce(max(children), '') as children from roots left join p using (category) left join kids using (category) group by 1""",
+)
+def category_tree(spark, folder):
+    """Top categories with their children by number of items (Q08, L4)."""
+    c = items(spark, folder).where("primary_category is not null").groupBy(F.col("primary_category").alias("category")).agg(F.count(F.lit(1)).alias("n")).withColumn("parent", parent_of(F.col("category")))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.negative("n").alias("o"), "category", "n"))), lambda x: F.concat(x["category"], F.lit(" "), x["n"].cast("string")))
+    p = c.where("parent is not null").groupBy(F.col("parent").alias("category")).agg(F.sum("n").alias("rolled"), F.array_join(listed, ", ").alias("children"))
+    direct = c.where("parent is null").select("category", F.col("n").alias("direct"))
+    return direct.join(p, "category", "full").select("category", F.greatest(F.coalesce("direct", F.lit(0)), F.coalesce("rolled", F.lit(0))).alias("items"), F.coalesce("children", F.lit("")).alias("children"))
+
+
+@query(
+    "category_subtree_items",
+    f"select article_id, primary_category from {{items}} a where primary_category = 'society' or {PARENT_SQL} = 'society'",
+)
+def category_subtree_items(spark, folder):
+    """The items of a category and of all below it."""
+    tree = spark.createDataFrame(list(PARENTS.items()), "category string, parent string")
+    return in_subtree(items(spark, folder), tree, "society").select("article_id", "primary_category")
+
+
+@query("registry_or_demo", "select source_id, slug from sources where tier = 'A' or coalesce(is_demo, false)")
+def registry_or_demo(spark, folder):
+    """Sources of a registry status, and demonstration sources whatever their status (F8)."""
+    return sources(spark, folder).where(status_or_demo("tier", "A")).select("source_id", "slug")
+
+
+@query(
+    "article_total",
+    "select count(*) as total, least(count(*) - 100, 50) as on_page from {items} a",
+)
+def article_total(spark, folder):
+    """How many items the list has in all, and how many stand on the page of ``article_page`` (L1)."""
+    return items(spark, folder).agg(F.count(F.lit(1)).alias("total")).withColumn("on_page", F.least(F.col("total") - 100, F.lit(50)))
+
+
+@query(
+    "article_document",
+    """with m as (select article_id, list_sort(list(entity_id || ':' || surface_form)) as mentions from entity_mentions where entity_id is not null group by 1),
+    st as (select article_id as this, story_cluster_id from {items} a where story_cluster_id is not null),
+    r as (select st.this as article_id, list_sort(list(b.article_id)) as related from st join {items} b on b.story_cluster_id = st.story_cluster_id and b.article_id <> st.this group by 1)
+    select a.article_id, a.title, s.slug as source, a.language, a.sentiment, coalesce(array_to_string(m.mentions, '; '), '') as mentions, coalesce(array_to_string(r.related, ', '), '') as related
+    from {items} a join sources s using (source_id) left join m using (article_id) left join r using (article_id)""",
+)
+def article_document(spark, folder):
+    """Every item with its source, its mentions and the other items of its story as nested lists (Q05)."""
+    rows = items(spark, folder)
+    m = table(spark, folder, "entity_mentions").where("entity_id is not null").groupBy("article_id").agg(F.sort_array(F.collect_list(F.concat("entity_id", F.lit(":"), "surface_form"))).alias("mentions"))
+    st = rows.where("story_cluster_id is not null").select("article_id", "story_cluster_id")
+    other = st.select(F.col("article_id").alias("other"), "story_cluster_id")
+    r = st.join(other, "story_cluster_id").where("article_id <> other").groupBy("article_id").agg(F.sort_array(F.collect_list("other")).alias("related"))
+    whole = rows.join(sources(spark, folder).select("source_id", F.col("slug").alias("source")), "source_id").join(m, "article_id", "left").join(r, "article_id", "left")
+    text = lambda c, by: F.coalesce(F.array_join(c, by), F.lit("")).alias(c)
+    return whole.select("article_id", "title", "source", "language", "sentiment", text("mentions", "; "), text("related", ", "))
+
+
 @query(
     "category_profile",
     """select primary_category as category, s.operating_base as base, count(*) as n, count(distinct a.source_id) as sources, count(*) filter (where sentiment = 'negative') as negative
@@ -269,9 +441,10 @@ def never_mentioned(spark, folder):
     return table(spark, folder, "entities").select("entity_id", "slug").join(table(spark, folder, "entity_mentions").where("entity_id is not null").select("entity_id"), "entity_id", "left_anti")
 
 
-@query("affected_days", "with last as (select max(fetched_at)::date as last from articles) select distinct day from (select cast(unnest(generate_series(last - 13, last, interval 1 day)) as date) as day from last union select cast(fetched_at as date) from articles where batch_no = 8) x")
-def affected_days(spark, folder):
-    """Days to compute again: the last 14 and those that the last batch touched (D3)."""
+@query("affected_days", "with last as (select max(fetched_at)::date as last, max(batch_no) as b from articles) select distinct day from (select cast(unnest(generate_series(last - 13, last, interval 1 day)) as date) as day from last union select cast(fetched_at as date) from articles where batch_no = (select b from last)) x")
+def affected_days(spark, folder, batch: int | None = None):
+    """Days to compute again: the last 14 and those that a batch touched, the last one by default (D3)."""
     a = table(spark, folder, "articles")
     recent = a.agg(F.to_date(F.max("fetched_at")).alias("last")).select(F.explode(F.sequence(F.date_sub("last", 13), F.col("last"))).alias("day"))
-    return recent.union(a.where("batch_no = 8").select(F.to_date("fetched_at").alias("day"))).distinct()
+    touched = a.where(F.col("batch_no") == batch) if batch is not None else a.join(F.broadcast(a.agg(F.max("batch_no").alias("batch_no"))), "batch_no")
+    return recent.union(touched.select(F.to_date("fetched_at").alias("day"))).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from tidewatch.functions.text import content_hash
 from tidewatch.operators.graphs import components, exact_duplicates, story_statistics
 from tidewatch.operators.search import assign, centroids, fuse, keyword_search, matches, nearest
 from tidewatch.operators.topics import class_tfidf, coherence, document_terms, kmeans_topics
@@ -111,7 +112,7 @@ def story_stats(spark, folder):
 @query("exact_duplicates")
 def exact_duplicate_items(spark, folder):
     """Items with the same title and text, by anchors of 48 hours (A-D1); order-dependent, tested against a plain loop."""
-    rows = table(spark, folder, "raw_items").select("item_id", "source_id", F.col("fetched_at").alias("at"), F.sha2(F.concat_ws("\n", "title", "summary"), 256).alias("hash"))
+    rows = table(spark, folder, "raw_items").select("item_id", "source_id", F.col("fetched_at").alias("at"), content_hash(F.col("title"), F.col("summary")).alias("hash"))
     return exact_duplicates(rows)
 
 

@@ -28,11 +28,13 @@ def build_session(app: str = "tidewatch", cores: str | int = "*", **conf: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, from spark.checkpoint.dir; a temporary one only on a local master without it (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewatch-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -12,6 +12,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from datetime import datetime
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,21 +24,34 @@ ITEM = "url string, title string, published_at string, summary string, author st
 FIELDS = ["url", "title", "published_at", "summary", "author", "publisher_name", "publisher_domain", "language_hint", "extra", "error"]
 # Language names of the JSON news index.
 LANGUAGE_NAMES = {"english": "en", "arabic": "ar", "french": "fr", "german": "de", "spanish": "es", "turkish": "tr", "persian": "fa", "russian": "ru", "chinese": "zh", "italian": "it", "urdu": "ur", "hebrew": "he"}
-_XML_ENTITIES = {"amp", "lt", "gt", "quot", "apos"}
+# The names that XML itself defines, and the characters that it doesn't allow.
+STRICT_NAMES = {"amp", "lt", "gt", "quot", "apos"}
+UNPRINTED = {c: None for c in range(0x20) if chr(c) not in "\t\n\r"}
+
+
+def _ampersand(piece: str) -> str:
+    """What stands behind an ampersand, as a strict parser takes it: references it knows stay, others become numbers or text."""
+    name, semicolon, rest = piece.partition(";")
+    if semicolon and (name.startswith("#") and name[1:].removeprefix("x").isalnum() or name in STRICT_NAMES):
+        return f"&{piece}"
+    known = html5.get(f"{name};") if semicolon and name.isalnum() else None
+    return "".join(f"&#{ord(c)};" for c in known) + rest if known else f"&amp;{piece}"
 
 
 def repair_xml(payload: bytes) -> str:
-    """Text that a strict parser takes: declared encoding, named entities as numbers, bare ampersands, no control characters."""
-    head = re.search(rb'encoding=["\']([A-Za-z0-9._-]+)', payload[:200])
+    """Text that a strict parser takes: declared encoding, references it knows, no control characters.
+
+    One pass over the pieces between ampersands.
+    """
+    declared = re.search(rb'encoding=["\']([A-Za-z0-9._-]+)', payload[:200])
     try:
-        text = payload.decode(head[1].decode() if head else "utf-8", errors="replace")
+        text = payload.decode(declared[1].decode() if declared else "utf-8", errors="replace")
     except LookupError:
         text = payload.decode("utf-8", errors="replace")
-    text = re.sub(r"^\s*<\?xml[^>]*\?>", "", text)
-    text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", text)
-    named = lambda m: m[0] if m[1] in _XML_ENTITIES else "".join(f"&#{ord(c)};" for c in html.unescape(m[0])) if html.unescape(m[0]) != m[0] else "&amp;" + m[0][1:]
-    text = re.sub(r"&([A-Za-z][A-Za-z0-9]*);", named, text)
-    return re.sub(r"&(?!#?\w+;)", "&amp;", text)
+    if text.lstrip().startswith("<?xml"):
+        text = text.partition("?>")[2]
+    first, *others = text.translate(UNPRINTED).split("&")
+    return first + "".join(map(_ampersand, others))
 
 
 def _plain(text: str | None) -> str:
@@ -92,6 +106,10 @@ def parse_rss(payload: bytes) -> list[dict]:
     return out
 
 
+#: A publisher of 2 to 80 characters, without a hyphen, at the end of an aggregator's headline.
+PUBLISHER = re.compile(r"\s+-\s+(?P<publisher>[^-]{2,80})$")
+
+
 def parse_aggregator(payload: bytes) -> list[dict]:
     """Items of an aggregator's feed (S3): the publisher leaves the headline and becomes a field, the summary is dropped."""
     out = []
@@ -102,11 +120,12 @@ def parse_aggregator(payload: bytes) -> list[dict]:
             continue
         source = next(iter(_children(n, "source")), None)
         name = (source.text or "").strip() if source is not None else ""
-        bare, _, tail = title.rpartition(" - ")
-        if bare and (tail.strip() == name or not name):
-            title, name = bare, name or tail.strip()
+        ending = PUBLISHER.search(title)
+        if ending and name in ("", ending["publisher"].strip()):
+            title, name = title[: ending.start()].strip(), name or ending["publisher"].strip()
+        home = source.get("url") if source is not None else None
         site = re.sub(r"^https?://(?:www\.)?([^/:]+).*$", r"\1", source.get("url", "")) if source is not None else None
-        out.append(_row(url=url, title=title, published_at=_text(n, "pubDate"), summary="", publisher_name=name or None, publisher_domain=site or None, extra={}))
+        out.append(_row(url=url, title=title, published_at=_text(n, "pubDate"), summary="", publisher_name=name or None, publisher_domain=site or None, extra={k: v for k, v in (("aggregator", "headlines"), ("publisher_url", home)) if v}))
     return out
 
 

@@ -63,7 +63,9 @@ def guard_formula(c: Column) -> Column:
 
 def write_csv(df: DataFrame, path: str) -> None:
     guarded = df.select(*[guard_formula(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
-    guarded.write.mode("overwrite").csv(path, header=True, escape='"')
+    # Spreadsheets take a file for UTF-8 by the mark at its beginning.
+    marked = guarded.withColumnRenamed(guarded.columns[0], f"\ufeff{guarded.columns[0]}") if guarded.columns else guarded
+    marked.write.mode("overwrite").csv(path, header=True, escape='"', encoding="UTF-8")
 
 
 def as_json(df: DataFrame, filters: str, demo: bool) -> DataFrame:
@@ -71,22 +73,34 @@ def as_json(df: DataFrame, filters: str, demo: bool) -> DataFrame:
     return df.select(F.to_json(F.struct(F.struct(*df.columns).alias("item"), F.lit(filters).alias("filters"), F.lit(demo).alias("contains_demo_data")), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def citation_key(source: Column, day: Column, item_id: Column) -> Column:
-    return F.concat(F.regexp_replace(F.lower(F.coalesce(source, F.lit("item"))), "[^a-z0-9]", ""), F.coalesce(F.date_format(day, "yyyy"), F.lit("nd")), F.lit("-"), item_id.cast("string"))
+def citation_key(source: Column, day: Column, title: Column, item_id: Column) -> Column:
+    """Source, year, first word of the headline and id (K8)."""
+    word = F.substring(F.regexp_replace(F.element_at(F.split(F.trim(F.when(F.coalesce(title, F.lit("")) == "", "x").otherwise(title)), r"\s+"), 1), r"(?U)\W+", ""), 1, 12)
+    outlet = F.substring(F.regexp_replace(F.lower(source), "[^a-z0-9]", ""), 1, 15)
+    return F.concat(outlet, F.coalesce(F.date_format(day, "yyyy"), F.lit("")), F.when(word == "", "item").otherwise(word), item_id.cast("string"))
 
 
-def bibtex(key: Column, title: Column, author: Column, publisher: Column, url: Column, day: Column) -> Column:
-    """A BibTeX entry (K8); braces and backslashes of values are taken out."""
-    tidy = lambda c: F.translate(F.coalesce(c, F.lit("")), "{}\\", "")
-    lines = [F.concat(F.lit(f"  {n} = {{"), tidy(v), F.lit("}")) for n, v in (("title", title), ("author", F.coalesce(author, publisher)), ("journal", publisher), ("year", F.date_format(day, "yyyy")), ("date", F.date_format(day, "yyyy-MM-dd")), ("url", url))]
-    return F.concat(F.lit("@online{"), key, F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+DEMO_NOTE = "DEMO DATA (synthetic record)"
 
 
-def ris(title: Column, author: Column, publisher: Column, url: Column, day: Column) -> Column:
-    """A RIS record (K8)."""
-    tidy = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]+", " ")
-    parts = (("TI", title), ("AU", F.coalesce(author, publisher)), ("JO", publisher), ("PY", F.date_format(day, "yyyy")), ("DA", F.date_format(day, "yyyy/MM/dd")), ("UR", url))
-    return F.concat(F.lit("TY  - NEWS\n"), *[F.concat(F.lit(f"{n}  - "), tidy(v), F.lit("\n")) for n, v in parts], F.lit("ER  - "))
+def bibtex(key: Column, row: dict[str, Column], seen: Column, note: str) -> Column:
+    """A BibTeX entry (K8).  ``row``: title, source, day, url, language, is_demo; ``seen``: the day of the export."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
+    date = lambda c, form: F.coalesce(F.date_format(c, form), F.lit(""))
+    fields = {
+        "title": safe(row["title"]), "howpublished": safe(row["source"]), "year": date(row["day"], "yyyy"), "date": date(row["day"], "yyyy-MM-dd"), "url": F.coalesce(row["url"], F.lit("")),
+        "language": F.coalesce(row["language"], F.lit("")), "urldate": date(seen, "yyyy-MM-dd"), "note": F.when(F.coalesce(row["is_demo"], F.lit(False)), DEMO_NOTE).otherwise(note),
+    }
+    lines = [F.concat(F.lit(f"  {name} = {{"), value, F.lit("}")) for name, value in fields.items()]
+    return F.concat(F.lit("@misc{"), key, F.lit(",\n"), F.concat_ws(",\n", *lines), F.lit("\n}"))
+
+
+def ris(row: dict[str, Column], seen: Column) -> Column:
+    """A RIS record (K8).  ``row`` as for ``bibtex``, and excerpt."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    tags = [("TY", F.lit("NEWS")), ("TI", text(row["title"])), ("T2", text(row["source"])), ("PY", text(F.date_format(row["day"], "yyyy"))), ("DA", text(F.date_format(row["day"], "yyyy/MM/dd"))), ("UR", text(row["url"])), ("LA", text(row["language"])), ("Y2", text(F.date_format(seen, "yyyy-MM-dd")))]
+    tags += [("AB", F.when(row["excerpt"] != "", row["excerpt"])), ("N1", F.when(row["is_demo"], DEMO_NOTE)), ("ER", F.lit(""))]
+    return F.array_join(F.array_compact(F.array(*[F.concat(F.lit(f"{tag}  - "), value) for tag, value in tags])), "\n")
 
 
 def markdown_row(*cells: Column) -> Column:

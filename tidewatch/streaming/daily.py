@@ -46,9 +46,11 @@ def recompute_days(stream: DataFrame, items_path: str, sink: str, checkpoint: st
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(items_path)
-        days = batch.select(F.to_date(at).alias("day")).distinct()
-        again = spark.read.parquet(items_path).withColumn("day", F.to_date(at)).join(days, "day", "left_semi")
-        overwrite_days(again.groupBy("day").agg(F.count(F.lit(1)).alias("n")), sink)
+        dated = batch.withColumns({"day": F.to_date(at), "batch_id": F.lit(number)}).where("day is not null")
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(items_path)
+        days = [r[0] for r in dated.select("day").distinct().collect()]
+        if days:  # only the folders of these days are read
+            again = spark.read.parquet(items_path).where(F.col("day").isin(days))
+            overwrite_days(again.groupBy("day").agg(F.count(F.lit(1)).alias("n")), sink)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Problems 2, 7 and 9 against plain versions, and with nulls, ties, repeats and empty tables."""
 
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from tests.conftest import rows
 from tidewatch.llm.batches import RUN, AcceptedHistory, blocks_of, duplicates, gram_codes, headline_words, mark_keys, order_keys, page_of, same_but_for_slips, winnow
 from tidewatch.llm.mixing import TOKENIZER, DomainClassifier, fit_rates, mix, reached_shares
-from tidewatch.llm.names import link_names, match_cost, typing_errors, words_of_name
+from tidewatch.llm.names import cheapest_pairing, group_unknown, link_names, match_cost, typing_errors, words_of_name
 
 RECORD = "id long, batch int, url string, title string, text string, key string, first long"
 BODY = "Drivers in Kisan told our desk that tickets had been promised 325 times since spring. A letter from Hutas lists 200 complaints about diesel and the road stayed open all day long"
@@ -159,6 +160,41 @@ def test_link_names(spark):
     assert link_names(forms.limit(0), spellings).count() == 0 and link_names(forms, spellings.limit(0)).count() == 0
 
 
+def test_long_names_and_common_words(spark):
+    """Names of many words, and forms whose only unshortened word belongs to many entities."""
+    long = "Kizujam Mujiran Gulunam Bazinas Water Roads Schools Commission"
+    listed = [(1, True, long), (2, False, "Robert Common"), *[(10 + i, False, f"{'abcdefghij'[i]}ulimar Common") for i in range(10)]]
+    spellings = spark.createDataFrame(listed, "entity_id int, is_org boolean, form string")
+    want = {long: 1, long.replace("Mujiran", "Mujirna"): 1, "Bob Common": 2, "R. Common": 2, "Common, Bob": 2, "B. Comon": 11, "X. Common": None, "Common": None}
+    forms = spark.createDataFrame([(f,) for f in want], "form string")
+    assert dict(rows(link_names(forms, spellings, shared_by=3), "form", "entity_id")) == {k: v for k, v in want.items() if v}
+
+
+def test_chains_of_any_length(spark):
+    """Each spelling is one error from the one before it; all are merged, round by round."""
+    chain = ["Abcdefghij Klmnopqrst", "Abcdefghix Klmnopqrst", "Abcdefghix Klmnopqrsy", "Abcdefgzix Klmnopqrsy"]
+    forms = spark.createDataFrame([(f,) for f in chain], "form string")
+    got = link_names(forms, spark.createDataFrame([(1, False, chain[0])], "entity_id int, is_org boolean, form string"))
+    assert dict(rows(got, "form", "entity_id")) == dict.fromkeys(chain, 1)
+
+
+def test_group_unknown(spark):
+    forms = ["Tariq Musadim", "Tarik Musadim", "Musadim, Tariq", "Nadia Bubulun", "Nadia Bubulun", None, "", "Omar Musadim"]
+    got = dict(rows(group_unknown(spark.createDataFrame([(f,) for f in forms], "form string")), "form", "group"))
+    assert got == {"Tariq Musadim": "Musadim, Tariq", "Tarik Musadim": "Musadim, Tariq", "Musadim, Tariq": "Musadim, Tariq", "Nadia Bubulun": "Nadia Bubulun", "Omar Musadim": "Omar Musadim"}
+    assert group_unknown(spark.createDataFrame([], "form string")).count() == 0
+
+
+def test_cheapest_pairing_equals_all_permutations():
+    r = random.Random(1)
+    for _ in range(300):
+        n = r.randint(1, 5)
+        costs = [[r.choice([None, 0.0, 0.1, 0.3, 1.0]) for _ in range(n)] for _ in range(n)]
+        totals = [sum(costs[i][p[i]] for i in range(n)) for p in permutations(range(n)) if all(costs[i][p[i]] is not None for i in range(n))]
+        got = cheapest_pairing(costs)
+        assert (got is None) == (not totals) and (got is None or sum(costs[i][j] for i, j in enumerate(got)) == pytest.approx(min(totals)))
+
+
 def test_name_parts():
     assert typing_errors("mafabus", "mfaabus") == 1 and typing_errors("abc", "xyz", 2) == 3
     assert words_of_name("Minister Tariq el-Musadim") == ["tariq", "musadim"] and words_of_name(None) == []
@@ -186,19 +222,24 @@ def test_mix(spark):
 
 
 def test_soft_membership(spark):
-    docs = spark.createDataFrame(_corpus() + [(5000 + i, "a a a a a a words", None, "k") for i in range(40)], "doc_id long, text string, source string, tokens string")
+    """Documents without a source take part by their posteriors, those of other sources don't; expected shares meet the targets."""
+    unknown = [(5000 + i, "a a a a a a words" if i % 2 else "b b b b a words", [None, "", " "][i % 3], "k") for i in range(40)]
+    docs = spark.createDataFrame(_corpus() + unknown, "doc_id long, text string, source string, tokens string")
     targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3), ("gone", 0.0, 3)], "source string, target_share double, max_repeats int")
-    got = mix(docs.where("source is null or source in ('a', 'b')"), targets, soft=True)
-    assert got.where("source is null").count() > 0
+    got = mix(docs, targets).collect()
+    assert any(r["source"] is None for r in got) and {r["source"] for r in got} <= {"a", "b", None} and all(abs(sum(r["weights"]) - 1) < 1e-9 for r in got)
+    reached = {r["source"]: r for r in reached_shares(mix(docs, targets), targets).collect()}
+    assert abs(reached["a"]["expected_share"] - 0.6) < 0.01 and abs(reached["b"]["expected_share"] - 0.4) < 0.01
+    assert sum(r["actual_share"] for r in reached.values()) == pytest.approx(1) and reached[None]["actual_share"] > 0
     model = DomainClassifier(["a", "b"], [("a", "a a a words"), ("b", "b b b words")])
     assert model.posterior("a a").argmax() == 0 and abs(model.posterior("b").sum() - 1) < 1e-6
 
 
 def test_rates_meet_targets():
-    totals = np.array([1000.0, 50.0, 400.0])
-    rates = fit_rates(totals, np.eye(3), np.array([1.0, 8.0, 2.0]), np.array([0.5, 0.2, 0.3]))
-    used = totals * rates
-    assert np.allclose(used / used.sum(), [0.5, 0.2, 0.3], atol=1e-3) and (rates <= [1.0001, 8.0001, 2.0001]).all() and (rates >= 0).all()
+    mass = np.array([[1000.0, 0, 0], [0, 50, 0], [0, 0, 400], [30, 20, 10]])
+    rates = fit_rates(mass, np.array([1.0, 8.0, 2.0, 1.0]), np.array([0.5, 0.2, 0.3]))
+    used = rates @ mass
+    assert np.allclose(used / used.sum(), [0.5, 0.2, 0.3], atol=1e-3) and (rates <= [1.0001, 8.0001, 2.0001, 1.0001]).all() and (rates >= 0).all()
 
 
 def test_tokenizer_is_a_parameter():

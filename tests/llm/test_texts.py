@@ -8,7 +8,7 @@ import pytest
 from tests.conftest import rows
 from tidewatch.llm.boilerplate import TemplateTree, repeated_lines, shared_lines, without_repeated
 from tidewatch.llm.forms import comparable_form, look_alike_pairs, normal_form, normalise, visual_form
-from tidewatch.llm.languages import fit, label_code, languages_of, mislabelled, mixture
+from tidewatch.llm.languages import fit, label_code, languages_of, mislabelled, mixture, segments_of, sentence_places, sentences_of
 from tidewatch.llm.leaks import block_masks, find_leaks, item_places, weighted_similarity, window_prints, word_codes, words_of
 
 TEXT = "doc_id long, text string, normal string, source string"
@@ -122,6 +122,31 @@ def test_mixed_and_odd_texts(spark, model):
     assert languages_of(df.limit(0), model).count() == 0
 
 
+def test_segments(spark, model):
+    """Nine of ten planted stretches come out with their language, and together they cover the text's sentences."""
+    r = random.Random(7)
+    planted, data = [], []
+    for i in range(60):
+        at, text = 0, ""
+        for k in range(r.choice([1, 2, 3])):
+            code = r.choice([c for c in SAMPLE if not planted or planted[-1][0] != i or planted[-1][3] != c])
+            piece = " ".join(" ".join(r.sample(SAMPLE[code].split(), 9)) + "." for _ in range(2))
+            planted.append((i, at, at + len(piece), code))
+            text += piece + r.choice([" ", "\n"])
+            at = len(text)
+        data.append(("t", i, None, text))
+    df = spark.createDataFrame([*data, ("t", 99, None, None), ("t", 98, None, "")], "table_name string, row_id long, label string, text string")
+    got = segments_of(df, model).collect()
+    found = {(x["row_id"], x["start"], x["stop"], x["language"]) for x in got}
+    assert len(found & set(planted)) >= 0.9 * len(planted) and all(0 < x["confidence"] <= 1 for x in got)
+    assert segments_of(df.limit(0), model).count() == 0
+
+
+def test_sentence_places():
+    text = "One two. Three?\n\n12 34. Four"
+    assert [text[a:z] for a, z in sentence_places(text)] == ["One two.", "Three?", "Four"] and len(sentences_of(text)) == 3 and sentence_places("") == []
+
+
 def test_label_codes(spark):
     labels = ["EN", "en-GB", "en_GB", "English", "eng", "ara", "und", "", None, "ur", "xx"]
     df = spark.createDataFrame([(x,) for x in labels], "label string")

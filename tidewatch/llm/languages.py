@@ -8,8 +8,9 @@ log-likelihood gains more than ``penalty``.  Each sentence then has a language,
 Words are scored once and remembered, so a batch is a lookup and a sum per sentence.  Where all sentences have the
 same best language no other proportion has a higher likelihood, so no iterations are needed there.
 
-Defined results: texts without a sentence of at least ``least_words`` words have the language of all their words
-together, and none if they have no words; null and '' have none; a tie goes to the first language in the model's order.
+Sentences count whatever their length: a short one differs little in likelihood, which the penalty outweighs.
+
+Defined results: texts without words, null and '' have no language; a tie goes to the first language in the model's order.
 """
 
 from __future__ import annotations
@@ -44,9 +45,23 @@ def label_code(label: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), bare)
 
 
+#: Tags, handles and addresses are words of no language.
+_MARKS = re.compile(r"[#@][\w-]+|https?://\S+")
+
+
+def _words(sentence: str) -> list[str]:
+    return _WORD.findall(_MARKS.sub(" ", sentence.lower()))
+
+
 def sentences_of(text: str) -> list[list[str]]:
     """The words of each sentence, in lower case."""
-    return [w for s in _END.split(text) if (w := _WORD.findall(s.lower()))]
+    return [w for s in _END.split(text) if (w := _words(s))]
+
+
+def sentence_places(text: str) -> list[tuple[int, int]]:
+    """Where each sentence of ``sentences_of`` begins and ends."""
+    cuts = [0, *(x for m in _END.finditer(text) for x in m.span()), len(text)]
+    return [(a, z) for a, z in zip(cuts[::2], cuts[1::2]) if _words(text[a:z])]
 
 
 class NgramModel:
@@ -162,56 +177,66 @@ def _em(scores: np.ndarray, steps: int) -> tuple[float, np.ndarray]:
     return float(np.log(whole).sum() + top.sum()), post
 
 
-def _detect(shared, penalty: float, least_words: int, temper: float):
+class _Scorer:
+    """Sentences' log-likelihoods per language; words are scored once and remembered, up to a limit."""
+
+    def __init__(self, model: NgramModel, temper: float, most: int = 300_000):
+        self.model, self.temper, self.most = model, temper, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.vectors = np.zeros((1 << 12, len(LANGUAGES)), dtype=np.float32)
+
+    def score(self, texts: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, scores, lengths) of every text with sentences."""
+        if len(self.ids) > self.most:
+            self.forget()
+        flat: list[int] = []
+        starts: list[int] = []
+        owners: list[int] = []
+        ids = self.ids
+        for row, text in enumerate(texts):
+            for sentence in sentences_of(text):
+                starts.append(len(flat))
+                owners.append(row)
+                for w in sentence:
+                    at = ids.get(w)
+                    if at is None:
+                        ids[w] = at = len(ids)
+                        if at >= len(self.vectors):
+                            self.vectors = np.vstack([self.vectors, np.zeros_like(self.vectors)])
+                        self.vectors[at] = self.model.score(w)
+                    flat.append(at)
+        if not starts:
+            return
+        scores = np.add.reduceat(self.vectors[np.array(flat)], np.array(starts), axis=0).astype(np.float64) * self.temper
+        lengths, owner = np.diff([*starts, len(flat)]), np.array(owners)
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        for a, z in zip(first, np.r_[first[1:], len(owner)]):
+            yield int(owner[a]), scores[a:z], lengths[a:z]
+
+
+def _sure(scores: np.ndarray) -> tuple[list[int], np.ndarray] | None:
+    """The only language and its posterior for each sentence, where all sentences have the same best one."""
+    top = scores.argmax(axis=1)
+    return ([int(top[0])], np.full((len(scores), 1), _posterior(scores.sum(axis=0), int(top[0])))) if (top == top[0]).all() else None
+
+
+def _detect(shared, penalty: float, temper: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model: NgramModel = shared.value
-        ids: dict[str, int] = {}
-        vectors = np.zeros((1 << 12, len(LANGUAGES)), dtype=np.float32)
+        scorer = _Scorer(shared.value, temper)
         for b in batches:
-            if len(ids) > 300_000:
-                ids, vectors = {}, np.zeros((1 << 12, len(LANGUAGES)), dtype=np.float32)
-            flat: list[int] = []
-            starts: list[int] = []
-            owners: list[int] = []
-            for row, text in enumerate(b["text"]):
-                for sentence in sentences_of(text):
-                    starts.append(len(flat))
-                    owners.append(row)
-                    for w in sentence:
-                        at = ids.get(w)
-                        if at is None:
-                            ids[w] = at = len(ids)
-                            if at >= len(vectors):
-                                vectors = np.vstack([vectors, np.zeros_like(vectors)])
-                            vectors[at] = model.score(w)
-                        flat.append(at)
-            if not starts:
-                continue
-            scores = np.add.reduceat(vectors[np.array(flat)], np.array(starts), axis=0).astype(np.float64) * temper
-            lengths = np.diff([*starts, len(flat)])
-            owner = np.array(owners)
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            last = np.r_[first[1:], len(owner)]
-            top = scores.argmax(axis=1)
             out = []
-            for a, z in zip(first, last):
-                row, langs = int(owner[a]), top[a:z]
-                if (langs == langs[0]).all():
-                    share = _posterior(scores[a:z].sum(axis=0), int(langs[0]))
-                    out.append((row, LANGUAGES[langs[0]], share, True, z - a, False))
-                    continue
-                long = lengths[a:z] >= least_words
-                use = scores[a:z][long] if long.any() else scores[a:z].sum(axis=0, keepdims=True)
-                weight = lengths[a:z][long] if long.any() else np.array([1])
-                chosen, post = mixture(use, penalty)
+            for row, scores, lengths in scorer.score(b["text"]):
+                chosen, post = _sure(scores) or mixture(scores, penalty)
                 mine = post.argmax(axis=1)
-                sizes = [(float(weight[mine == k].sum()), -k) for k in range(len(chosen))]
-                main = -max(sizes)[1]
                 used = [k for k in range(len(chosen)) if (mine == k).any()]
+                main = max(used, key=lambda k: (float(lengths[mine == k].sum()), -k))
                 for k in used:
                     out.append((row, LANGUAGES[chosen[k]], float(post[mine == k, k].mean()), k == main, int((mine == k).sum()), len(used) > 1))
             frame = pd.DataFrame(out, columns=["row", "language", "confidence", "main", "sentences", "several"])
-            at = frame.pop("row").to_numpy()
+            at = frame.pop("row").to_numpy(dtype=int)
             for c in ("table_name", "row_id", "label"):
                 frame[c] = b[c].to_numpy()[at]
             yield frame[["table_name", "row_id", "label", "language", "confidence", "main", "sentences", "several"]]
@@ -219,6 +244,26 @@ def _detect(shared, penalty: float, least_words: int, temper: float):
     return run
 
 
+def _cut_up(shared, penalty: float, temper: float):
+    """Neighbouring sentences of one language as one segment."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = _Scorer(shared.value, temper)
+        for b in batches:
+            names, ids, texts = (b[c].tolist() for c in ("table_name", "row_id", "text"))
+            out = []
+            for row, scores, lengths in scorer.score(b["text"]):
+                chosen, post = _sure(scores) or mixture(scores, penalty)
+                mine, places = post.argmax(axis=1), sentence_places(texts[row])
+                borders = [0, *(np.flatnonzero(mine[1:] != mine[:-1]) + 1), len(mine)]
+                for n, (i, j) in enumerate(zip(borders, borders[1:]), 1):
+                    sure = float(np.average(post[i:j, mine[i]], weights=lengths[i:j]))
+                    out.append((names[row], ids[row], n, places[i][0], places[j - 1][1], LANGUAGES[chosen[mine[i]]], sure))
+            yield pd.DataFrame(out, columns=["table_name", "row_id", "segment", "start", "stop", "language", "confidence"])
+
+    return run
+
+
 def _posterior(total: np.ndarray, lang: int) -> float:
     return float(1.0 / np.exp(total - total[lang]).sum())
 
@@ -238,7 +283,7 @@ def fit_on(rows: DataFrame, sample_rows: int = 6000) -> NgramModel:
     return fit(bounded_sample(labelled, ["text", "code"], sample_rows))
 
 
-def languages_of(rows: DataFrame, model: NgramModel, penalty: float = 8.0, least_words: int = 4, temper: float = 0.5) -> DataFrame:
+def languages_of(rows: DataFrame, model: NgramModel, penalty: float = 8.0, temper: float = 0.5) -> DataFrame:
     """(table_name, row_id, label, language, confidence, main, sentences, several): one row per language of each text.
 
     ``rows``: table_name, row_id, label, text.  ``temper`` flattens the likelihoods, as neighbouring n-grams depend on
@@ -247,7 +292,17 @@ def languages_of(rows: DataFrame, model: NgramModel, penalty: float = 8.0, least
     shared = rows.sparkSession.sparkContext.broadcast(model)
     texts = rows.select("table_name", F.col("row_id").cast("long").alias("row_id"), "label", "text").where(F.length("text") > 0)
     schema = "table_name string, row_id long, label string, language string, confidence double, main boolean, sentences int, several boolean"
-    return texts.mapInPandas(_detect(shared, penalty, least_words, temper), schema)
+    return texts.mapInPandas(_detect(shared, penalty, temper), schema)
+
+
+def segments_of(rows: DataFrame, model: NgramModel, penalty: float = 8.0, temper: float = 0.5) -> DataFrame:
+    """(table_name, row_id, segment, start, stop, language, confidence): the stretches of each text in one language.
+
+    ``start`` and ``stop`` count characters from 0, ``stop`` exclusive; a stretch ends with a sentence.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    texts = rows.select("table_name", F.col("row_id").cast("long").alias("row_id"), "text").where(F.length("text") > 0)
+    return texts.mapInPandas(_cut_up(shared, penalty, temper), "table_name string, row_id long, segment int, start int, stop int, language string, confidence double")
 
 
 def mislabelled(found: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidewatch.llm.batches import duplicates
 from tidewatch.llm.boilerplate import repeated_lines, shared_lines, without_repeated
 from tidewatch.llm.forms import look_alike_pairs, normalise
-from tidewatch.llm.languages import fit_on, label_code, languages_of, mislabelled
+from tidewatch.llm.languages import fit_on, label_code, languages_of, mislabelled, segments_of
 from tidewatch.llm.leaks import find_leaks
 from tidewatch.llm.mixing import mix, reached_shares
-from tidewatch.llm.names import link_names
+from tidewatch.llm.names import group_unknown, link_names
 from tidewatch.session import cut
 from tidewatch.tables import table
 
@@ -68,6 +68,12 @@ def p4_languages(spark: SparkSession, folder: str) -> DataFrame:
     return languages_of(_labelled(spark, folder), model)
 
 
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The stretches of every text that are written in one language, with a confidence."""
+    model = fit_on(table(spark, folder, "documents").select("text", label_code(F.col("lang")).alias("code")))
+    return segments_of(_labelled(spark, folder), model)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The languages of the texts whose label is missing, meaningless or wrong, or that mix languages."""
     return mislabelled(p4_languages(spark, folder)).select("table_name", "row_id", "language").distinct()
@@ -83,6 +89,18 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return mentions.join(linked, "form").select("mention_id", "entity_id").distinct()
 
 
+def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """The unlinked mentions that name no listed entity, with the spelling that stands for each group of variants."""
+    linked = p7_found(spark, folder).select("mention_id")
+    rest = table(spark, folder, "entity_mentions").where(F.col("entity_id").isNull()).select("mention_id", F.col("surface_form").alias("form"), F.col("entity_type")).join(linked, "mention_id", "left_anti")
+    return rest.join(group_unknown(rest.select("form")), "form").select("mention_id", "form", "group")
+
+
+def p8_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage of an item in a document, near ones included, with its similarity."""
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold at least 12 consecutive words of an item."""
     found = find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -91,12 +109,21 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """How often each document is used so that the sources reach their target shares of all tokens."""
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).drop("weights")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The shares that this selection reaches."""
-    return reached_shares(p9_mix(spark, folder), table(spark, folder, "mix_targets"))
+    targets = table(spark, folder, "mix_targets")
+    return reached_shares(mix(table(spark, folder, "documents"), targets), targets)
+
+
+def p9_soft_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares where documents of other sources take part as well, by what the classifier makes of their texts."""
+    targets = table(spark, folder, "mix_targets")
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    named = docs.join(F.broadcast(targets.select("source").distinct().withColumn("known", F.lit(True))), "source", "left")
+    return reached_shares(mix(named.withColumn("source", F.when(F.col("known"), F.col("source"))).drop("known"), targets), targets)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,8 +137,8 @@ def p10_normalised(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p4_found": p4_found, "p4_languages": p4_languages,
-    "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments,
+    "p7_found": p7_found, "p7_groups": p7_groups, "p8_near": p8_near, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_soft_shares": p9_soft_shares,
     "p10_found": p10_found, "p10_normalised": p10_normalised,
 }
 

@@ -43,7 +43,7 @@ def word_codes(text: str | None, known: dict[str, int]) -> np.ndarray:
 
 def _bits(codes: np.ndarray) -> np.ndarray:
     """+1 or -1 for each of 64 bits."""
-    return np.unpackbits(codes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
+    return (np.unpackbits(codes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1) * 2 - 1).view(np.int8)
 
 
 def _pairs(codes: np.ndarray) -> np.ndarray:
@@ -57,12 +57,13 @@ def window_prints(codes: np.ndarray, *sizes: int) -> list[np.ndarray]:
     """Per size the SimHash of every window of so many words: its words and pairs, each with weight 1."""
     if not len(codes):
         return [np.zeros(0, dtype=np.uint64) for _ in sizes]
-    one = np.zeros((len(codes) + 1, 64), np.int32)
-    np.cumsum(_bits(codes), axis=0, out=one[1:])
-    last = _bits(_pairs(codes))
-    led = np.cumsum(last, axis=0, dtype=np.int32)  # a word with the pair that it begins
-    one[1:-1] += led
-    one[-1:] += led[-1:].sum(axis=0)
+    # Sums run over all of it and wrap around; those of a window, up to twice its words, come out right.
+    kind = np.int8 if max(sizes) <= 63 else np.int16
+    last = _bits(_pairs(codes)).astype(kind, copy=False)
+    each = _bits(codes).astype(kind)
+    each[:-1] += last  # a word with the pair that it begins
+    one = np.zeros((len(codes) + 1, 64), kind)
+    np.cumsum(each, axis=0, dtype=kind, out=one[1:])
     out = []
     for words in sizes:
         n = len(codes) - words + 1

@@ -60,6 +60,10 @@ def test_sinks(spark, tmp_path):
     t = spark.createDataFrame([(1, "a"), (2, "c"), (3, "n")], "k int, p string")
     scd = sinks.close_and_open(h, t, "k", ["p"], F.lit("2025-01-01").cast("date"))
     assert rows(scd.where("valid_to is null"), "k", "p") == [(1, "a"), (2, "c"), (3, "n")] and scd.count() == 5
+    h = spark.createDataFrame([(1, "a", "old", date(2024, 1, 1), None), (2, "b", "old", date(2024, 1, 1), None)], "k int, p string, e string, valid_from date, valid_to date")
+    t = spark.createDataFrame([(1, "a", "new"), (2, "c", " "), (3, "n", None)], "k int, p string, e string")
+    scd = sinks.close_and_open(h, t, "k", ["p"], F.lit("2025-01-01").cast("date"), ["e"])
+    assert rows(scd.where("valid_to is null"), "k", "p", "e") == [(1, "a", "new"), (2, "unknown", " "), (3, "unknown", None)] and rows(scd.where("valid_to is not null"), "k", "p") == [(2, "b")]
     guarded = spark.createDataFrame([("=1+1",), ("ok",), (None,)], "x string").select(sinks.guard_formula(F.col("x"))).collect()
     assert [r[0] for r in guarded] == ["'=1+1", "ok", None]
     day = F.lit("2025-01-02").cast("date")
@@ -80,6 +84,14 @@ def test_gate(spark):
     assert got == {1: ("kept", now, False, 1.0), 2: ("kept", now + timedelta(hours=5), False, 0.8), 3: ("old", now - timedelta(days=31), False, 1.0), 4: ("kept", now, True, 0.6), 5: ("irrelevant", now, False, 0.4), 6: ("kept", now - timedelta(days=30), False, 0.4)}
 
 
+def test_prototype_bonus(spark):
+    scores = spark.createDataFrame([(1, "a", True, 2.0)], "item_id int, category string, leaf boolean, score double")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.4358898943540674]), (3, [0.0, 1.0])], "item_id int, vector array<double>")
+    prototypes = spark.createDataFrame([("a", True, [2.0, 0.0])], "category string, leaf boolean, prototype array<double>")
+    got = {r["item_id"]: r["score"] for r in lexicon.with_prototypes(scores, vectors, prototypes).collect()}
+    assert got == {1: pytest.approx(6.0), 2: pytest.approx(2.0)}
+
+
 def test_category_subtree(spark):
     tree = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", None), ("a", "c")], "category string, parent string")
     items = spark.createDataFrame([(i, c) for i, c in enumerate(["a", "b", "c", "d", None])], "id int, primary_category string")

@@ -79,3 +79,19 @@ def relevance(title: Column, summary: Column, strong: list[str], weak: list[str]
 def record_problems(checks: dict[str, Column]) -> Column:
     """The names of the checks a record fails, in their order (C4)."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
+
+
+def with_default(value: Column, by: Column, defaults: dict[str, str], otherwise: str) -> Column:
+    """A blank value's default by another attribute, such as the content type of a kind of source."""
+    table = F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair])
+    return F.coalesce(F.when(F.trim(value) != "", value), F.try_element_at(table, by), F.lit(otherwise))
+
+
+def one_of(value: Column, allowed: list[str]) -> Column:
+    """A check of ``record_problems``: the value is there and one of those allowed."""
+    return F.coalesce(value.isin(*allowed), F.lit(False))
+
+
+def only_with(claim: Column, evidence: Column) -> Column:
+    """A check of ``record_problems``: a claim stands only with evidence."""
+    return claim.isNull() | (F.coalesce(F.trim(evidence), F.lit("")) != "")

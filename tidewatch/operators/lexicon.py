@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.terms import TermIndex, class_hits, index_of
 from tidewatch.functions.text import fold_text, sentences
+from tidewatch.functions.vectors import cosine
 
 
 def sentiment(text: Column, positive: list[str], negative: list[str]) -> Column:
@@ -113,6 +114,20 @@ def category_scores(items: DataFrame, terms: DataFrame) -> DataFrame:
     return both.groupBy("item_id", "category").agg(F.max("leaf").alias("leaf"), F.sum("score").alias("score"))
 
 
+#: Above this similarity a category's prototype adds to its score, up to ``PROTOTYPE_BONUS`` for an equal vector.
+PROTOTYPE_FROM, PROTOTYPE_BONUS = 0.80, 4.0
+
+
+def with_prototypes(scores: DataFrame, vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
+    """``category_scores`` with the bonus of categories whose prototype is close to the item's vector.
+
+    ``vectors``: item_id, vector.  ``prototypes``: category, leaf, prototype; as many as there are categories.
+    """
+    near = vectors.crossJoin(prototypes.hint("broadcast")).withColumn("similarity", cosine(F.col("vector"), F.col("prototype"))).where(F.col("similarity") > PROTOTYPE_FROM)
+    bonus = near.select("item_id", "category", "leaf", (PROTOTYPE_BONUS * (F.col("similarity") - PROTOTYPE_FROM) / (1 - PROTOTYPE_FROM)).alias("score"))
+    return scores.select("item_id", "category", "leaf", "score").unionByName(bonus).groupBy("item_id", "category").agg(F.max("leaf").alias("leaf"), F.sum("score").alias("score"))
+
+
 def classify(scores: DataFrame) -> DataFrame:
     """(item_id, category, rank, confidence, route): the primary category and up to three secondary ones."""
     pool = scores.withColumn("any_leaf", F.max("leaf").over(Window.partitionBy("item_id"))).where("leaf or not any_leaf")

@@ -94,3 +94,15 @@ def fit_metrics(assigned: DataFrame, terms: DataFrame, npmi: DataFrame, outlier:
 def needs_refit(age_days: int | None, now: int, then: int) -> bool:
     """Whether a topic model is fitted again: none, a week old, or 1.3 times the items."""
     return age_days is None or age_days >= 7 or now > 1.3 * then
+
+
+def corpus(items: DataFrame, at: str = "fetched_at", days: int = 90, most: int = 20_000, categories: list[str] | None = None) -> DataFrame:
+    """The items that a topic model is fitted on (A-T10): of the last ``days``, no copies, the newest ``most`` of them.
+
+    ``most`` is the bound of a model's training sample; every item is assigned afterwards.
+    """
+    last = items.agg(F.max(at).alias("last"))
+    rows = items.where(~F.coalesce("is_syndicated", F.lit(False))).crossJoin(F.broadcast(last)).where(F.col(at) >= F.col("last") - F.make_interval(days=F.lit(days))).drop("last")
+    if categories is not None:
+        rows = rows.where(F.col("primary_category").isin(*categories))
+    return rows.orderBy(F.desc(at), "article_id").limit(most)

@@ -22,24 +22,25 @@ grid as (select day, key from days cross join (select distinct key from n))
 select day, key, coalesce(n, 0) as n from grid left join n using (day, key)"""
 
 
-def _timeline(rows, key):
+def timeline(rows, key):
+    """Items per day and key, zero-filled."""
     n = rows.groupBy("day", F.coalesce(key, F.lit("unknown")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     return dense_days(n, "key")
 
 
 @query("timeline_by_group", _TIMELINE.replace("{key}", "source_group").replace("{join}", "left join sources s using (source_id)"))
 def timeline_by_group(spark, folder):
-    return _timeline(items(spark, folder).join(sources(spark, folder).select("source_id", "source_group"), "source_id", "left"), F.col("source_group"))
+    return timeline(items(spark, folder).join(sources(spark, folder).select("source_id", "source_group"), "source_id", "left"), F.col("source_group"))
 
 
 @query("timeline_by_language", _TIMELINE.replace("{key}", "language").replace("{join}", ""))
 def timeline_by_language(spark, folder):
-    return _timeline(items(spark, folder), F.col("language"))
+    return timeline(items(spark, folder), F.col("language"))
 
 
 @query("timeline_by_sentiment", _TIMELINE.replace("{key}", "sentiment").replace("{join}", ""))
 def timeline_by_sentiment(spark, folder):
-    return _timeline(items(spark, folder), F.col("sentiment"))
+    return timeline(items(spark, folder), F.col("sentiment"))
 
 
 @query(

@@ -10,6 +10,9 @@ from tidewatch.operators.instants import resolve_instants
 from tidewatch.tables import table
 
 
+_PLAIN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$"
+
+
 def _dated(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
     zones = table(spark, folder, "sources").groupBy("source_id").agg(F.min("time_zone").alias("time_zone"))
     rows = table(spark, folder, name).select(F.concat(F.lit(f"{name}:"), F.col(key)).alias("row_key"), "source_id", "fetched_at", "published_at")
@@ -28,11 +31,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return _instants(spark, folder).distinct()
 
 
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The orientation row of each article's source that held when it was published, as recorded by then."""
-    instants = _instants(spark, folder).where("table_name = 'articles'").select(F.col("row_id").alias("event_id"), "instant_us")
-    owners = table(spark, folder, "articles").select(F.col("article_id").cast("long").alias("event_id"), F.col("source_id").alias("entity_id"))
-    events = instants.join(owners, "event_id").select("event_id", "entity_id", "instant_us")
+def p6_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """The instants of the values that are written with zone Z, which SQL reads as well; the operator gets all values."""
+    plain = table(spark, folder, "raw_items").where(F.col("published_at").rlike(_PLAIN)).select(F.col("item_id").alias("row_id"))
+    return _instants(spark, folder).where("table_name = 'raw_items'").join(plain, "row_id", "left_semi").select("row_id", "instant_us")
+
+
+def _recorded(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
+    """The orientation row that held at each event (event_id, entity_id, instant_us), as recorded by then."""
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     history = table(spark, folder, "source_orientation").select(
         F.col("orientation_id").alias("version_id"),
@@ -45,6 +51,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return as_known(events, history).select(F.col("event_id").alias("article_id"), F.col("version_id").alias("orientation_id"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The orientation row of each article's source that held when it was published, as recorded by then."""
+    instants = _instants(spark, folder).where("table_name = 'articles'").select(F.col("row_id").alias("event_id"), "instant_us")
+    owners = table(spark, folder, "articles").select(F.col("article_id").cast("long").alias("event_id"), F.col("source_id").alias("entity_id"))
+    return _recorded(spark, folder, instants.join(owners, "event_id").select("event_id", "entity_id", "instant_us"))
+
+
+def p1_at_fetch(spark: SparkSession, folder: str) -> DataFrame:
+    """The same when it was fetched, an instant that SQL knows."""
+    return _recorded(spark, folder, table(spark, folder, "articles").select(F.col("article_id").cast("long").alias("event_id"), F.col("source_id").alias("entity_id"), F.unix_micros("fetched_at").alias("instant_us")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The versions of each source's orientation over the deliveries."""
     rows = table(spark, folder, "orientation_snapshots")
@@ -55,9 +73,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return build_history(deliveries).select(F.col("entity_id").cast("int").alias("source_id"), "valid_from", "valid_to", F.col("label").alias("simplified"))
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_at_fetch": p1_at_fetch, "p5_found": p5_found, "p6_found": p6_found, "p6_plain": p6_plain}
 
 ORACLES = {
+    "p1_at_fetch": """select article_id, orientation_id from articles a join source_orientation o using (source_id)
+where o.created_at <= a.fetched_at and (valid_from is null or valid_from <= cast(a.fetched_at as date)) and (valid_to is null or valid_to > cast(a.fetched_at as date) or closed_at is null or closed_at > a.fetched_at)
+qualify row_number() over (partition by article_id order by o.created_at desc, orientation_id desc) = 1""",
+    "p6_plain": f"select item_id as row_id, epoch_us(cast(replace(replace(published_at, 'T', ' '), 'Z', '') as timestamp)) as instant_us from raw_items where regexp_matches(published_at, '{_PLAIN}')",
     "p5_found": r"""
 with latest as (
   select source_id, snapshot_date,

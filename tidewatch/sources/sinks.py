@@ -35,19 +35,26 @@ def mark_current(rows: DataFrame, key: list[str], version: str) -> DataFrame:
     return rows.withColumn("is_current", F.row_number().over(w) == 1)
 
 
-def close_and_open(history: DataFrame, today: DataFrame, key: str, payload: list[str], day: Column) -> DataFrame:
+def close_and_open(history: DataFrame, today: DataFrame, key: str, payload: list[str], day: Column, evidence: list[str] = ()) -> DataFrame:
     """History with today's values (K4): equal payload keeps the open row, another one closes it and opens a new row.
 
-    ``history``: key, payload, valid_from, valid_to (null: open).  Keys missing today stay as they are.
+    ``history``: key, payload, evidence, valid_from, valid_to (null: open).  Where the payload is equal, today's evidence
+    replaces the open row's in place.  Where evidence is named and today's has none, the payload is ``unknown``.  Keys missing
+    today stay as they are.
     """
+    if evidence:
+        bare = F.coalesce(*[F.when(F.trim(F.col(c).cast("string")) != "", F.lit(True)) for c in evidence], F.lit(False))
+        today = today.withColumns({c: F.when(bare, F.col(c)).otherwise("unknown") for c in payload})
+    columns = [*payload, *evidence]
     closed = history.where("valid_to is not null")
-    o = history.where("valid_to is null").select(key, F.struct(*payload).alias("old"), "valid_from")
-    n = today.select(key, F.struct(*payload).alias("new"))
-    joined = o.join(n, key, "full")
-    same = F.col("new").isNull() | F.col("new").eqNullSafe(F.col("old"))
-    kept = joined.where(F.col("old").isNotNull()).select(key, "old.*", "valid_from", F.when(same, F.lit(None)).otherwise(day).cast("date").alias("valid_to"))
-    opened = joined.where(F.col("new").isNotNull() & (F.col("old").isNull() | ~F.coalesce(F.col("new").eqNullSafe(F.col("old")), F.lit(False)))).select(key, "new.*", day.cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
-    return closed.select(*kept.columns).unionByName(kept).unionByName(opened)
+    pair = lambda df, name: df.select(key, F.struct(*payload).alias(name), F.struct(*columns).alias(f"{name}_row"), *([c for c in ("valid_from",) if c in df.columns]))
+    joined = pair(history.where("valid_to is null"), "old").join(pair(today.select(key, *columns), "new"), key, "full")
+    same = F.coalesce(F.col("new").eqNullSafe(F.col("old")), F.lit(False))
+    row = F.when(same, F.col("new_row")).otherwise(F.col("old_row")).alias("row")
+    kept = joined.where(F.col("old").isNotNull()).select(key, row, "valid_from", F.when(same | F.col("new").isNull(), F.lit(None)).otherwise(day).cast("date").alias("valid_to"))
+    opened = joined.where(F.col("new").isNotNull() & ~same).select(key, F.col("new_row").alias("row"), day.cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    both = kept.unionByName(opened).select(key, "row.*", "valid_from", "valid_to")
+    return closed.select(*both.columns).unionByName(both)
 
 
 def archive_missing(stored: DataFrame, registry: DataFrame, key: str) -> DataFrame:

@@ -440,6 +440,7 @@ class AcceptedHistory:
         sure = of("sure")
         known = sure if not self.runs else sure.repartition(self.state["ranges"], "range").unionByName(self._read("keys", self.runs, facts["sure"]).where("key < 'l'"))
         first = cut(self._first_of_key(known, batch))
+        self._tidy()
         others = fresh.join(first.where("key >= 'k'").select("id").hint("merge"), "id", "left_anti")
         run = {"keys": self._write(sure.unionByName(of(F.concat("marks", "ordered"), others)), "range", ["key", "batch", "id"]), "rows": facts["rows"], "key_rows": facts["keys"] or 0}
         all_runs = [*self.runs, run]
@@ -448,14 +449,18 @@ class AcceptedHistory:
         near = self._near(self._read("keys", all_runs, beside).where("key >= 'o'"), batch)
         met = marked.unionByName(near).select("id", "other", F.lit(False).alias("sure")).unionByName(first.select("id", "other", F.lit(True).alias("sure")))
         met = cut(met.groupBy("id", "other").agg(F.max("sure").alias("sure")))
+        self._tidy()
         found = link_to_first(self._same(met, fresh))
         texts = fresh.select("id", "batch", *_FORMS).join(found.hint("merge"), "id", "left").withColumn("slot", self._slot("id"))
         run["records"] = self._write(texts, "slot", ["id"])
         self._remember(self._compact(all_runs), batch)
-        # What the batch shuffled and broadcast is cleaned up when the driver's references to it are collected.
-        self.spark.sparkContext._jvm.System.gc()
+        self._tidy()
         return found.select("id", "first")
 
+    def _tidy(self) -> None:
+        """What has been shuffled and broadcast is cleaned up when the driver's references to it are collected."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def _compact(self, runs: list[dict]) -> list[dict]:
         """Runs of one order of size merged into one, from the smallest; all of them, cut anew, when ranges have grown."""
         level = lambda r: int(np.log(max(r["rows"], 1)) / np.log(self.fan))

@@ -118,13 +118,13 @@ def category_scores(items: DataFrame, terms: DataFrame) -> DataFrame:
 PROTOTYPE_FROM, PROTOTYPE_BONUS = 0.80, 4.0
 
 
-def with_prototypes(scores: DataFrame, vectors: DataFrame, prototypes: DataFrame) -> DataFrame:
+def with_prototypes(scores: DataFrame, vectors: DataFrame, prototypes: DataFrame, least: float = PROTOTYPE_FROM) -> DataFrame:
     """``category_scores`` with the bonus of categories whose prototype is close to the item's vector.
 
     ``vectors``: item_id, vector.  ``prototypes``: category, leaf, prototype; as many as there are categories.
     """
-    near = vectors.crossJoin(prototypes.hint("broadcast")).withColumn("similarity", cosine(F.col("vector"), F.col("prototype"))).where(F.col("similarity") > PROTOTYPE_FROM)
-    bonus = near.select("item_id", "category", "leaf", (PROTOTYPE_BONUS * (F.col("similarity") - PROTOTYPE_FROM) / (1 - PROTOTYPE_FROM)).alias("score"))
+    near = vectors.crossJoin(prototypes.hint("broadcast")).withColumn("similarity", cosine(F.col("vector"), F.col("prototype"))).where(F.col("similarity") > least)
+    bonus = near.select("item_id", "category", "leaf", (PROTOTYPE_BONUS * (F.col("similarity") - least) / (1 - least)).alias("score"))
     return scores.select("item_id", "category", "leaf", "score").unionByName(bonus).groupBy("item_id", "category").agg(F.max("leaf").alias("leaf"), F.sum("score").alias("score"))
 
 

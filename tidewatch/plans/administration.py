@@ -145,17 +145,17 @@ def topic_corpus(spark, folder):
 
 @query(
     "prototype_scores",
-    """with p as (select label, list_transform(range(1, len(any_value(embedding)) + 1), lambda i: 0.0) as z from embeddings group by 1), d as (select vec_id, label, unnest(embedding)::double as x, unnest(range(1, len(embedding) + 1)) as i from embeddings),
+    """with d as (select vec_id, label, unnest(embedding)::double as x, unnest(range(1, len(embedding) + 1)) as i from embeddings),
     c as (select label, i, avg(x) as m from d group by 1, 2), dots as (select d.vec_id, c.label, sum(d.x * c.m) / (sqrt(sum(d.x * d.x)) * sqrt(sum(c.m * c.m))) as s from d join c using (i) group by 1, 2)
-    select vec_id as item_id, 'c' || label as category, round(4.0 * (s - 0.8) / 0.2, 4) as score from dots where s > 0.8""",
+    select vec_id as item_id, 'c' || label as category, round(4.0 * (s - 0.15) / 0.85, 4) as score from dots where s > 0.15""",
 )
 def prototype_scores(spark, folder):
-    """Bonuses of items for the categories whose prototype, the mean of its members, is close."""
+    """Bonuses of items for the categories whose prototype, the mean of its members, is close (N4); from a bound that fits these vectors."""
     v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), "label")
     means = v.select("label", F.posexplode("vector").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     p = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("prototype"))
     none = spark.createDataFrame([], f"item_id {v.schema['item_id'].dataType.simpleString()}, category string, leaf boolean, score double")
-    scored = with_prototypes(none, v.select("item_id", "vector"), p.select(F.concat(F.lit("c"), "label").alias("category"), F.lit(True).alias("leaf"), "prototype"))
+    scored = with_prototypes(none, v.select("item_id", "vector"), p.select(F.concat(F.lit("c"), "label").alias("category"), F.lit(True).alias("leaf"), "prototype"), 0.15)
     return scored.select("item_id", "category", F.round("score", 4).alias("score"))
 
 

@@ -14,8 +14,8 @@ from tidewatch.plans.catalog import items, query
 from tidewatch.tables import table
 
 # A small vocabulary of our own; vocabularies are inputs of the operators.
-POSITIVE = ["useful", "promise", "open", "reopen", "sign", "agree", "answered", "helpful", "stayed open", "delivery"]
-NEGATIVE = ["complaint", "dispute", "slow", "closed", "prohibited", "withdrawn", "late", "no date", "not yet", "left without", "rose by"]
+POSITIVE = ["useful", "promise", "open", "reopen", "sign", "agree", "answered", "helpful", "stayed open", "delivery", "note", "signed", "witness"]
+NEGATIVE = ["complaint", "dispute", "slow", "closed", "prohibited", "withdrawn", "late", "no date", "not yet", "left without", "rose by", "declined", "comment", "figure"]
 EMOTIONS = {"hope": ["promise", "wait"], "anger": ["complaint", "dispute"], "calm": ["quietly", "useful"]}
 TONES = {"factual": ["according to", "percent", "reported"], "critical": ["not yet", "complaint", "declined"], "formal": ["memo", "directorate", "council"]}
 CUES = {"economy": ["price", "market permit", "percent"], "conflict": ["dispute", "closed", "declined"], "services": ["drinking water", "grid repair", "school book"]}

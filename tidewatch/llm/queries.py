@@ -32,6 +32,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("first").alias("kept_id"), F.col("id").alias("article_id"))
 
 
+_ASCII = r"^[\x00-\x7F]*$"
 LINED = (("raw_items", "item_id", "summary"), ("articles", "article_id", "excerpt"))
 
 
@@ -107,6 +108,14 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("exact").select("doc_id", "item_id").distinct()
 
 
+def p8_plain(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for documents and items of plain ASCII, which SQL can cut into words as well; the operator gets all of them."""
+    plain = F.col("text").rlike(_ASCII)
+    docs = table(spark, folder, "documents").where(plain).select(F.col("doc_id").cast("long").alias("doc_id"))
+    items = table(spark, folder, "eval_items").where(plain).select("item_id")
+    return p8_found(spark, folder).join(docs, "doc_id", "left_semi").join(items, "item_id", "left_semi").select("doc_id", "item_id")
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     """How often each document is used so that the sources reach their target shares of all tokens."""
     return mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets")).drop("weights")
@@ -138,12 +147,14 @@ def p10_normalised(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments,
-    "p7_found": p7_found, "p7_groups": p7_groups, "p8_near": p8_near, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_soft_shares": p9_soft_shares,
+    "p7_found": p7_found, "p7_groups": p7_groups, "p8_near": p8_near, "p8_plain": p8_plain, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_soft_shares": p9_soft_shares,
     "p10_found": p10_found, "p10_normalised": p10_normalised,
 }
 
 _LINES = "select '{0}' as table_name, cast({1} as bigint) as row_id, coalesce(source_id, -1) as source_id, {2} as body from {0}"
+_GRAMS = r"(select {1}, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i+11], ' '))) as g from (select {1}, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from {0} where regexp_matches(text, '^[\x00-\x7F]*$')))"
 ORACLES: dict[str, str] = {
+    "p8_plain": f"select distinct cast(d.doc_id as bigint) as doc_id, i.item_id from {_GRAMS.format('documents', 'doc_id')} d join {_GRAMS.format('eval_items', 'item_id')} i using (g)",
     "p3_found": r"""
 with r as (RAW union all ARTICLES),
 size as (select table_name, source_id, count(*) as n from r group by 1, 2),

@@ -115,6 +115,9 @@ def _word_cost(mine: str, theirs: str, is_org: bool, anchor: bool) -> float | No
 def cheapest_pairing(costs: list[list[float | None]]) -> list[int] | None:
     """For each row the column of the cheapest one-to-one pairing; None if there is none.  Shortest augmenting paths."""
     n, far = len(costs), 1e9
+    if n <= 2:  # most names
+        ways = [way for way in ([*range(n)], [*range(n)][::-1]) if all(costs[i][j] is not None for i, j in enumerate(way))]
+        return min(ways, key=lambda way: sum(costs[i][j] for i, j in enumerate(way)), default=None)
     value = lambda i, j: far if costs[i][j] is None else costs[i][j]
     row_price, column_price, owner = [0.0] * n, [0.0] * n, [-1] * n
     for start in range(n):
@@ -247,7 +250,11 @@ def _even(df: DataFrame) -> DataFrame:
 def _costs(left: DataFrame, profiles: DataFrame) -> DataFrame:
     """(form, entity_id, best) of the forms and the spellings they can be read as, cheapest spelling per entity."""
     keyed = profiles.mapInPandas(_spelling_keys, _SPELLING + ", key string")
-    met = _even(left.join(keyed, "key").drop("key").distinct())
+    # As match_cost demands: as many words, or one more or less and then nearly as many letters.
+    letters = lambda c: F.length(F.array_join(c, ""))
+    apart = F.abs(F.size("words") - F.size("names"))
+    able = (apart == 0) | (apart == 1) & (F.abs(letters("words") - letters("names")) <= 1)
+    met = _even(left.join(keyed, "key").where(able).drop("key").distinct())
     costed = met.mapInPandas(_compare, "form string, words array<string>, entity_id long, is_org boolean, cost double, anchor string")
     return costed.groupBy("form", "entity_id").agg(F.min(F.struct("cost", "words", "is_org", "anchor")).alias("best"))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import rows
-from tidewatch.llm.batches import RUN, AcceptedHistory, blocks_of, duplicates, gram_codes, headline_words, mark_keys, order_keys, page_of, same_but_for_slips, winnow
+from tidewatch.llm.batches import RUN, TEXTLESS, AcceptedHistory, blocks_of, duplicates, gram_codes, headline_words, mark_keys, order_keys, page_of, same_but_for_slips, same_report, text_words, winnow
 from tidewatch.llm.mixing import TOKENIZER, DomainClassifier, fit_rates, mix, reached_shares
 from tidewatch.llm.names import cheapest_pairing, group_unknown, link_names, match_cost, typing_errors, words_of_name
 
@@ -112,6 +112,56 @@ def test_shortened_reports(spark):
     assert got == {1000 + i: i for i in range(200)}
 
 
+def _chains():
+    """Reports whose versions each differ from the one before by a slip in the headline, so that far ones are not the same."""
+    r, data = random.Random(4), []
+    for i in range(8):
+        head = [f"{w}{'abcdefgh'[i] * 3}" for w in "drivers roads letters tickets water school market".split()]
+        text = " ".join(f"{'abcdefgh'[i]}{'klmnopqr'[k % 8]}{'stuvwxyz'[k // 8]}word" for k in range(40))
+        for v in range(7):
+            data.append((100 * r.randint(1, 9) + 10 * v + i, r.randint(0, 3), None, " ".join(head), text))
+            head[v] = head[v][1] + head[v][0] + head[v][2:]
+    return list({x[0]: x for x in data}.values())
+
+
+def _plain_firsts(data):
+    """The rule for every pair, one record after the other."""
+    first, seen = {}, []
+    for i, batch, url, title, text in sorted(data, key=lambda x: (x[1], x[0])):
+        head, whole = headline_words(title)
+        body = " ".join(text_words(text))
+        now = {"page": page_of(url), "headline": " ".join(head), "whole": " ".join(whole), "body": body, "flag": TEXTLESS * (not body)}
+        met = [(b, o) for b, o, old in seen if same_report(old, now)]
+        if past := [first.get(o, (b, o)) for b, o in met if b < batch]:
+            first[i] = min(past)
+        elif met:
+            first[i] = first.get(min(met)[1], min(met))
+        seen.append((batch, i, now))
+    return {i: o for i, (_, o) in first.items()}
+
+
+def test_batches_that_wait_are_accepted_as_one_after_the_other(spark, tmp_path):
+    """Chains over several batches and within one, all pairs by the plain rule, and each batch for itself."""
+    data, single = _chains(), {}
+    store = AcceptedHistory(spark, str(tmp_path / "single"))
+    for batch in range(4):
+        single |= dict(rows(store.accept(_frame(spark, [x for x in data if x[1] == batch]).drop("batch"), batch), "id", "first"))
+    assert dict(rows(duplicates(_frame(spark, data)), "id", "first")) == single == _plain_firsts(data)
+    assert len(single) > 20 and len(set(single.values())) > 8
+
+
+def test_jobs_do_not_grow_with_the_batches(spark):
+    """Each job costs the driver memory and time, whatever its size."""
+    jobs = []
+    for batches in (3, 9):
+        data = [(i, i % batches, f"https://a.example/{i}", f"Headline number {i} of the day", " ".join(f"w{i}x{k}" for k in range(20))) for i in range(36)]
+        spark.sparkContext.setJobGroup(f"{batches} batches", "")
+        assert duplicates(_frame(spark, data)).count() == 0
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{batches} batches")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= 1.2 * jobs[0]
+
+
 def test_rows_read_for_a_batch_do_not_grow_with_the_history(spark, tmp_path):
     """A history four times as large has four times the ranges; the batch touches as many of them as before."""
     text = lambda i: " ".join(f"w{i}x{k}" for k in range(40))

@@ -1,18 +1,18 @@
 """Problem 2: duplicates of new batches against all accepted history.
 
-Multi-key sorted neighbourhood over persisted runs.  A record has keys of two sorts:
-
-* order keys, its headline read from either end: a new record meets the ``window`` records next to it on both sides;
-* equal keys, for which the neighbourhood is every record of that key: its page, the whole record, and marks.  A mark is
-  a hash of the headline's words with digits and of five words of the text, chosen by winnowing, so that two texts with
-  ``RUN`` words in a row in common share one.  What ``same_report`` accepts shares a page, a mark or the whole record, so
-  the windows cut nothing off.
-
-Accepted keys lie in runs, cut into key ranges and sorted within them, each range in one bucket of its run.  A batch is
-cut at the same bounds and merged only with the ranges that its keys fall into: the other buckets aren't read and none
-is shuffled.  Texts lie in buckets by id; only the buckets of records that were met are read.  When ``fan`` runs of one
-order of size are there, they become one (each record is rewritten once per order of size); when the ranges have grown to
-twice ``range_rows`` that merge takes all runs and cuts new ones.
+Sorted neighbourhoods of several keys over persisted runs.  A record has a key for its page, one for the whole record,
+and marks; the neighbourhood is every record of an equal key.  A mark is a hash of the headline's words with digits and
+of five words of the text, chosen by winnowing, so that two texts with ``RUN`` words in a row in common share one.  What
+``same_report`` accepts shares a page, a mark or the whole record, so no bound on the neighbours is needed, and windows
+over the order of headlines could meet nothing else.
+
+Keys are hashes of one length with their kind in the last bits.  Accepted keys lie in runs, cut into ranges of equal width
+and sorted within them, each range in one bucket of its run.  A batch is cut at the same bounds and merged only with the
+ranges that its keys fall into: the other buckets aren't read and none is shuffled.  Texts lie in buckets by id; only the
+buckets of records that were met are read, and of those only the headlines until two of them agree.  Batches that wait
+together are merged in one go: a record meets what was accepted before it, by batch and id, so the result is that of one
+batch after the other.  When ``fan`` runs of one order of size are there, they become one (each record is rewritten once
+per order of size); when the ranges have grown to twice ``range_rows`` that merge takes all runs and cuts new ones.
 
 Copies to the letter and records of one page need their first record only, so those groups never become pairs, and
 copies leave no marks: a group of copies that holds a third of all rows costs a row each.
@@ -27,16 +27,18 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import chain
 from urllib.parse import parse_qsl, urlsplit
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch.llm.forms import comparable_form
 from tidewatch.llm.names import SPELLINGS, typing_errors
@@ -49,6 +51,9 @@ TRACKING = re.compile(r"^(?:utm_.*|fbclid|gclid|ref|igshid|mc_cid|mc_eid|yclid|s
 RUN, RUN_BARE, RUN_LINE = 12, 32, 4
 _GRAM, _GRAM_BARE, _GRAM_LINE = 5, 16, 3
 TEXTLESS, BARE = 1, 2  # flags of a key's record
+PAGE, COPY, TEXT, ALONE, LINE = range(5)  # kinds of keys, in their last three bits
+
+
 def page_of(url: str | None) -> str:
     """The page an address leads to, without scheme, port, mirror hosts, AMP, tracking, order of parameters, fragment."""
     if not url or not url.strip():
@@ -75,18 +80,56 @@ def headline_words(title: str | None) -> tuple[list[str], list[str]]:
     return _WORD.findall(seen), whole
 
 
+class Words:
+    """Words of texts with a code each; remembers white-space-separated tokens between texts, as a form is that of its tokens."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.codes: list[int] = []
+        self.tokens: dict[str, tuple[bool | None, str, tuple[int, ...]]] = {}
+
+    def number(self, word: str) -> int:
+        if (i := self.ids.get(word)) is None:
+            i = self.ids[word] = len(self.codes)
+            self.codes.append(xxhash.xxh3_64_intdigest(word))
+        return i
+
+    def token(self, token: str) -> tuple[bool | None, str, tuple[int, ...]]:
+        """Whether it begins with a bracket (None: nothing is left of it), its words, and their numbers."""
+        if (known := self.tokens.get(token)) is None:
+            form = comparable_form(token)
+            seen = form.translate(SPELLINGS)
+            words = _WORD.findall(seen)
+            known = self.tokens[token] = (seen.startswith("(") if form else None, " ".join(words), tuple(map(self.number, words)))
+        return known
+
+    def of_text(self, text: str | None) -> tuple[str, list[int]]:
+        """The words of a text without a leading ``(publisher) -``, and their numbers."""
+        parts = list(map(self.token, (text or "").split()))
+        if next((lead for lead, *_ in parts if lead is not None), False):
+            seen = comparable_form(text).translate(SPELLINGS)
+            words = _WORD.findall(re.sub(r"^\([^)]{1,60}\) *[-–—:] *", "", seen))
+            return " ".join(words), list(map(self.number, words))
+        return " ".join(words for _, words, _ in parts if words), list(chain.from_iterable(numbers for *_, numbers in parts))
+
+    def forget(self) -> None:
+        """Empties what has grown large; numbers given before are void."""
+        if len(self.tokens) + len(self.ids) > 400_000:
+            self.__init__()
+
+
 def text_words(text: str | None) -> list[str]:
     """The words of a text without a leading ``(publisher) -``."""
-    seen = (comparable_form(text) or "").translate(SPELLINGS)
-    seen = re.sub(r"^\([^)]{1,60}\) *[-–—:] *", "", seen)
-    return _WORD.findall(seen)
+    return Words().of_text(text)[0].split()
 
 
-def gram_codes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
-    """64-bit codes of the runs of ``n`` words; ``known`` remembers words between calls."""
-    if len(known) > 400_000:
-        known.clear()
-    codes = np.array([known.get(w) or known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words], dtype=np.uint64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _grams(codes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(max(len(codes) - n + 1, 0), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n if len(out) else 0):
@@ -94,12 +137,32 @@ def gram_codes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
         return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def gram_codes(words: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+    """64-bit codes of the runs of ``n`` words; ``known`` remembers words between calls."""
+    return _grams(np.array([known.get(w) or known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words], dtype=np.uint64), n)
+
+
 def winnow(codes: np.ndarray, gram: int, run: int) -> list[int]:
     """Of runs of ``gram`` words the least of every ``run - gram + 1`` in a row: texts with ``run`` words in common share one."""
     w = min(run - gram + 1, len(codes))
     return np.unique(np.lib.stride_tricks.sliding_window_view(codes, w).min(axis=1)).tolist() if w > 0 else []
 
 
+def winnow_all(codes: np.ndarray, lengths: np.ndarray, gram: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """``winnow`` of many texts, whose words' codes follow one another: the texts' numbers and values; none of texts below ``run`` words."""
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+    grams, starts = _grams(codes, gram), np.flatnonzero(left >= run)
+    least = grams[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
+    for i in range(1, run - gram + 1 if len(starts) else 0):
+        least = np.minimum(least, grams[starts + i])
+    owner = np.repeat(np.arange(len(lengths)), lengths)[starts]
+    order = np.lexsort((least, owner))
+    owner, least = owner[order], least[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
+    return owner[new], least[new]
+
+
 def blocks_of(headline: list[str], whole: list[str]) -> list[str]:
     """The words with digits of a headline and of all its words, in their order: equal for one of each in one report."""
     return list(dict.fromkeys(" ".join(w for w in x if any(c.isdigit() for c in w)) for x in (headline, whole))) if headline else []
@@ -127,19 +190,52 @@ def tells(headline: list[str]) -> bool:
     return len(headline) >= 5 and any(c.isdigit() for w in headline for c in w)
 
 
-def mark_keys(headline: list[str], whole: list[str], body: list[str], known: dict[str, int]) -> list[str]:
-    """Marks, each with its kind in front: m headline's numbers and text, n text alone, l headline alone."""
-    out = []
-    blocks = blocks_of(headline, whole)
-    if body:
-        text = winnow(gram_codes(body, _GRAM, known), _GRAM, RUN) if len(body) >= RUN else [_code(" ".join(body))]
-        out += [f"m{_code(f'{b}|{x}')}" for b in blocks for x in text]
-        alone = winnow(gram_codes(body, _GRAM_BARE, known), _GRAM_BARE, RUN_BARE) if len(body) >= RUN_BARE else [_code(" ".join(body))]
-        out += [f"n{_code(str(x))}" for x in alone] if len(body) >= 8 else []
-    if tells(headline):
-        lines = [(b, x) for b in blocks for h in (headline, whole) for x in winnow(gram_codes(h, _GRAM_LINE, known), _GRAM_LINE, RUN_LINE)]
-        out += [f"l{_code(f'{b}|{x}')}" for b, x in lines]
-    return list(dict.fromkeys(out))
+def _key(values: np.ndarray, kind: int) -> np.ndarray:
+    return ((_mixed(values) & ~np.uint64(7)) | np.uint64(kind)).view(np.int64)
+
+
+def marks_of(heads: list[tuple[list[str], list[str]]], bodies: list[tuple[str, list[int]]], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of many records: the records' numbers, ascending, and keys of headline's numbers and text, text alone, headline alone."""
+    lines = [(i, list(map(words.number, h))) for i, (head, whole) in enumerate(heads) if tells(head) for h in ([head] if head == whole else [head, whole])]
+    table = np.array(words.codes, dtype=np.uint64)
+    blocks = [blocks_of(*h) for h in heads]
+    with_block = [np.array([len(b) > n for b in blocks], dtype=bool) for n in (0, 1)]
+    block = [np.array([xxhash.xxh3_64_intdigest(b[n]) if len(b) > n else 0 for b in blocks], dtype=np.uint64) for n in (0, 1)]
+
+    def joined(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.array(list(map(len, texts)), dtype=np.int64)
+        return table[np.fromiter(chain.from_iterable(texts), np.int64, int(lengths.sum()))], lengths
+
+    def short(least: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+        at = [i for i, (_, x) in enumerate(bodies) if least <= len(x) < run]
+        return np.array(at, dtype=np.int64), np.array([xxhash.xxh3_64_intdigest(bodies[i][0]) for i in at], dtype=np.uint64)
+
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def beside_blocks(owner: np.ndarray, values: np.ndarray, kind: int) -> None:
+        for there, code in zip(with_block, block):
+            own = owner[there[owner]]
+            with np.errstate(over="ignore"):
+                out.append((own, _key(_mixed(values[there[owner]]) + code[own], kind)))
+
+    texts = joined([x for _, x in bodies])
+    beside_blocks(*winnow_all(*texts, _GRAM, RUN), TEXT)
+    beside_blocks(*short(1, RUN), TEXT)
+    for owner, values in (winnow_all(*texts, _GRAM_BARE, RUN_BARE), short(8, RUN_BARE)):
+        out.append((owner, _key(values, ALONE)))
+    owner, values = winnow_all(*joined([x for _, x in lines]), _GRAM_LINE, RUN_LINE)
+    beside_blocks(np.array([i for i, _ in lines], dtype=np.int64)[owner], values, LINE)
+    owner, key = (np.concatenate(x) for x in zip(*out))
+    once = pd.DataFrame({"owner": owner, "key": key}).drop_duplicates().sort_values("owner", kind="stable")
+    return once["owner"].to_numpy(), once["key"].to_numpy()
+
+
+def mark_keys(headline: list[str], whole: list[str], body: list[str], known: dict[str, int]) -> list[int]:
+    """The marks of one record."""
+    words = Words()
+    return marks_of([(headline, whole)], [(" ".join(body), list(map(words.number, body)))], words)[1].tolist()
+
+
 def _slip(a: str, b: str) -> bool:
     """Whether b is a with one typing error in it."""
     return not (any(c.isdigit() for c in a + b)) and min(len(a), len(b)) >= 2 and max(len(a), len(b)) >= 3 and typing_errors(a, b, 1) <= 1
@@ -186,51 +282,67 @@ def same_but_for_slips(a: list[str], b: list[str], loose_ends: int = 0, shortene
     return added <= 3 and all(n == 1 for n in slips.values()) and sum(slips.values()) <= max(2, len(a) // 5)
 
 
-def same_report(a: dict, b: dict) -> bool:
-    """Whether two records carry the same report."""
+@lru_cache(20_000)
+def _agree(a: str, whole_a: str, b: str, whole_b: str, run: int) -> bool:
+    forms = dict.fromkeys((x, y) for x in (a, whole_a) for y in (b, whole_b))
+    return any(same_but_for_slips(x.split(), y.split(), 4, run=run) for x, y in forms)
+
+
+def same_so_far(a: dict, b: dict) -> bool | None:
+    """Whether two records carry the same report by page and headline; None where their texts decide."""
     if a["page"] and a["page"] == b["page"]:
         return True
-    head = None
-    text = bool(a["body"] and b["body"])
+    text = not ((a["flag"] | b["flag"]) & TEXTLESS)
     if a["headline"] and b["headline"]:
-        forms = dict.fromkeys((tuple(a[p]), tuple(b[q])) for p in ("headline", "whole") for q in ("headline", "whole"))
-        head = any(same_but_for_slips(x, y, 4, run=0 if text else RUN_LINE) for x, y in forms)
-    if head is False:
-        return False
-    if text:
-        same = same_but_for_slips(a["body"], b["body"], 8, shortened=True, run=RUN if head else RUN_BARE)
-        return same and (bool(head) or len(a["body"]) >= 8)
-    return bool(head) and tells(a["headline"]) and tells(b["headline"])
+        same = _agree(a["headline"], a["whole"], b["headline"], b["whole"], 0 if text else RUN_LINE)
+        return (None if text else tells(a["headline"].split()) and tells(b["headline"].split())) if same else False
+    return None if text else False
 
 
-_FORMS = ("page", "headline", "whole", "body")
-_KEYS = "array<struct<range:int,key:string>>"
-_RECORD = f"id long, batch int, page string, headline array<string>, whole array<string>, body array<string>, sure {_KEYS}, marks {_KEYS}, ordered {_KEYS}, flag int, codes array<string>"
+def same_text(a: list[str], b: list[str], headed: bool) -> bool:
+    """Whether two texts are of the same report, if they stand under headlines that agree, or where one has none."""
+    return (headed or len(a) >= 8) and same_but_for_slips(a, b, 8, shortened=True, run=RUN if headed else RUN_BARE)
 
 
-def _describe(bounds: list[str]):
-    placed = lambda keys: [{"range": bisect_right(bounds, k), "key": k} for k in keys]
+def same_report(a: dict, b: dict) -> bool:
+    """Whether two records (page, headline, whole, body: words after one another, flag) carry the same report."""
+    same = same_so_far(a, b)
+    return same_text(a["body"].split(), b["body"].split(), bool(a["headline"] and b["headline"])) if same is None else same
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for b in batches:
-            rows = []
-            for i, batch, url, title, text in zip(b["id"], b["batch"], b["url"], b["title"], b["text"]):
-                page, (head, whole), body = page_of(url), headline_words(title), text_words(text)
-                sure = [f"a{_code(page)}"] if page else []
-                if len(body) >= 8 or head and body or tells(head):
-                    sure.append(f"k{xxhash.xxh3_128_hexdigest(chr(10).join(' '.join(x) for x in (head, whole, body)))}")
-                marks, ordered = mark_keys(head, whole, body, known), order_keys(head, " ".join(body))
-                codes, flag = [_code(x) for x in blocks_of(head, whole)], TEXTLESS * (not body) + BARE * (not head)
-                rows.append((i, batch, page, head, whole, body, placed(sure), placed(marks), placed(ordered), flag, codes))
-            yield pd.DataFrame(rows, columns=["id", "batch", *_FORMS, "sure", "marks", "ordered", "flag", "codes"])
 
-    return run
+_HEAD = ("page", "headline", "whole", "flag")
+_RECORD = "id long, batch int, page string, headline string, whole string, body string, flag int, sure array<long>, marks array<long>"
+
 
+def _listed(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
 
-def describe(records: DataFrame, bounds: list[str] | None = None) -> DataFrame:
-    """Records (id, batch, url, title, text) with what they are compared by; keys with the range that ``bounds`` put them in."""
-    return records.select(F.col("id").cast("long").alias("id"), F.col("batch").cast("int").alias("batch"), "url", "title", "text").mapInPandas(_describe(bounds or []), _RECORD)
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Words()
+    for b in batches:
+        words.forget()
+        n, (urls, titles, texts) = b.num_rows, (b.column(c).to_pylist() for c in ("url", "title", "text"))
+        pages, heads, bodies = list(map(page_of, urls)), list(map(headline_words, titles)), list(map(words.of_text, texts))
+        marks = _listed(*marks_of(heads, bodies, words), n) if n else pa.array([], pa.list_(pa.int64()))
+        head, whole = ([" ".join(h[k]) for h in heads] for k in (0, 1))
+        sure = []
+        for i, (page, (h, _), (body, numbers)) in enumerate(zip(pages, heads, bodies)):
+            if page:
+                sure.append((i, xxhash.xxh3_64_intdigest(page), PAGE))
+            if len(numbers) >= 8 or h and numbers or tells(h):
+                sure.append((i, xxhash.xxh3_64_intdigest("\n".join((head[i], whole[i], body))), COPY))
+        keys = [_key(np.array([x], dtype=np.uint64), kind)[0] for _, x, kind in sure]
+        flags = pa.array([TEXTLESS * (not x) + BARE * (not h) for h, (_, x) in zip(head, bodies)], pa.int32())
+        listed = _listed(np.array([i for i, *_ in sure], dtype=np.int64), np.array(keys, dtype=np.int64), n)
+        strings = [pa.array(x, pa.string()) for x in (pages, head, whole, [x for x, _ in bodies])]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("batch"), *strings, flags, listed, marks], names=[f.split()[0] for f in _RECORD.split(", ")])
+
+
+def describe(records: DataFrame) -> DataFrame:
+    """Records (id, batch, url, title, text) with what they are compared by."""
+    return records.select(F.col("id").cast("long").alias("id"), F.col("batch").cast("int").alias("batch"), "url", "title", "text").mapInArrow(_describe, _RECORD)
 
 
 def spread(records: DataFrame) -> DataFrame:
@@ -238,27 +350,81 @@ def spread(records: DataFrame) -> DataFrame:
     return records.repartition(max(records.sparkSession.sparkContext.defaultParallelism, 8), "batch", "id").dropDuplicates(["batch", "id"])
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pairs(last: int, most: int = 1 << 20):
+    """Pairs (id, other) of one range of keys: each record of a batch after ``last`` with all before it that have an equal mark."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches), ignore_index=True)
+        key, batch, ids, flag = (rows[c].to_numpy() for c in ("key", "batch", "id", "flag"))
+        # Most keys have one record; they leave before the full order is made.
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        order = order[np.lexsort((ids[order], batch[order], key[order]))]
+        key, batch, ids, flag = key[order], batch[order], ids[order], flag[order]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        start = np.repeat(starts, np.diff(np.append(starts, len(key))))
+        need = np.select([key & 7 == LINE, key & 7 == ALONE], [TEXTLESS, BARE], 0)
+        met = np.repeat(np.bitwise_or.reduceat(flag, starts), np.diff(np.append(starts, len(key)))) if len(key) else flag
+        new = (batch > last) & ((need == 0) | (met & need != 0))
+        before = np.where(new, np.arange(len(key)) - start, 0)
+        so_far = np.cumsum(before)
+        at = 0
+        while at < len(key):
+            to = max(at + 1, int(np.searchsorted(so_far, (so_far[at - 1] if at else 0) + most, side="right")))
+            n = before[at:to]
+            one = np.repeat(np.arange(at, to), n)
+            two = start[one] + np.arange(len(one)) - np.repeat(np.cumsum(n) - n, n)
+            fits = (need[one] == 0) | ((flag[one] | flag[two]) & need[one] != 0)
+            yield pd.DataFrame({"id": ids[one[fits]], "other": ids[two[fits]]}).drop_duplicates()
+            at = to
+
+    return run
+
+
+def _by_head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Met pairs that may be one report; ``open_text`` where the texts decide."""
+    for b in batches:
+        found = []
+        for sure, *row in zip(b["sure"], *(b[c + end] for end in ("", "2") for c in _HEAD)):
+            one, two = dict(zip(_HEAD, row[:4])), dict(zip(_HEAD, row[4:]))
+            # The keys of pages and copies are hashes: what they name is compared.
+            known = sure and (one["page"] == two["page"] != "" or (one["headline"], one["whole"]) == (two["headline"], two["whole"]))
+            found.append(True if known else same_so_far(two, one))
+        kept = np.array([x is not False for x in found], dtype=bool)
+        out = b.loc[kept, ["id", "other", "batch", "batch2", "target", "open"]]
+        yield out.assign(open_text=[x is None for x in found if x is not False], headed=((b["headline"] != "") & (b["headline2"] != ""))[kept])
+
+
+def _by_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        keep = []
-        for sure, one, two in zip(b["sure"], *(zip(*(b[c + end] for c in _FORMS)) for end in ("", "2"))):
-            new, old = ({"page": x[0]} | {c: list(v) for c, v in zip(_FORMS[1:], x[1:])} for x in (one, two))
-            keep.append(bool(sure) or same_report(old, new))
-        yield b.loc[np.array(keep, dtype=bool), ["id", "other", "target", "open"]]
+        keep = [same_text(old.split(), new.split(), headed) for new, old, headed in zip(b["body"], b["body2"], b["headed"])]
+        yield b.loc[np.array(keep, dtype=bool), ["id", "batch", "batch2", "target", "open"]]
 
 
-def link_to_first(pairs: DataFrame) -> DataFrame:
-    """(id, first, first_batch): from (id, target, open) to the first record of each chain.
+_EDGE = "id long, batch int, batch2 int, target struct<batch:int,id:bigint>, open boolean"
 
-    ``target``: struct of batch and id of an earlier record; ``open`` where that is one of this batch, which may repeat
-    another one itself.  Each round doubles the length of the followed chains.
+
+def link_to_first(edges: DataFrame) -> DataFrame:
+    """(id, first, first_batch): from ``edges`` to earlier records of the same report to the first record of each chain.
+
+    ``target``: batch and id of the earlier record, or of the accepted one that it repeats; ``open`` where it is one of
+    the batches accepted now, which may repeat another one itself.  What was met in earlier batches counts before what
+    was met in the record's own, of which the first counts.  Each round also follows what is known of the first record
+    so far, so chains are followed by doubled steps.
     """
-    step = cut(pairs.groupBy("id").agg(F.min(F.struct("target", "open")).alias("x")).select("id", "x.target", "x.open"))
-    while not step.where("open").isEmpty():
-        onward = step.select(F.col("id").alias("at"), F.col("target").alias("next"), F.col("open").alias("again"))
-        joined = step.join(onward.hint("merge"), F.col("open") & (F.col("target.id") == F.col("at")), "left")
-        step = cut(joined.select("id", F.coalesce("next", "target").alias("target"), F.coalesce("again", F.lit(False)).alias("open")))
-    return step.select("id", F.col("target.id").alias("first"), F.col("target.batch").alias("first_batch"))
+    w = Window.partitionBy("id")
+    ways = edges.withColumn("past", F.max(F.col("batch2") < F.col("batch")).over(w)).withColumn("least", F.min("target").over(w))
+    ways = cut(ways.where(F.when(F.col("past"), F.col("batch2") < F.col("batch")).otherwise(F.col("target") == F.col("least"))).select("id", "target", "open"))
+    first = cut(ways.groupBy("id").agg(F.min("target").alias("first")))
+    onward = ways.where("open").select("id", F.col("target.id").alias("at"))
+    while True:
+        known = first.select(F.col("id").alias("at"), F.col("first").alias("least"))
+        steps = onward.unionByName(first.select("id", F.col("first.id").alias("at"))).join(known, "at").groupBy("id").agg(F.min("least").alias("least"))
+        moved = cut(first.join(steps, "id").where(F.col("least") < F.col("first")).select("id", "least"))
+        if moved.isEmpty():
+            return first.select("id", F.col("first.id").alias("first"), F.col("first.batch").alias("first_batch"))
+        first = cut(first.join(moved, "id", "left").select("id", F.coalesce("least", "first").alias("first")))
 
 
 class AcceptedHistory:
@@ -266,15 +432,13 @@ class AcceptedHistory:
 
     The state lies in ``folder``: the runs, and a manifest per accepted batch that names those that count.  Runs of an
     interrupted batch are in no manifest, so it is simply accepted again; another session goes on with the same folder.
-    ``range_rows``: keys of a range; ``sample_rows``: records from which the first bounds are taken, which steer the layout
-    only; ``most_ids``: ids of met records up to which they are broadcast to the texts.
+    ``range_rows``: keys of a range; ``most_ids``: ids of met records up to which they are broadcast to the texts.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 10, fan: int = 4, range_rows: int = 250_000, sample_rows: int = 400, most_ids: int = 200_000):
-        self.spark, self.window, self.fan, self.range_rows = spark, window, fan, range_rows
-        self.sample_rows, self.most_ids = sample_rows, most_ids
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan: int = 4, range_rows: int = 250_000, most_ids: int = 200_000):
+        self.spark, self.fan, self.range_rows, self.most_ids = spark, fan, range_rows, most_ids
         self.folder = folder or scratch_path(spark, "history")
-        self.state = {"runs": [], "bounds": [], "ranges": 1, "last": -1, "accepted": 0}
+        self.state = {"runs": [], "ranges": 1, "last": -1, "accepted": 0}
         self.made: set[str] = set()
         self._resume()
 
@@ -335,90 +499,57 @@ class AcceptedHistory:
 
     # Ranges
 
-    def _cut_ranges(self, sample: list[str], rows: int) -> None:
-        ranges = max(self.spark.sparkContext.defaultParallelism, rows // self.range_rows + 1)
-        sample = sorted(sample)
-        self.state |= {"ranges": ranges, "bounds": sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []}
+    def _cut_ranges(self, keys: int) -> None:
+        self.state["ranges"] = max(self.spark.sparkContext.defaultParallelism, keys // self.range_rows + 1)
 
-    def _first_ranges(self, records: DataFrame) -> None:
-        """Ranges from the keys of a bounded number of the first batch's records."""
-        n = records.count()
-        share = int(min(1.0, 2 * self.sample_rows / max(n, 1)) * (1 << 40))
-        some = records.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) <= share).limit(self.sample_rows)
-        keys = [r[0] for r in describe(some).select(F.explode(F.concat("sure", "marks", "ordered")["key"])).collect()]
-        self._cut_ranges(keys, len(keys) * n // max(min(n, self.sample_rows), 1))
+    def _range(self, key: str = "key") -> Column:
+        """The range of a key: ranges have the same width, as keys are hashes."""
+        return F.expr(f"cast(shiftrightunsigned({key}, 1) div {(1 << 63) // self.state['ranges'] + 1} as int)")
 
     def _slot(self, c: str) -> Column:
         return F.pmod(F.hash(c), F.lit(self.state["ranges"]))
 
     # Search
 
-    def _first_of_key(self, rows: DataFrame, batch: int) -> DataFrame:
-        """(key, id, other): the first record of each new record's key, where that is another one."""
-        first = F.min(F.struct("batch", "id")).over(Window.partitionBy("range", "key"))
-        return rows.withColumn("first", first).where((F.col("batch") == batch) & (F.col("first.id") != F.col("id"))).select("key", "id", F.col("first.id").alias("other"))
-
-    def _of_equal_key(self, rows: DataFrame, batch: int) -> DataFrame:
-        """(id, other): new records with all that were accepted before them under the same mark.
-
-        What shares no mark with a new record leaves within its range; the rest meets in a join, which adaptive
-        execution splits where a mark is hot.
-        """
-        w = Window.partitionBy("range", "key")
-        met = rows.withColumn("new", F.max(F.when(F.col("batch") == batch, 1).otherwise(0)).over(w)).withColumn("n", F.count(F.lit(1)).over(w)).where("new = 1 and n > 1")
-        met = cut(met.select("key", "batch", "id", "flag"))
-        old = met.select("key", F.col("batch").alias("batch_o"), F.col("id").alias("other"), F.col("flag").alias("flag_o"))
-        needs = F.when(F.col("key") < "m", F.lit(TEXTLESS)).when(F.col("key") < "n", F.lit(0)).otherwise(F.lit(BARE))
-        fits = (needs == 0) | (F.col("flag").bitwiseOR(F.col("flag_o")).bitwiseAND(needs) != 0)
-        pairs = met.where(F.col("batch") == batch).join(old.hint("merge"), "key").where(fits & (F.struct("batch_o", "other") < F.struct("batch", "id")))
-        return pairs.select("id", "other")
-
-    def _near(self, rows: DataFrame, batch: int) -> DataFrame:
-        """(id, other): new records with the ``window`` next ones of their order keys that have the same numbers.
-
-        The ends of neighbouring ranges are put together once more, each border for itself.
-        """
-        seen = F.struct("batch", "id", "codes")
+    def _keys(self, fresh: DataFrame, c: str) -> DataFrame:
+        keys = fresh.select(F.explode(c).alias("key"), "batch", "id", "flag")
+        return keys.select(self._range().alias("range"), "key", "batch", "id", "flag")
 
-        def windows(df: DataFrame, by: str) -> DataFrame:
-            w = Window.partitionBy(by, F.substring("key", 1, 1)).orderBy("key", "batch", "id").rowsBetween(-self.window, self.window)
-            around = df.withColumn("around", F.collect_list(seen).over(w)).where(F.col("batch") == batch)
-            pairs = around.select("batch", "id", "codes", F.explode("around").alias("o"))
-            return pairs.where((F.struct("o.batch", "o.id") < F.struct("batch", "id")) & F.arrays_overlap("codes", "o.codes")).select("id", F.col("o.id").alias("other"))
+    def _touched(self, fresh: DataFrame, c: str, keys: int) -> list[int] | None:
+        """The ranges of a batch's keys; None for all, which many uniform keys touch anyway."""
+        if keys > 8 * self.state["ranges"]:
+            return None
+        return [r[0] for r in self._keys(fresh, c).select("range").distinct().collect()]
 
-        order = Window.partitionBy("range").orderBy("key", "batch", "id")
-        back = Window.partitionBy("range").orderBy(F.desc("key"), F.desc("batch"), F.desc("id"))
-        ends = rows.withColumn("low", F.row_number().over(order) <= self.window).withColumn("high", F.row_number().over(back) <= self.window).where("low or high")
-        border = F.array_compact(F.array(F.when(F.col("low"), F.col("range") - 1), F.when(F.col("high"), F.col("range"))))
-        return windows(rows, "range").unionByName(windows(ends.withColumn("border", F.explode(border)), "border"))
+    def _first_of_key(self, rows: DataFrame) -> DataFrame:
+        """(key, id, other): the first record of each new record's key, where that is another one."""
+        first = F.min(F.struct("batch", "id")).over(Window.partitionBy("range", "key"))
+        return rows.withColumn("first", first).where((F.col("batch") > self.state["last"]) & (F.col("first.id") != F.col("id"))).select("key", "id", F.col("first.id").alias("other"))
 
     def _known(self, met: DataFrame, fresh: DataFrame) -> DataFrame:
-        """The records that were met, with what they repeat themselves; texts are read from the touched buckets only.
+        """The records that were met, with what they repeat themselves; rows of the touched buckets only are read.
 
-        ``target``: batch and id of the record, or of the accepted one that it repeats; ``open`` if it is of this batch.
+        ``target``: batch and id of the record, or of the accepted one that it repeats; ``open`` if it is of these batches.
         """
-        light = fresh.select("id", *_FORMS, F.struct("batch", "id").alias("target"), F.lit(True).alias("open"))
+        light = fresh.select("id", "batch", *_HEAD, "body", F.struct("batch", "id").alias("target"), F.lit(True).alias("open"))
         if not self.runs:
             return light
-        ids = met.select(F.col("other").alias("id"))
-        asked = ids.agg(F.count(F.lit(1)), F.collect_set(self._slot("id"))).first()
+        ids = met.select(F.col("other").alias("id")).distinct()
+        asked = met.agg(F.count(F.lit(1)), F.collect_set(self._slot("other"))).first()
         past = self._read("records", self.runs, sorted(asked[1])).join(F.broadcast(ids) if asked[0] <= self.most_ids else ids.hint("merge"), "id", "left_semi")
         target = F.struct(F.coalesce("first_batch", "batch").alias("batch"), F.coalesce("first", "id").alias("id"))
-        return light.unionByName(past.select("id", *_FORMS, target.alias("target"), F.lit(False).alias("open")))
+        return light.unionByName(past.select("id", "batch", *_HEAD, "body", target.alias("target"), F.lit(False).alias("open")))
 
     def _same(self, met: DataFrame, fresh: DataFrame) -> DataFrame:
-        """(id, other, target, open): the met pairs (id, other, sure) that carry the same report."""
-        known = self._known(met, fresh)
-        there = known.select(F.col("id").alias("other"), "target", "open", *[F.col(c).alias(f"{c}2") for c in _FORMS])
-        pairs = met.join(there.hint("merge"), "other").join(fresh.select("id", *_FORMS).hint("merge"), "id")
-        spread_pairs = pairs.repartition(max(self.spark.sparkContext.defaultParallelism, 8), "id", "other")
-        return spread_pairs.mapInPandas(_verify, "id long, other long, target struct<batch:int,id:bigint>, open boolean")
-
-    def ranges_for(self, records: DataFrame) -> list[str]:
-        """The bounds of the key ranges; the first records that are asked for decide them."""
-        if not self.runs:
-            self._first_ranges(records)
-        return self.state["bounds"]
+        """Edges from new records to the met ones (id, other, sure) that carry the same report."""
+        tasks = max(self.spark.sparkContext.defaultParallelism, 8)
+        there = self._known(met, fresh).select(F.col("id").alias("other"), F.col("batch").alias("batch2"), "target", "open", *[F.col(c).alias(f"{c}2") for c in _HEAD])
+        pairs = met.join(there.hint("merge"), "other").join(fresh.select("id", "batch", *_HEAD).hint("merge"), "id")
+        near = cut(pairs.repartition(tasks, "id", "other").mapInPandas(_by_head, f"{_EDGE.replace('id long,', 'id long, other long,', 1)}, open_text boolean, headed boolean"))
+        texts = self._known(near.where("open_text"), fresh).select(F.col("id").alias("other"), F.col("body").alias("body2"))
+        asked = near.where("open_text").join(texts.hint("merge"), "other").join(fresh.select("id", "body").hint("merge"), "id")
+        read = asked.repartition(tasks, "id", "other").mapInPandas(_by_text, _EDGE)
+        return near.where("not open_text").select("id", "batch", "batch2", "target", "open").unionByName(read)
 
     def accept(self, records: DataFrame, batch: int) -> DataFrame:
         """(id, first) of the batch's records that repeat an accepted one or an earlier one of the batch.
@@ -426,34 +557,33 @@ class AcceptedHistory:
         ``records``: id, url, title, text; batch numbers rise.
         """
         asked = records.select("id", F.lit(batch).alias("batch"), "url", "title", "text")
-        return self.accept_described(cut(describe(spread(asked), self.ranges_for(asked))), batch)
-
-    def accept_described(self, fresh: DataFrame, batch: int) -> DataFrame:
-        """As ``accept``, for one batch's rows of ``describe`` under the bounds of now, read several times."""
-        if batch <= self.state["last"]:
-            raise ValueError(f"batch {batch} comes after {self.state['last']}")
-        ranges = lambda c: F.array_distinct(F.flatten(F.collect_set(c))).alias(c)
-        size = lambda c: F.sum(F.size(c))
-        facts = fresh.select(*[F.col(c)["range"].alias(c) for c in ("sure", "marks", "ordered")]).agg(F.count(F.lit(1)).alias("rows"), (size("sure") + size("marks") + size("ordered")).alias("keys"), *map(ranges, ("sure", "marks", "ordered"))).first()
-        of = lambda c, rows=fresh: rows.select(F.explode(c).alias("k"), "batch", "id", "flag", "codes").select("k.range", "k.key", "batch", "id", "flag", "codes")
-        # Pages and whole records, whose keys stand below the marks.
-        sure = of("sure")
-        known = sure if not self.runs else sure.repartition(self.state["ranges"], "range").unionByName(self._read("keys", self.runs, facts["sure"]).where("key < 'l'"))
-        first = cut(self._first_of_key(known, batch))
-        self._tidy()
-        others = fresh.join(first.where("key >= 'k'").select("id").hint("merge"), "id", "left_anti")
-        run = {"keys": self._write(sure.unionByName(of(F.concat("marks", "ordered"), others)), "range", ["key", "batch", "id"]), "rows": facts["rows"], "key_rows": facts["keys"] or 0}
+        return self.accept_described(cut(describe(spread(asked))), [batch])
+
+    def accept_described(self, fresh: DataFrame, batches: list[int]) -> DataFrame:
+        """As ``accept``, for the rows of ``describe`` of batches that wait together; ``fresh`` is read several times."""
+        if min(batches) <= self.state["last"]:
+            raise ValueError(f"batch {min(batches)} comes after {self.state['last']}")
+        facts = fresh.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in ("sure", "marks")]).first()
+        if not self.runs:
+            self._cut_ranges(facts[1] + facts[2])
+        sure = self._keys(fresh, "sure")
+        known = sure
+        if self.runs:
+            past = self._read("keys", self.runs, self._touched(fresh, "sure", facts[1]))
+            known = sure.repartition(self.state["ranges"], "range").unionByName(past.where(F.col("key").bitwiseAND(7) <= COPY))
+        first = cut(self._first_of_key(known))
+        copies = first.where(F.col("key").bitwiseAND(7) == COPY).select("id")
+        others = fresh.select("id", "batch", "flag", "marks").join(copies, "id", "left_anti")
+        run = {"keys": self._write(sure.unionByName(self._keys(others, "marks")), "range", ["key", "batch", "id"]), "rows": facts[0], "key_rows": facts[1] + facts[2]}
         all_runs = [*self.runs, run]
-        marked = self._of_equal_key(self._read("keys", all_runs, facts["marks"]).where("key >= 'l' and key < 'o'"), batch)
-        beside = sorted({r + d for r in facts["ordered"] for d in (-1, 0, 1)})
-        near = self._near(self._read("keys", all_runs, beside).where("key >= 'o'"), batch)
-        met = marked.unionByName(near).select("id", "other", F.lit(False).alias("sure")).unionByName(first.select("id", "other", F.lit(True).alias("sure")))
+        marks = self._read("keys", all_runs, self._touched(fresh, "marks", facts[2])).where(F.col("key").bitwiseAND(7) > COPY)
+        marked = marks.groupBy("range").applyInPandas(_pairs(self.state["last"]), "id long, other long")
+        met = marked.select("id", "other", F.lit(False).alias("sure")).unionByName(first.select("id", "other", F.lit(True).alias("sure")))
         met = cut(met.groupBy("id", "other").agg(F.max("sure").alias("sure")))
-        self._tidy()
         found = link_to_first(self._same(met, fresh))
-        texts = fresh.select("id", "batch", *_FORMS).join(found.hint("merge"), "id", "left").withColumn("slot", self._slot("id"))
+        texts = fresh.select("id", "batch", *_HEAD, "body").join(found, "id", "left").withColumn("slot", self._slot("id"))
         run["records"] = self._write(texts, "slot", ["id"])
-        self._remember(self._compact(all_runs), batch)
+        self._remember(self._compact(all_runs), max(batches))
         self._tidy()
         return found.select("id", "first")
 
@@ -470,31 +600,25 @@ class AcceptedHistory:
             merged = [r for r in runs if anew or level(r) == full[0]]
             rows, texts = self._read("keys", merged), self._read("records", merged)
             if anew:
-                h = F.pmod(F.xxhash64("key"), F.lit(1 << 40))
-                most = 250 * self.sample_rows
-                some = rows.select("key").where(h <= int(min(1.0, most / keys) * (1 << 40))).limit(2 * most)
-                self._cut_ranges([r[0] for r in some.collect()], keys)
-                bounds = self.state["bounds"]
-                range_of = F.pandas_udf(lambda ks: pd.Series([bisect_right(bounds, k) for k in ks], dtype="int32"), T.IntegerType())
-                rows, texts = rows.withColumn("range", range_of("key")), texts.withColumn("slot", self._slot("id"))
+                self._cut_ranges(keys)
+                rows, texts = rows.withColumn("range", self._range()), texts.withColumn("slot", self._slot("id"))
             one = {"keys": self._write(rows, "range", ["key", "batch", "id"]), "rows": sum(r["rows"] for r in merged), "key_rows": sum(r["key_rows"] for r in merged), "records": self._write(texts, "slot", ["id"])}
             runs = [r for r in runs if r not in merged] + [one]
         return runs
 
 
 def duplicates(records: DataFrame, window: int = 10, folder: str | None = None, **layout: int) -> DataFrame:
-    """(id, first) over all records (id, batch, url, title, text), accepted batch by batch in the order of their numbers.
+    """(id, first) over all records (id, batch, url, title, text), each against those before it by batch and id.
 
-    Records that are all there already are described at once and kept by batch.
+    The first batch is accepted as the history, and the batches that wait behind it are merged into it together.  All are
+    described at once.  ``window`` is taken from callers and bounds nothing: an equal key's neighbourhood is met in full.
     """
     spark = records.sparkSession
-    store, found = AcceptedHistory(spark, folder, window, **layout), None
-    for number in sorted(r[0] for r in records.select("batch").distinct().collect()):  # numbers of batches only
-        if found is None or store.state["bounds"] != bounds:
-            rest = records.where(F.col("batch") >= number)
-            bounds = store.ranges_for(rest.where(F.col("batch") == number))
-            path = scratch_path(spark, "described")
-            describe(spread(rest), bounds).write.partitionBy("batch").parquet(path)
-        now = store.accept_described(spark.read.parquet(path).where(F.col("batch") == number), number)
-        found = now if found is None else found.unionByName(now)
+    numbers = sorted(r[0] for r in records.select("batch").distinct().collect())  # numbers of batches only
+    store, found, path = AcceptedHistory(spark, folder, **layout), None, scratch_path(spark, "described")
+    describe(spread(records)).withColumn("waits", F.col("batch") > (numbers[0] if numbers else 0)).write.partitionBy("waits").parquet(path)
+    for waits, batches in ((False, numbers[:1]), (True, numbers[1:])):
+        if batches:
+            now = store.accept_described(spark.read.parquet(path).where(F.col("waits") == waits), batches)
+            found = now if found is None else found.unionByName(now)
     return found if found is not None else spark.createDataFrame([], "id long, first long")

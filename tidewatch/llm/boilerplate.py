@@ -175,8 +175,8 @@ def shared_lines(rows: DataFrame, least_rows: int = 8, least_sources: int = 4, d
 
 
 def without_repeated(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(row_id, text): every text without its found lines; rows without text stay as they are."""
+    """``rows`` (row_id, text and others) with every text without its found lines; rows without text stay as they are."""
     marked = found.groupBy("row_id").agg(F.collect_set("line_no").alias("drop"))
     kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("drop", (i + 1).cast("int")))
-    joined = rows.select(F.col("row_id").cast("long").alias("row_id"), "text").join(marked, "row_id", "left")
-    return joined.select("row_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    joined = rows.withColumn("row_id", F.col("row_id").cast("long")).join(marked, "row_id", "left")
+    return joined.withColumn("text", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("drop")

@@ -23,11 +23,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """
     articles = table(spark, folder, "articles").withColumn("batch", F.coalesce("batch_no", F.lit(0)).cast("int"))
     names = table(spark, folder, "sources").groupBy("source_id").agg(F.array_union(F.collect_set("name"), F.collect_set("name_native")).alias("names"))
-    rows = articles.select(F.col("article_id").alias("row_id"), "source_id", F.col("excerpt").alias("text"), "batch")
-    bare = without_repeated(rows, shared_lines(rows.join(names, "source_id", "left"))).select(F.col("row_id").alias("article_id"), F.col("text").alias("bare"))
+    rows = articles.select(F.col("article_id").alias("row_id"), "source_id", F.col("excerpt").alias("text"), "batch", "url", "title")
+    bare = without_repeated(rows.withColumn("excerpt", F.col("text")), shared_lines(rows.join(names, "source_id", "left")))
     # A text of nothing but shared lines is compared as it is.
-    text = F.when(F.trim("bare") == "", F.col("excerpt")).otherwise(F.col("bare"))
-    records = articles.join(bare, "article_id").select(F.col("article_id").alias("id"), "batch", "url", "title", text.alias("text"))
+    text = F.when(F.trim("text") == "", F.col("excerpt")).otherwise(F.col("text"))
+    records = bare.select(F.col("row_id").alias("id"), "batch", "url", "title", text.alias("text"))
     found = duplicates(records).join(articles.where("batch >= 1").select(F.col("article_id").alias("id")), "id", "left_semi")
     return found.select(F.col("first").alias("kept_id"), F.col("id").alias("article_id"))
 

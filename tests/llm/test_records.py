@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import rows
-from tidewatch.llm.batches import RUN, TEXTLESS, AcceptedHistory, blocks_of, duplicates, gram_codes, headline_words, mark_keys, order_keys, page_of, same_but_for_slips, same_report, text_words, winnow
+from tidewatch.llm.batches import RUN, TEXTLESS, AcceptedHistory, Words, blocks_of, duplicates, gram_codes, headline_words, mark_keys, order_keys, page_of, same_but_for_slips, same_report, text_words, winnow, winnow_all
 from tidewatch.llm.mixing import TOKENIZER, DomainClassifier, fit_rates, mix, reached_shares
 from tidewatch.llm.names import cheapest_pairing, group_unknown, link_names, match_cost, typing_errors, words_of_name
 
@@ -188,6 +188,30 @@ def test_winnowed_marks_are_shared_by_common_runs():
     assert winnow(gram_codes(["a"] * 4, 5, known), 5, RUN) == [] and mark_keys([], [], [], {}) == []
 
 
+def test_phrases_of_fewer_words_than_a_report_needs_make_no_pairs():
+    """Texts with nine words in common are no candidates, those with twelve are; pairs of phrases grow with the square of the rows."""
+    r, head = random.Random(7), "Drivers in Kisan wait for 325 tickets".lower().split()
+    own = lambda n: [f"x{r.random()}".replace(".", "") for _ in range(n)]
+    phrase = own(RUN)
+    marks = lambda n: set(mark_keys(head[:4], head[:4], own(9) + phrase[:n] + own(9), {}))
+    assert not any(marks(9) & marks(9) for _ in range(50)) and all(marks(RUN) & marks(RUN) for _ in range(50))
+
+
+def test_words_and_marks_of_many_texts_are_those_of_each():
+    r, words = random.Random(8), Words()
+    texts = ["".join(r.choice("aİßﬁ²() -–:ـً\u200bأة٣\n") for _ in range(r.randint(0, 30))) for _ in range(2000)] + ["(Kisan Post) - three more words", None]
+    for text in texts:
+        assert words.of_text(text)[0].split() == text_words(text) and headline_words(text, words) == headline_words(text)
+    assert text_words("(Kisan Post) - three more words") == ["three", "more", "words"]
+    many = [[f"w{r.randint(0, 9)}" for _ in range(r.randint(0, 30))] for _ in range(300)]
+    codes = gram_codes([w for x in many for w in x], 1, {})
+    owner, values = winnow_all(codes, np.array(list(map(len, many))), 5, RUN)
+    for i, x in enumerate(many):
+        own = codes[sum(map(len, many[:i])) :][: len(x)]
+        left, least = winnow_all(own, np.array([len(x)]), 5, RUN)
+        assert values[owner == i].tolist() == least.tolist() and (len(least) > 0) == (len(x) >= RUN) and set(left) <= {0}
+
+
 def test_long_order_keys_stay_apart():
     """Beyond 400 characters a headline keeps a hash of the whole, followed by the hash of its text."""
     a, b = (order_keys(["w" * 99] * 9, text) for text in "xy")

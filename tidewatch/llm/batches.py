@@ -2,7 +2,7 @@
 
 Sorted neighbourhoods of several keys over persisted runs.  A record has a key for its page, one for the whole record,
 and marks; the neighbourhood is every record of an equal key.  A mark is a hash of the headline's words with digits and
-of five words of the text, chosen by winnowing, so that two texts with ``RUN`` words in a row in common share one.  What
+of ten words of the text, chosen by winnowing, so that two texts with ``RUN`` words in a row in common share one.  What
 ``same_report`` accepts shares a page, a mark or the whole record, so no bound on the neighbours is needed, and windows
 over the order of headlines could meet nothing else.
 
@@ -49,7 +49,8 @@ _WORD = re.compile(r"[^\W_]+")
 TRACKING = re.compile(r"^(?:utm_.*|fbclid|gclid|ref|igshid|mc_cid|mc_eid|yclid|spm)$")
 #: Words in a row that two texts of one report share: with headlines, and where one has none; of headlines without text.
 RUN, RUN_BARE, RUN_LINE = 12, 32, 4
-_GRAM, _GRAM_BARE, _GRAM_LINE = 5, 16, 3
+# Words of a mark: the more, the fewer texts of different reports share one, and the more marks there are.
+_GRAM, _GRAM_BARE, _GRAM_LINE = 10, 16, 3
 TEXTLESS, BARE = 1, 2  # flags of a key's record
 PAGE, COPY, TEXT, ALONE, LINE = range(5)  # kinds of keys, in their last three bits
 
@@ -69,9 +70,14 @@ def page_of(url: str | None) -> str:
     return f"{host}{path}?{kept}" if host and (path or kept) else ""
 
 
-def headline_words(title: str | None) -> tuple[list[str], list[str]]:
+@lru_cache(200_000)
+def has_digit(word: str) -> bool:
+    return any(c.isdigit() for c in word)
+
+
+def headline_words(title: str | None, words: Words | None = None) -> tuple[list[str], list[str]]:
     """The words of a headline without a leading mark (``UPDATE:``) and a trailing publisher, and all its words."""
-    seen = (comparable_form(title) or "").translate(SPELLINGS).strip("“”\"'«»„ ")
+    seen = (words or Words()).seen(title).strip("“”\"'«»„ ")
     whole = _WORD.findall(seen)
     seen = re.sub(r"^[\W_]*(?:[^\W\d_]+ ?){1,2} ?[:|] +", "", seen)
     cut_at = re.match(r"^(.*\S) +[-–—|] +((?:[^\s\d]+ ?){1,4})$", seen.rstrip("“”\"'«»! "))
@@ -86,7 +92,7 @@ class Words:
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
         self.codes: list[int] = []
-        self.tokens: dict[str, tuple[bool | None, str, tuple[int, ...]]] = {}
+        self.tokens: dict[str, tuple[bool, str, str, tuple[int, ...]]] = {}
 
     def number(self, word: str) -> int:
         if (i := self.ids.get(word)) is None:
@@ -94,23 +100,29 @@ class Words:
             self.codes.append(xxhash.xxh3_64_intdigest(word))
         return i
 
-    def token(self, token: str) -> tuple[bool | None, str, tuple[int, ...]]:
-        """Whether it begins with a bracket (None: nothing is left of it), its words, and their numbers."""
-        if (known := self.tokens.get(token)) is None:
-            form = comparable_form(token)
-            seen = form.translate(SPELLINGS)
-            words = _WORD.findall(seen)
-            known = self.tokens[token] = (seen.startswith("(") if form else None, " ".join(words), tuple(map(self.number, words)))
+    def token(self, token: str) -> tuple[bool, str, str, tuple[int, ...]]:
+        """Whether anything is left of it, its form, its words, and their numbers."""
+        form = comparable_form(token)
+        seen = form.translate(SPELLINGS)
+        words = _WORD.findall(seen)
+        known = self.tokens[token] = (form != "", seen, " ".join(words), tuple(map(self.number, words)))
         return known
 
+    def _parts(self, text: str | None) -> list[tuple[bool, str, str, tuple[int, ...]]]:
+        get, token = self.tokens.get, self.token
+        return [get(t) or token(t) for t in (text or "").split()]
+
+    def seen(self, text: str | None) -> str:
+        """The form of a text for comparing words."""
+        return " ".join([seen for left, seen, *_ in self._parts(text) if left])
+
     def of_text(self, text: str | None) -> tuple[str, list[int]]:
         """The words of a text without a leading ``(publisher) -``, and their numbers."""
-        parts = list(map(self.token, (text or "").split()))
-        if next((lead for lead, *_ in parts if lead is not None), False):
-            seen = comparable_form(text).translate(SPELLINGS)
-            words = _WORD.findall(re.sub(r"^\([^)]{1,60}\) *[-–—:] *", "", seen))
+        parts = self._parts(text)
+        if next((seen.startswith("(") for left, seen, *_ in parts if left), False):
+            words = _WORD.findall(re.sub(r"^\([^)]{1,60}\) *[-–—:] *", "", self.seen(text)))
             return " ".join(words), list(map(self.number, words))
-        return " ".join(words for _, words, _ in parts if words), list(chain.from_iterable(numbers for *_, numbers in parts))
+        return " ".join([x[2] for x in parts if x[2]]), list(chain.from_iterable([x[3] for x in parts]))
 
     def forget(self) -> None:
         """Empties what has grown large; numbers given before are void."""
@@ -165,7 +177,7 @@ def winnow_all(codes: np.ndarray, lengths: np.ndarray, gram: int, run: int) -> t
 
 def blocks_of(headline: list[str], whole: list[str]) -> list[str]:
     """The words with digits of a headline and of all its words, in their order: equal for one of each in one report."""
-    return list(dict.fromkeys(" ".join(w for w in x if any(c.isdigit() for c in w)) for x in (headline, whole))) if headline else []
+    return list(dict.fromkeys(" ".join(filter(has_digit, x)) for x in ((headline,) if headline == whole else (headline, whole)))) if headline else []
 
 
 def _code(text: str) -> str:
@@ -187,7 +199,7 @@ def order_keys(headline: list[str], text: str) -> list[str]:
 
 def tells(headline: list[str]) -> bool:
     """Whether a headline tells reports apart without text."""
-    return len(headline) >= 5 and any(c.isdigit() for w in headline for c in w)
+    return len(headline) >= 5 and any(map(has_digit, headline))
 
 
 def _key(values: np.ndarray, kind: int) -> np.ndarray:
@@ -261,7 +273,7 @@ def same_but_for_slips(a: list[str], b: list[str], loose_ends: int = 0, shortene
             longest = max(longest, j - i)
             continue
         mine, theirs = list(a[i:j]), list(b[k:m])
-        digits = any(c.isdigit() for w in mine + theirs for c in w)
+        digits = any(map(has_digit, mine + theirs))
         if len(mine) == len(theirs) and all(_slip(x, y) for x, y in zip(mine, theirs)):
             slips.update(zip(mine, theirs))
             common += len(mine)
@@ -324,7 +336,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words.forget()
         n, (urls, titles, texts) = b.num_rows, (b.column(c).to_pylist() for c in ("url", "title", "text"))
-        pages, heads, bodies = list(map(page_of, urls)), list(map(headline_words, titles)), list(map(words.of_text, texts))
+        pages, heads, bodies = list(map(page_of, urls)), [headline_words(x, words) for x in titles], list(map(words.of_text, texts))
         marks = _listed(*marks_of(heads, bodies, words), n) if n else pa.array([], pa.list_(pa.int64()))
         head, whole = ([" ".join(h[k]) for h in heads] for k in (0, 1))
         sure = []
